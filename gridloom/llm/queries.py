@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op7_bpe
 from .language import op8_language
 from .quality import op3_quality
+from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": op3_quality, "op7_bpe": op7_bpe, "op8_language": op8_language}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op7_bpe": op7_bpe, "op8_language": op8_language}
 
 
 def oracle_sql() -> dict[str, str]:
