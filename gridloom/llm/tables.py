@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -58,3 +59,12 @@ def append(docs: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], lis
                 yield pa.RecordBatch.from_arrays([*b.columns, *compute(b)], [*b.schema.names, *more.names])
 
     return docs.mapInArrow(run, schema)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the session's shared checkpoint folder; a local one is set only where there is none."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
