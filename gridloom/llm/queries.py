@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op7_bpe
 from .language import op8_language
 from .quality import op3_quality
+from .secret_scan import op10_secrets
 from .simhash import op9_simhash
 from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_simhash": op9_simhash}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
