@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
+from .decontaminate import OP5_SQL, op5_decontaminate
 from .language import op8_language
 from .quality import op3_quality
 from .secret_scan import op10_secrets
@@ -15,8 +16,8 @@ from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets}
+    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op5_decontaminate": op5_decontaminate, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": OP5_SQL}
