@@ -12,12 +12,13 @@ from .language import op8_language
 from .quality import op3_quality
 from .secret_scan import op10_secrets
 from .simhash import op9_simhash
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op5_decontaminate": op5_decontaminate, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets}
+    return {"op1_toxicity": op1_toxicity, "op2_substring_dedup": op2_substring_dedup, "op3_quality": op3_quality, "op5_decontaminate": op5_decontaminate, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL}
