@@ -61,10 +61,15 @@ def append(docs: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], lis
     return docs.mapInArrow(run, schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only where none is set, as in local tests, a new local one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the session's shared checkpoint folder; a local one is set only where there is none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    """`df` computed once and kept in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
