@@ -1 +1,8 @@
 """Lazy two-dimensional numeric matrices on Spark DataFrames."""
+
+from . import operators, plans, sources
+from .matrix import Matrix
+from .operators import binary, reshape, unary
+from .plans import extract, sinks
+
+__all__ = ["Matrix", "binary", "extract", "operators", "plans", "reshape", "sinks", "sources", "unary"]
