@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ from .textbuf import WORDS, flat, gather, hashes, mix, pair, runs, slices, sprea
 
 WINDOW, MER = 13, 4
 #: Most windows of a piece; bytes of text of a block, and of pieces in a bin, aimed at.
-LONGEST, BLOCK_BYTES, BIN_BYTES = 64, 8 << 20, 24 << 20
+LONGEST, BLOCK_BYTES, BIN_BYTES = 64, 4 << 20, 12 << 20
+#: Bytes of text dealt to the blocks at once.
+DEAL_BYTES = 16 << 20
 #: No minimiser below this share of all pieces is dealt apart.
 LEAST_SHARE = 1 / 16384
 NEVER = np.iinfo(np.int64).max
@@ -140,14 +143,30 @@ def _spread_out(blob: bytes, *types: str) -> list[np.ndarray]:
     return [*out, np.frombuffer(raw, np.uint8, -1, at) if at < len(raw) else np.zeros(0, np.uint8)]
 
 
-def _ids(table: pa.Table) -> np.ndarray:
-    return table.column("doc_id").combine_chunks().fill_null(NEVER).to_numpy(zero_copy_only=False).astype(np.int64)
+def _deal(batch: pa.RecordBatch, blocks: int) -> pa.RecordBatch:
+    """Rows (block, packed): the documents of a batch that go to each block, as ids, lengths and text."""
+    data, off = flat(batch.column("text"))
+    ids = pc.fill_null(batch.column("doc_id"), NEVER).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = (mix(mix(ids.view(np.uint64)) + np.diff(off).astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    text, at = gather(data, off[:-1][order], off[1:][order])
+    edges = np.append(np.flatnonzero(np.diff(block[order], prepend=-1)), len(order))
+    blobs = [_squeeze(np.diff(at[a : b + 1]).astype("<u8"), ids[order[a:b]], text[at[a] : at[b]]) for a, b in zip(edges, edges[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(block[order][edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["block", "packed"])
+
+
+def _documents(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """Ids and texts of a block."""
+    parts = [_spread_out(b, "<u8", "<i8") for b in table.column("packed").to_pylist()]
+    size, ids, text = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).astype(np.int64)
+    return ids, pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(off), pa.py_buffer(text))
 
 
 def _send(table: pa.Table, bins: int, hot: np.ndarray) -> pa.Table:
     """Rows (bin, block, pieces) of a block: length in bytes, windows, least and greatest id, text."""
-    c = cut(table.column("text").combine_chunks(), bins, hot)
-    ids = _ids(table)
+    ids, texts = _documents(table)
+    c = cut(texts, bins, hot)
     least, most = np.full(len(c.uniques), NEVER), np.full(len(c.uniques), np.iinfo(np.int64).min)
     np.minimum.at(least, c.number, ids[c.owner])
     np.maximum.at(most, c.number, ids[c.owner])
@@ -156,7 +175,7 @@ def _send(table: pa.Table, bins: int, hot: np.ndarray) -> pa.Table:
     edges = np.append(np.flatnonzero(np.diff(c.bins, prepend=-1)), len(c.bins))
     blobs = [_squeeze(np.diff(off[a : b + 1]).astype("<u4"), windows[a:b].astype("u1"), least[a:b], most[a:b], text[off[a] : off[b]]) for a, b in zip(edges, edges[1:], strict=False)]
     names = c.bins[edges[:-1]].astype(np.int32)
-    block = table.column("block")[0].as_py() if table.num_rows else 0
+    block = table.column("block")[0].as_py()
     return pa.table({"bin": pa.array(names), "block": pa.array([block] * len(names), pa.int32()), "pieces": pa.array(blobs, pa.binary())})
 
 
@@ -217,8 +236,8 @@ def _judge(table: pa.Table) -> pa.Table:
 
 def _finish(docs: pa.Table, answers: pa.Table, bins: int, hot: np.ndarray) -> pa.Table:
     """The documents of a block without the words that some smaller document's window covers."""
-    c = cut(docs.column("text").combine_chunks(), bins, hot)
-    ids = _ids(docs)
+    ids, column = _documents(docs)
+    c = cut(column, bins, hot)
     base = np.concatenate([[0], np.cumsum(c.windows[c.uniques])])
     first = np.full(base[-1], NEVER)
     touched = np.zeros(len(c.uniques), bool)
@@ -239,7 +258,12 @@ def _finish(docs: pa.Table, answers: pa.Table, bins: int, hot: np.ndarray) -> pa
     ends = off[of]
     texts = [text[a : b - 1].tobytes().decode() if b > a else "" for a, b in zip(ends, ends[1:], strict=False)]
     n_words, n_kept = np.diff(c.first), np.diff(of)
-    return pa.table({"doc_id": docs.column("doc_id"), "text": pa.array(texts, pa.string()), "n_words": pa.array(n_words), "n_removed": pa.array(n_words - n_kept)})
+    return pa.table({"doc_id": pa.array(ids, mask=ids == NEVER), "text": pa.array(texts, pa.string()), "n_words": pa.array(n_words), "n_removed": pa.array(n_words - n_kept)})
+
+
+def _small(table: pa.Table) -> pa.Table:
+    tables.release(cycles=False)
+    return table
 
 
 def _common(docs: DataFrame, bins: int) -> np.ndarray:
@@ -278,10 +302,16 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks, bins = max(2 * n, -(-size // BLOCK_BYTES)), max(n, -(-size * 3 // BIN_BYTES))
     shared = spark.sparkContext.broadcast(_common(docs, bins))  # of bounded length, see LEAST_SHARE
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    sent = dealt.groupBy("block").applyInArrow(lambda t: _send(t, bins, shared.value), "bin int, block int, pieces binary")
-    answers = sent.groupBy("bin").applyInArrow(_judge, "block int, bin int, found binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _finish(d, a, bins, shared.value), "doc_id long, text string, n_words long, n_removed long")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            yield from (_deal(b, blocks) for b in tables.parts(whole, DEAL_BYTES))
+        tables.release()
+
+    dealt = docs.mapInArrow(deal, "block int, packed binary")
+    sent = dealt.groupBy("block").applyInArrow(lambda t: _small(_send(t, bins, shared.value)), "bin int, block int, pieces binary")
+    answers = sent.groupBy("bin").applyInArrow(lambda t: _small(_judge(t)), "block int, bin int, found binary")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, a: _small(_finish(d, a, bins, shared.value)), "doc_id long, text string, n_words long, n_removed long")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -10,7 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .textbuf import flat, slices
+
 _GRAIN = 1 << 30
+#: Bytes of text that a task works on at once.
+PART_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,13 +61,35 @@ def append(docs: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], lis
     schema = StructType([*docs.schema.fields, *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, *compute(b)], [*b.schema.names, *more.names])
+        try:
+            for whole in batches:
+                for b in parts(whole):
+                    yield pa.RecordBatch.from_arrays([*b.columns, *compute(b)], [*b.schema.names, *more.names])
+        finally:
+            release()
 
     return docs.mapInArrow(run, schema)
 
 
+def parts(batch: pa.RecordBatch, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `most` (else PART_BYTES) bytes of text, so that what is made of them stays small; one long text is a slice of its own."""
+    if "text" not in batch.schema.names:
+        if batch.num_rows:
+            yield batch
+        return
+    for a, b in slices(flat(batch.column("text"))[1], most or PART_BYTES):
+        yield batch.slice(a, b - a)
+
+
+def release(cycles: bool = True) -> None:
+    """Hands freed memory back, as Python workers outlive their tasks."""
+    if cycles:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; only where none is set, as in local tests, a new local one."""
     sc = spark.sparkContext

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the temporary arrays of a worker.
 SLICE_BYTES = 1 << 20
+GATHERED = 1 << 18
 
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 
@@ -45,12 +46,12 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes; one long row is a range of its own."""
+def slices(off: np.ndarray, limit: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `limit` bytes and at most `rows` rows; one long row is a range of its own."""
     n, a = len(off) - 1, 0
     while a < n:
         b = int(np.searchsorted(off, off[a] + limit, "right")) - 1
-        b = min(n, max(b, a + 1))
+        b = min(n, max(b, a + 1), a + rows)
         yield a, b
         a = b
 
@@ -103,13 +104,19 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the ranges one after another, and their n + 1 bounds."""
+    """The bytes of the ranges one after another, and their n + 1 bounds; index arrays cover GATHERED bytes at a time."""
     length = ends - starts
     off = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(length, out=off[1:])
-    index = np.arange(off[-1], dtype=np.int64)
-    index += np.repeat(starts - off[:-1], length)
-    return data[index], off
+    out = np.empty(int(off[-1]), np.uint8)
+    for a, b in slices(off, GATHERED):
+        if b == a + 1:
+            out[off[a] : off[b]] = data[starts[a] : ends[a]]
+            continue
+        index = np.arange(off[a], off[b], dtype=np.int64)
+        index += np.repeat(starts[a:b] - off[a:b], length[a:b])
+        out[off[a] : off[b]] = data[index]
+    return out, off
 
 
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
