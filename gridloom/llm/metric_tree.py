@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import tables
 
-PAGE, FAN = 32, 12
+PAGE, FAN = 512, 32
 #: Vectors of a shard aimed at; bytes of queries sent to the tasks at once.
 SHARD_ROWS, QUERY_BYTES = 8192, 8 << 20
 

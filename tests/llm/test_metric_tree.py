@@ -22,6 +22,8 @@ def test_matches_brute_force(spark, monkeypatch):
     rows += [(1000 + i, [0.5, 0.25, 0.0, 0.0, 0.0, 1.0]) for i in range(200)]
     rows += [(2000, None), (2100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2200, [float("nan")] * 6), (2300, [float("inf")] * 6), (2400, []), (2500, [1.0, 2.0]), (None, [1.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as shard")
+    monkeypatch.setattr(M, "PAGE", 8)
+    monkeypatch.setattr(M, "FAN", 4)
     q = {i for i, _ in rows if i is not None and i % 100 == 0}
     for size in (1 << 20, 100):
         monkeypatch.setattr(M, "QUERY_BYTES", size)
@@ -32,7 +34,9 @@ def test_matches_brute_force(spark, monkeypatch):
     assert M.search(spark, few, few.where("vec_id = 0")).count() == 3
 
 
-def test_bounds_spare_distances():
+def test_bounds_spare_distances(monkeypatch):
+    monkeypatch.setattr(M, "PAGE", 8)
+    monkeypatch.setattr(M, "FAN", 4)
     rng = np.random.default_rng(5)
     v = np.concatenate([rng.integers(-50, 50, (400, 8)) + c for c in rng.integers(-2000, 2000, (10, 8))])
     tree = M.MTree(np.arange(len(v)), v)
