@@ -24,7 +24,7 @@ from .textbuf import flat, hashes, runs, slices, spread
 
 WINDOW = 10
 #: Text indexed at once, and benchmark text sent to the tasks at once.
-SHARD_BYTES, BLOCK_BYTES = 4 << 20, 32 << 20
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
