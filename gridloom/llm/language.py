@@ -23,6 +23,8 @@ DIM = 4096
 TRAIN_ROWS, TRAIN_TOTAL = 1500, 12000
 #: Documents whose two best codewords differ by less than this share of probability are ambiguous.
 CLOSE = 0.2
+#: Documents whose histograms are held at once.
+ROWS = 1024
 
 _FOLD = np.full(256, 0x20, np.uint32)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -100,7 +102,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, names, xs = [], [], []
     for b in batches:
         data, off = flat(b.column("text"))
-        for a, z in slices(off):
+        for a, z in slices(off, rows=ROWS):
             xs.append(histograms(data[off[a] : off[z]], off[a : z + 1] - off[a]))
         ids += b.column("doc_id").to_pylist()
         names += b.column("lang").to_pylist()
@@ -138,7 +140,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: dict | None) -> DataFr
             lettered[i] = any(c.isalpha() for c in text[int(i)].as_py())
         if model is None:
             lettered[:] = False
-        for a, z in slices(off):
+        for a, z in slices(off, rows=ROWS):
             ok = lettered[a:z]
             if ok.any():
                 k, score[a:z], close[a:z] = decode(model, histograms(data[off[a] : off[z]], off[a : z + 1] - off[a]))
