@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from . import tables
 
-#: Distinct pieces that a task keeps encoded at most, and the longest piece kept; others are encoded again.
-KEPT, KEPT_CHARS = 300_000, 64
+#: Distinct pieces that a task keeps encoded at most, the longest piece kept, and pairs whose rank it keeps; others are found again.
+KEPT, KEPT_CHARS, KEPT_PAIRS = 150_000, 64, 300_000
 #: Pieces taken at once.
 BLOCK = 200_000
+#: Tokens are below NONE; a pair of tokens is one number.
+SHIFT, NONE = 21, (1 << 21) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,72 +43,102 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern)
         self.bytes = {r: b for b, r in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.pairs: dict[int, int] = {}
+        first = np.array([[self._rank(int(a) << SHIFT | int(b)) for b in self.single] for a in self.single])
+        self.first = np.full((257, 257), -1)
+        self.first[:256, :256] = first
         self.kept: dict[str, bytes] = {}
 
-    def _rank(self, a: int, b: int) -> int:
+    def _rank(self, key: int) -> int:
         """The rank of the token that two tokens make, -1 for none."""
-        r = self.pairs.get((a, b))
-        if r is None:
-            r = self.ranks.get(self.bytes[a] + self.bytes[b], -1)
-            if len(self.pairs) < 2_000_000:
-                self.pairs[a, b] = r
+        a, b = key >> SHIFT, key & NONE
+        r = -1 if NONE in (a, b) else self.ranks.get(self.bytes[a] + self.bytes[b], -1)
+        if len(self.pairs) < KEPT_PAIRS:
+            self.pairs[key] = r
         return r
 
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece."""
-        tok: list[int] = []
-        word: list[int] = []
-        bounds = [0]
-        for k, p in enumerate(pieces):
-            whole = self.ranks.get(p)
-            tok += [self.single[b] for b in p] if whole is None else [whole]
-            word += [k] * (len(tok) - bounds[-1])
-            bounds.append(len(tok))
+    def replay(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian 32-bit integers."""
+        ranks = self.ranks
+        out = [ranks.get(p) for p in pieces]
+        todo = [k for k, r in enumerate(out) if r is None]
+        merged = self._merge([pieces[k] for k in todo])
+        for k, ids in zip(todo, merged, strict=True):
+            out[k] = ids
+        return [x if isinstance(x, bytes) else x.to_bytes(4, "little") for x in out]
+
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Merges all pieces at once. A token NONE stands before, between and after them, and makes no pair."""
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        off = np.concatenate([[0], np.cumsum(length + 1)]) + 1
+        symbol = np.full(int(off[-1]), 256)
+        inside = np.ones(len(symbol), bool)
+        inside[off - 1] = False
+        symbol[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        start = self.first[symbol[:-1], symbol[1:]] if len(symbol) > 1 else np.zeros(0, int)
+        order = np.argsort(start, kind="stable")
+        order = order[start[order] >= 0]
+        cut = np.flatnonzero(np.diff(start[order], prepend=-1))
+        at = {int(start[g[0]]): g.tolist() for g in np.split(order, cut[1:])} if len(order) else {}
+        tok = np.append(self.single, NONE)[symbol].tolist()
+        pair = [*start.tolist(), -1]
         n = len(tok)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        at: dict[int, list[int]] = {}
-        rank = self._rank
-        for i in range(n - 1):
-            if word[i] == word[i + 1] and (r := rank(tok[i], tok[i + 1])) >= 0:
-                at.setdefault(r, []).append(i)
+        nxt[n - 1] = n - 1
         heap = sorted(at)
+        known = self.pairs.get
         while heap:
             r = heappop(heap)
             places = at.pop(r, None)
             if places is None:
                 continue
             places.sort()
-            waits = -1
+            until = -1  # the end of a piece that waits
             for i in places:
-                w = word[i]
-                if w == waits:
+                if pair[i] != r:
+                    continue  # one of its tokens has been merged elsewhere
+                if i < until:
                     at.setdefault(r, []).append(i)
                     continue
                 j = nxt[i]
-                if tok[i] < 0 or j >= n or word[j] != w or rank(tok[i], tok[j]) != r:
-                    continue  # one of its tokens has been merged elsewhere
-                tok[i], tok[j] = r, -1
-                k = nxt[i] = nxt[j]
-                if k < n:
-                    prv[k] = i
-                    if word[k] == w and (x := rank(r, tok[k])) >= 0:
-                        if x not in at:
-                            heappush(heap, x)
-                        at.setdefault(x, []).append(i)
-                        if x < r:
-                            waits = w
-                k = prv[i]
-                if k >= 0 and word[k] == w and (x := rank(tok[k], r)) >= 0:
-                    if x not in at:
+                k, h = nxt[j], prv[i]
+                tok[i], tok[j], pair[j] = r, -1, -1
+                nxt[i], prv[k] = k, i
+                key = r << SHIFT | tok[k]
+                x = known(key)
+                if x is None:
+                    x = self._rank(key)
+                pair[i] = x
+                low = False
+                if x >= 0:
+                    if x in at:
+                        at[x].append(i)
+                    else:
+                        at[x] = [i]
                         heappush(heap, x)
-                    at.setdefault(x, []).append(k)
-                    if x < r:
-                        waits = w
+                    low = x < r
+                key = tok[h] << SHIFT | r
+                x = known(key)
+                if x is None:
+                    x = self._rank(key)
+                pair[h] = x
+                if x >= 0:
+                    if x in at:
+                        at[x].append(h)
+                    else:
+                        at[x] = [h]
+                        heappush(heap, x)
+                    low = low or x < r
+                if low:
+                    until = int(off[np.searchsorted(off, i, "right")])
             if r in at:
                 heappush(heap, r)
-        return [[t for t in tok[a:b] if t >= 0] for a, b in zip(bounds, bounds[1:], strict=False)]
+        final = np.array(tok)
+        count = np.concatenate([[0], np.cumsum((final >= 0) & (final != NONE))]) * 4
+        ids = final[(final >= 0) & (final != NONE)].astype("<u4").tobytes()
+        ends = count[off].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def _blocks(self, text: str) -> Iterator[list[str]]:
         if len(text) <= BLOCK:
@@ -120,7 +152,7 @@ class Encoder:
         if len(self.kept) > KEPT:
             self.kept.clear()
         new = [p for p in set(pieces) if p not in self.kept]
-        got = {p: np.array(ids, "<u4").tobytes() for p, ids in zip(new, self.replay([p.encode() for p in new]), strict=True)}
+        got = dict(zip(new, self.replay([p.encode() for p in new]), strict=True))
         self.kept.update((p, b) for p, b in got.items() if len(p) <= KEPT_CHARS)
         return {p: b for p, b in got.items() if len(p) > KEPT_CHARS}
 
@@ -188,14 +220,23 @@ def decode(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> Dat
     return tables.append(docs, "decoded binary", lambda b: [pa.array([shared.get().decode(x) for x in b.column("token_ids").to_pylist()], pa.binary())])
 
 
+def round_trip(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """encode() and decode() of what it returned, in one pass over `docs`."""
+    shared = _Shared(spark, path, pattern)
+
+    def run(b: pa.RecordBatch) -> list[pa.Array]:
+        ids = shared.get().encode(b.column("text").to_pylist())
+        return [pa.array(ids, pa.binary()), pa.array(map(shared.get().decode, ids), pa.binary())]
+
+    return tables.append(docs, "token_ids binary, decoded binary", run)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
-    at = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode(spark, docs, *at).select("doc_id", "token_ids")
-    return decode(spark, coded, *at).select(
+    return round_trip(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select(
         "doc_id",
         F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
@@ -207,7 +248,6 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with n_tokens, token_ids and round_trip (the ids decode to the text)."""
     import public_tokenizers
 
-    at = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode(spark, encode(spark, docs, *at), *at)
+    out = round_trip(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return out.select(*docs.columns, F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"), "token_ids", same.alias("round_trip"))

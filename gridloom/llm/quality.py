@@ -22,7 +22,7 @@ from .textbuf import flat, hashes, mix, pair, runs, slices
 BITS = 18
 SCALE = 16.0
 #: At most about so many labelled rows a class are learned from.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 THRESHOLD = 0.7
 
 _CLASS = np.ones(256, np.uint8)
@@ -80,13 +80,15 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(examples: list[tuple[np.ndarray, int]], epochs: int = 4) -> np.ndarray:
-    """Weights from (n-gram numbers, label) pairs; classes weigh the same in sum."""
-    model, bias = Ftrl(), 1 << BITS
-    rows = []
-    for f, y in examples:
-        at, count = np.unique(f, return_counts=True)
-        rows.append((np.append(at, bias), np.append(count * (SCALE / max(1, len(f))), 1.0), y))
+def example(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's sparse vector, bias last, from its n-gram numbers."""
+    at, count = np.unique(f, return_counts=True)
+    return np.append(at, 1 << BITS).astype(np.int32), np.append(count * (SCALE / max(1, len(f))), 1.0).astype(np.float32)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4) -> np.ndarray:
+    """Weights from (places, values, label) rows; classes weigh the same in sum."""
+    model = Ftrl()
     ones = sum(y for _, _, y in rows)
     weight = {1: len(rows) / (2 * max(1, ones)), 0: len(rows) / (2 * max(1, len(rows) - ones))}
     order = np.random.default_rng(5)
@@ -98,15 +100,17 @@ def fit(examples: list[tuple[np.ndarray, int]], epochs: int = 4) -> np.ndarray:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: list[tuple[int, np.ndarray, int]] = []
+    seen: list[tuple[int, tuple[np.ndarray, np.ndarray], int]] = []
     for b in batches:
         data, off = flat(b.column("text"))
         ids, ys = b.column("doc_id").to_pylist(), b.column("y").to_pylist()
         for a, z in slices(off):
             f, first = ngrams(data[off[a] : off[z]], off[a : z + 1] - off[a])
-            seen += [(ids[i], f[first[i - a] : first[i - a + 1]].astype(np.int32), ys[i]) for i in range(a, z)]
-    seen.sort(key=lambda r: (r[0], len(r[1])))
-    w = fit([(f, y) for _, f, y in seen]) if seen else np.zeros((1 << BITS) + 1, np.float32)
+            seen += [(ids[i], example(f[first[i - a] : first[i - a + 1]]), ys[i]) for i in range(a, z)]
+    seen.sort(key=lambda r: (r[0], len(r[1][0])))
+    w = fit([(*x, y) for _, x, y in seen]) if seen else np.zeros((1 << BITS) + 1, np.float32)
+    del seen
+    tables.release()
     yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["model"])
 
 

@@ -241,7 +241,9 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
             texts[y].append(fold(t))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts[1], texts[0]))], pa.binary())], ["model"])
+    model = pickle.dumps(fit(texts.pop(1), texts.pop(0)))
+    tables.release()
+    yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, most: int = TRAIN_ROWS) -> Lexicon:
