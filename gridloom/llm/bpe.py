@@ -11,6 +11,7 @@ piece waits for it, so every piece is merged as if it were alone.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import islice
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import tables
 
-#: Distinct pieces that a task keeps encoded at most, the longest piece kept, and pairs whose rank it keeps; others are found again.
-KEPT, KEPT_CHARS, KEPT_PAIRS = 150_000, 64, 300_000
+#: Distinct pieces that a task keeps encoded at most, and the longest piece kept; others are encoded again.
+KEPT, KEPT_CHARS = 200_000, 64
 #: Pieces taken at once.
 BLOCK = 200_000
 #: Tokens are below NONE; a pair of tokens is one number.
@@ -37,33 +38,36 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+def merges(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of tokens that makes a token, as one number, and the rank of what it makes."""
+    found = [(a << SHIFT | b, r) for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
+    keys, made = np.array(found, np.int64).reshape(-1, 2).T
+    return keys, made
+
+
 class Encoder:
-    """Ids of texts under `ranks`, and bytes of ids."""
+    """Ids of texts under `ranks`, and bytes of ids. `pairs`: what merges() finds."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: tuple[np.ndarray, np.ndarray] | None = None):
         self.ranks, self.find = ranks, regex.compile(pattern)
         self.bytes = {r: b for b, r in ranks.items()}
+        keys, made = pairs or merges(ranks)
+        self.pairs: dict[int, int] = dict(zip(keys.tolist(), made.tolist(), strict=True))
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
-        self.pairs: dict[int, int] = {}
-        first = np.array([[self._rank(int(a) << SHIFT | int(b)) for b in self.single] for a in self.single])
         self.first = np.full((257, 257), -1)
-        self.first[:256, :256] = first
+        self.first[:256, :256] = [[self.pairs.get(a << SHIFT | b, -1) for b in self.single.tolist()] for a in self.single.tolist()]
         self.kept: dict[str, bytes] = {}
 
-    def _rank(self, key: int) -> int:
-        """The rank of the token that two tokens make, -1 for none."""
-        a, b = key >> SHIFT, key & NONE
-        r = -1 if NONE in (a, b) else self.ranks.get(self.bytes[a] + self.bytes[b], -1)
-        if len(self.pairs) < KEPT_PAIRS:
-            self.pairs[key] = r
-        return r
-
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian 32-bit integers."""
         ranks = self.ranks
         out = [ranks.get(p) for p in pieces]
         todo = [k for k, r in enumerate(out) if r is None]
-        merged = self._merge([pieces[k] for k in todo])
+        gc.disable()  # the index is many small lists without cycles
+        try:
+            merged = self._merge([pieces[k] for k in todo])
+        finally:
+            gc.enable()
         for k, ids in zip(todo, merged, strict=True):
             out[k] = ids
         return [x if isinstance(x, bytes) else x.to_bytes(4, "little") for x in out]
@@ -105,11 +109,7 @@ class Encoder:
                 k, h = nxt[j], prv[i]
                 tok[i], tok[j], pair[j] = r, -1, -1
                 nxt[i], prv[k] = k, i
-                key = r << SHIFT | tok[k]
-                x = known(key)
-                if x is None:
-                    x = self._rank(key)
-                pair[i] = x
+                pair[i] = x = known(r << SHIFT | tok[k], -1)
                 low = False
                 if x >= 0:
                     if x in at:
@@ -118,11 +118,7 @@ class Encoder:
                         at[x] = [i]
                         heappush(heap, x)
                     low = x < r
-                key = tok[h] << SHIFT | r
-                x = known(key)
-                if x is None:
-                    x = self._rank(key)
-                pair[h] = x
+                pair[h] = x = known(tok[h] << SHIFT | r, -1)
                 if x >= 0:
                     if x in at:
                         at[x].append(h)
@@ -193,7 +189,8 @@ class _Shared:
     """An encoder built once in a worker from a broadcast of ranks and pattern."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.source, self.made = spark.sparkContext.broadcast((load_ranks(path), pattern)), None
+        ranks = load_ranks(path)
+        self.source, self.made = spark.sparkContext.broadcast((ranks, pattern, merges(ranks))), None
 
     def __getstate__(self) -> dict:
         return {"source": self.source, "made": None}
