@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tables
@@ -173,12 +173,16 @@ def groups(docs: DataFrame, apart: int = BITS_APART) -> DataFrame:
     A null doc_id is never a component_id unless the whole component has none.
     """
     prints = tables.checkpoint(fingerprints(docs.select("doc_id", "text")).select("doc_id", "simhash"))
+    return prints.join(_roots_of(prints, apart), "simhash").select("doc_id", "simhash", "component_id")
+
+
+def _roots_of(prints: DataFrame, apart: int) -> DataFrame:
+    """(simhash, root, component_id): each distinct fingerprint of `prints`, the least of its component, and the component's least doc_id."""
     distinct = tables.checkpoint(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least")))
     found = components(links(buckets(distinct.select("fp"), apart), apart))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.select("fp", "root").join(of, "root").select(F.col("fp").alias("simhash"), "component_id")
-    return prints.join(known, "simhash").select("doc_id", "simhash", "component_id")
+    return rooted.select("fp", "root").join(of, "root").select(F.col("fp").alias("simhash"), "root", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +192,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the least id; rows of one id count as one document."""
-    kept = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Pipeline stage: of each group one row, that with the least id (nulls last), then the least text (null last).
+
+    A group is a component of fingerprints, so unrelated rows stay though their ids are null or equal.
+    Rows of equal id and text are told apart by their other columns, as far as these can be ordered.
+    """
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+    prints = tables.checkpoint(fingerprints(docs.select("doc_id", "text", digest)).select("doc_id", "digest", "simhash"))
+    least = prints.join(_roots_of(prints, BITS_APART), "simhash").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = least.select("root", F.col("doc_id").alias("least_id"), F.col("digest").alias("least_digest")).distinct()
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), "doc_id", digest)
+    rows = whole.join(least, F.col("doc_id").eqNullSafe(F.col("least_id")) & F.col("digest").eqNullSafe(F.col("least_digest"))).select("root", "doc")
+    rest = [f"doc.`{c}`" for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t]
+    order = Window.partitionBy("root").orderBy(F.col("doc.text").asc_nulls_last(), *rest)
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") == 1).select("doc.*")

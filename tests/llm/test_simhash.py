@@ -88,3 +88,15 @@ def test_stage_keeps_one_of_each_group(spark):
     rows = [(4, text, "x"), (2, text, "y"), (2, text, "y"), (9, text + " end", "z"), (11, "another text of few words here", "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
     assert sorted(r.doc_id for r in S.keep_one(spark, df, "").collect()) == [2, 11]
+
+
+def test_stage_keeps_unrelated_rows_of_null_or_equal_ids(spark):
+    text = [" ".join(f"{w}{i}" for i in range(200)) for w in ("one", "two", "three", "four", "five")]
+    copy = text[4] + " end"
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (None, text[2]), (3, text[2]), (5, text[3]), (5, text[2]), (None, None), (None, ""), (7, copy), (7, text[4]), (7, text[4])]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, root int")
+    out = S.keep_one(spark, df.repartition(3), "")
+    assert out.columns == df.columns
+    want = [(None, text[0], 0), (None, text[1], 1), (3, text[2], 4), (5, text[3], 5), (None, "", 8), (7, min(copy, text[4]), 10)]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[2]) == want
+    assert S.keep_one(spark, df.limit(0), "").count() == 0
