@@ -35,7 +35,7 @@ def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     rows = captures.drop("host", "matched_entry", "blocked").withColumn("host", F.when(host != "", host))
     seen = rows.select("host", "fetched").where(F.col("host").isNotNull() & F.col("fetched").isNotNull()).distinct()
     labels = F.split("host", r"\.")
-    names = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = seen.withColumn("name", F.explode(names))
     active = intervals(events)
     during = (asked["name"] == active["entry"]) & (active["valid_from"] <= asked["fetched"]) & (active["valid_to"].isNull() | (asked["fetched"] < active["valid_to"]))

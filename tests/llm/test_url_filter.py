@@ -14,3 +14,10 @@ def test_entries_hold_while_valid(spark):
     assert all(r.blocked == (r.matched_entry is not None) for r in out.values())
     assert U.evaluate(df.limit(0), events).count() == 0
     assert not any(r.blocked for r in U.evaluate(df, events.limit(0)).collect())
+
+
+def test_entries_of_one_label_cover_hosts_below(spark):
+    events = spark.createDataFrame([("zip", date(2024, 1, 1), "add"), ("localhost", date(2024, 1, 1), "add"), ("b.zip", date(2024, 1, 1), "add")], "entry string, day date, action string")
+    want = {"http://a.zip/": "zip", "http://zip": "zip", "http://x.b.zip": "b.zip", "http://a.b.localhost": "localhost", "http://localhost": "localhost", "http://azip": None, "http://zip.org": None}
+    df = spark.createDataFrame([(u, date(2024, 1, 2)) for u in want], "url string, fetched date")
+    assert {r.url: r.matched_entry for r in U.evaluate(df, events).collect()} == want
