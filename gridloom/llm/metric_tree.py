@@ -140,6 +140,11 @@ def sound(vector: str) -> Column:
     return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
 
 
+def shard_count(rows: int, partitions: int) -> int:
+    """Shards of at most about SHARD_ROWS vectors; more of them, up to `partitions`, only while each has some four pages, as a lone page is searched flat."""
+    return max(1, -(-rows // SHARD_ROWS), min(partitions, rows // (4 * PAGE)))
+
+
 def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of `vectors` with the largest scores for each row of `queries`.
 
@@ -151,7 +156,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & sound("embedding")).dropDuplicates(["vec_id"])
     rows, width = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
     width = max(width or 0, queries.agg(F.max(F.size("embedding"))).first()[0] or 0)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SHARD_ROWS))
+    shards = shard_count(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def build(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()

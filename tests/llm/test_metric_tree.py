@@ -42,3 +42,35 @@ def test_bounds_spare_distances(monkeypatch):
     tree = M.MTree(np.arange(len(v)), v)
     q = v[3]
     assert sorted(tree.top(3, q, 10), reverse=True) == sorted(((int(x @ q), i) for i, x in enumerate(v) if i != 3), key=lambda r: (-r[0], r[1]))[:10]
+
+
+def test_trees_route_at_production_sizes(spark, monkeypatch):
+    built = []
+    monkeypatch.setattr(M, "shard_count", lambda rows, partitions, f=M.shard_count: built.append((rows, f(rows, partitions))) or built[-1][1])
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(size=(100, 8)) * 0.02 + c for c in rng.normal(size=(21, 8))])
+    rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in M.search(spark, df, df.where("vec_id % 300 = 0")).collect())
+    assert got == brute(rows, {i for i, _ in rows if i % 300 == 0}, 10)
+    assert built == [(2100, 1)] and [M.shard_count(n, 12) for n in (0, 500, 2000, 10256, 51282, 10**6)] == [1, 1, 1, 5, 12, 123]
+
+    class Counting:
+        seen = 0
+
+        def __init__(self, x):
+            self.x = x
+
+        def __len__(self):
+            return len(self.x)
+
+        def __getitem__(self, rows):
+            Counting.seen += len(rows)
+            return self.x[rows]
+
+    tree = M.MTree(np.arange(len(v)), np.floor(1024 * v).astype(int))
+    assert tree.root.children
+    tree.vectors = Counting(tree.vectors)
+    for i in range(0, len(v), 300):
+        tree.top(i, np.floor(1024 * v[i]).astype(int), 10)
+    assert Counting.seen < len(v) * 7 / 2
