@@ -103,7 +103,8 @@ def ratio(s: Column, table: Column) -> Column:
 def scan(docs: DataFrame, table: list[float]) -> DataFrame:
     """`docs` with base_spans and added_spans (arrays of start, rank, end, text); earlier columns of these names are replaced.
 
-    Null and empty texts have none. An added span overlaps no base span and has the rank after the last kind.
+    Null and empty texts have none. An added span overlaps no base span and has the rank after the last kind;
+    of a run that base spans cover in part, each part outside them is judged by itself, however short.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     llr = F.expr(f"cast(split('{','.join(map(str, table))}', ',') as array<double>)")
@@ -116,7 +117,20 @@ def scan(docs: DataFrame, table: list[float]) -> DataFrame:
     def apart(s: Column) -> Column:
         return ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
-    return docs.withColumn("added_spans", F.filter(F.filter(_cut(text, CANDIDATE, len(PATTERNS)), apart), random))
+    def outside(s: Column) -> Column:
+        def span(a: Column, b: Column) -> Column:
+            return F.struct(a.alias("start"), s["rank"].alias("rank"), b.alias("end"), F.substring(s["text"], a - s["start"] + 1, b - a).alias("text"))
+
+        def step(acc: Column, b: Column) -> Column:
+            parts = F.when(b["start"] > acc["at"], F.concat(acc["parts"], F.array(span(acc["at"], b["start"])))).otherwise(acc["parts"])
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), parts.alias("parts"))
+
+        over = F.filter("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        end = F.array(span(s["end"], s["end"]))
+        zero = F.struct(s["start"].alias("at"), F.array().cast(SPANS).alias("parts"))
+        return F.when(apart(s), F.array(s)).otherwise(F.aggregate(F.concat(over, end), zero, step)["parts"])
+
+    return docs.withColumn("added_spans", F.filter(F.flatten(F.transform(_cut(text, CANDIDATE, len(PATTERNS)), outside)), random))
 
 
 def listed(spans: Column) -> Column:

@@ -62,3 +62,17 @@ def test_empty_table_and_stage(spark):
     assert S.scan(df.limit(0), S.train(df.limit(0))).count() == 0
     out = {r.doc_id: r for r in S.mask_secrets(spark, df, "").collect()}
     assert len(out) == len(TEXTS) and out[0].text is None and out[9].text == "[SECRET]" and out[9].n_chars == 8
+
+
+def test_parts_of_a_run_beside_base_spans_are_judged(spark):
+    digits, key = "0123456789abcdef" * 2, "ZqX7Kp2WvR9LtY4HsJ6MnB3G"
+    texts = [f"see {digits}{key} now", f"see {key}{digits}{key} now", f"see ordinary-words-{digits} now", f"see {key} now"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = [-1.0 if a.islower() and b.islower() else 1.0 for a in S.ALPHABET for b in S.ALPHABET]
+    found = S.scan(df, table)
+    out = {r.doc_id: r for r in found.collect()}
+    assert [(s.start, s.end, s.text) for s in out[0].added_spans] == [(36, 60, key)]
+    assert [(s.start, s.end, s.text) for s in out[1].added_spans] == [(4, 28, key), (60, 84, key)]
+    assert not out[2].added_spans and [s.text for s in out[3].added_spans] == [key]
+    assert [(s.start, s.end) for s in out[1].base_spans] == [(28, 60)]
+    assert [r[0] for r in found.orderBy("doc_id").select(S.masked(F.col("text"), F.array_sort(F.concat("base_spans", "added_spans")))).collect()][:2] == ["see [SECRET][SECRET] now", "see [SECRET][SECRET][SECRET] now"]
