@@ -19,7 +19,7 @@ from . import tables
 from .textbuf import flat, slices
 
 DIM = 4096
-#: At most about so many documents a language, and in all about so many, are learned from.
+#: At most about so many documents a language, and in all about so many, are learned from; with more languages than that, about so many of them.
 TRAIN_ROWS, TRAIN_TOTAL = 1500, 12000
 #: Documents whose two best codewords differ by less than this share of probability are ambiguous.
 CLOSE = 0.2
@@ -50,15 +50,16 @@ def histograms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
-    """n rows of -1 / 1, far apart: all dichotomies for few languages, else random ones without constant or repeated columns."""
+    """n rows of -1 / 1, far apart: all dichotomies for few languages, else the best of some random ones without constant columns."""
     if n <= 1:
         return np.ones((n, 1))
     if n <= 5:
         cols = [[1 if i == 0 or (k >> (i - 1)) & 1 else -1 for i in range(n)] for k in range(2 ** (n - 1) - 1)]
         return np.array(cols, float).T
     rng, bits = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n)))
-    best, far = None, -1
-    for _ in range(200):
+    best, far, tries = None, -1, min(200, 2 * 10**9 // (n * n * bits) + 1)
+    while best is None or tries > 0:
+        tries -= 1
         m = rng.choice([-1.0, 1.0], size=(n, bits))
         if (np.abs(m.sum(axis=0)) == n).any():
             continue
@@ -100,7 +101,9 @@ def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, names, xs = [], [], []
+    share = tables.Share(tables.TRAIN_BYTES)
     for b in batches:
+        b = b.filter(pa.array([share.fits(None, t) for t in b.column("text").to_pylist()], pa.bool_()))
         data, off = flat(b.column("text"))
         for a, z in slices(off, rows=ROWS):
             xs.append(histograms(data[off[a] : off[z]], off[a : z + 1] - off[a]))
@@ -115,16 +118,19 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, folds: int = 5, held: int = 0) -> dict | None:
-    """A model from a bounded sample of the documents outside fold `held`; None without any."""
+    """A model from a bounded sample of the documents outside fold `held`; None without any.
+
+    Rows with a null id, text or lang are not learned from; of several rows with one id and lang, that with
+    the least text is. At most TRAIN_ROWS a language, TRAIN_TOTAL and TRAIN_BYTES in all; only these meet in one task.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (tables.fold("doc_id", folds) != held)).select("doc_id", "text", "lang")
-    n = known.select("lang").distinct().count()
-    sample = tables.bounded(known, "lang", "doc_id", min(TRAIN_ROWS, TRAIN_TOTAL // max(1, n)))
-    got = sample.coalesce(1).mapInArrow(_train, "model binary").collect()
+    sample = tables.together(tables.bounded(known, "lang", "doc_id", TRAIN_ROWS, TRAIN_TOTAL), "lang")
+    got = sample.mapInArrow(_train, "model binary").collect()
     return pickle.loads(bytes(got[0][0])) if got else None
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: dict | None) -> DataFrame:
-    """`docs` with lang_pred, lang_score (0 to 1) and lang_ambiguous.
+    """`docs` with lang_pred, lang_score (0 to 1) and lang_ambiguous; earlier columns of these names are replaced.
 
     Null texts, texts without a letter, and all texts if nothing could be learned: `und`, 0, true.
     """
@@ -154,7 +160,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: dict | None) -> DataFr
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: doc_id, held_out, lang_pred, score, ambiguous."""
+    """One row a document, repeated ones too: doc_id, held_out (null for a null id), lang_pred, score, ambiguous."""
     docs = tables.read(spark, sf_dir, "documents")
     out = identify(spark, docs.select("doc_id", "text"), train(docs))
     return out.select("doc_id", (tables.fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))

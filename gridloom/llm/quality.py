@@ -101,7 +101,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4) -> np.n
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: list[tuple[int, tuple[np.ndarray, np.ndarray], int]] = []
+    share = tables.Share(tables.TRAIN_BYTES)
     for b in batches:
+        b = b.filter(pa.array([share.fits(y, t) for y, t in zip(b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True)], pa.bool_()))
         data, off = flat(b.column("text"))
         ids, ys = b.column("doc_id").to_pylist(), b.column("y").to_pylist()
         for a, z in slices(off):
@@ -115,12 +117,13 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, most: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights learned from a bounded sample of the labelled rows outside fold `held`.
+    """Weights learned from a bounded sample of the labelled documents outside fold `held`.
 
-    The sample, at most about 2 * most rows, is small enough for one task; only the weights (1 MB) reach the driver.
+    The sample, at most about `most` documents and TRAIN_BYTES of text a class, is small enough for one task;
+    only the weights (1 MB) reach the driver. What tables.labelled() says of nulls and repeats holds here.
     """
     sample = tables.labelled(docs, labels, label, tables.fold("doc_id", folds) != held, most)
-    got = sample.coalesce(1).mapInArrow(_train, "model binary").collect()
+    got = sample.mapInArrow(_train, "model binary").collect()
     return np.frombuffer(bytes(got[0][0]), np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -143,7 +146,7 @@ def score(spark: SparkSession, docs: DataFrame, weights: np.ndarray) -> DataFram
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: doc_id, held_out, score, predicted (1: good, from 0.7)."""
+    """One row a document, repeated ones too: doc_id, held_out (null for a null id), score, predicted (1: good, from 0.7)."""
     docs = tables.read(spark, sf_dir, "documents")
     weights = train(docs, tables.read(spark, sf_dir, "labels"))
     s = F.col("quality_score")
@@ -151,6 +154,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents whose score is 0.7 or more, unchanged."""
+    """Pipeline stage: the rows of `docs` whose text scores 0.7 or more, unchanged, whatever their other columns are called.
+
+    Each row is judged by itself, so rows with null or equal ids and repeated rows stay or go by their text;
+    null and empty texts have the score of the bias. An empty table gives an empty one.
+    """
     weights = train(docs, tables.read(spark, sf_dir, "labels"))
-    return score(spark, docs, weights).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    return tables.unpacked(score(spark, tables.packed(docs), weights).where(F.col("quality_score") >= THRESHOLD), docs)

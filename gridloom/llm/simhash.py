@@ -16,17 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tables
 from .components import components
+from .tables import SENT_KEYS, attach, checkpoint
 
 SHINGLE, SEED, BITS_APART = 4, 42, 4
-#: A bucket with more fingerprints is cut anew, so often at most (then it is searched as it is).
-BUCKET, LEVELS = 4096, 5
-#: Hot bucket keys are sent to all tasks up to this number, else joined.
-SENT_KEYS = 100_000
+#: A bucket with more fingerprints is cut anew.
+BUCKET = 4096
 #: The reference fingerprints.
 PIVOTS = np.random.default_rng(20).integers(0, 2**64, 16, dtype=np.uint64)
 
@@ -63,34 +62,37 @@ def _parts(mask: int, blocks: int) -> list[int]:
     return [mask | sum(1 << k for k in part.tolist()) for part in np.array_split(np.array(free, int), blocks)]
 
 
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
+def _recut(rows: DataFrame, blocks: int) -> DataFrame:
+    """A row (fp, mask, key) for each row (fp, mask) and each part of its mask."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, mask = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "mask"))
+            known, which = np.unique(mask, return_inverse=True)
+            parts = np.array([_parts(m, blocks) for m in known.view(np.uint64).tolist()], np.uint64).reshape(-1, blocks).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, blocks)), pa.array(parts[which].ravel())], ["fp", "mask"])
 
-def _keyed(prints: DataFrame, masks: list[int], apart: int) -> DataFrame:
-    """A row for each fingerprint and each part of its mask: (fp, mask, key)."""
-    start = F.col("mask") if "mask" in prints.columns else F.lit(0).cast("long")
-    rows = None
-    for m in masks:
-        few = prints if "mask" not in prints.columns else prints.where(start == F.lit(_signed(m)))
-        made = few.select("fp", F.explode(F.array(*[F.lit(_signed(p)).cast("long") for p in _parts(m, apart + 1)])).alias("mask"))
-        rows = made if rows is None else rows.union(made)
-    return rows.select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    return rows.select("fp", "mask").mapInArrow(run, "fp long, mask long").withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
 
 
 def buckets(prints: DataFrame, apart: int = BITS_APART, most: int = BUCKET) -> DataFrame:
-    """(key, fp): any two fingerprints at most `apart` bits apart share a key."""
-    rows, masks, done = _keyed(prints, [0], apart), [0], None
-    for _ in range(LEVELS - 1):
-        hot = tables.checkpoint(rows.groupBy("key").count().where(F.col("count") > most).select("key"))
-        n = hot.count()
+    """(key, fp): any two of the distinct fingerprints `prints` at most `apart` bits apart share a key.
+
+    A bucket of more than `most` is cut anew by `apart` + 1 blocks of the bits that its fingerprints may
+    still differ in. Each cut leaves a fifth less of these (for four bits), so buckets that small come
+    about at the latest when 2 ** bits is no more than `most`, or only `apart` bits are left.
+    """
+    rows, done, free = _recut(prints.withColumn("mask", F.lit(0).cast("long")), apart + 1), None, 64
+    while True:
+        free -= free // (apart + 1)  # bits open in a bucket, at most
+        sizes = checkpoint(rows.groupBy("key").count().where(F.col("count") > most)) if free > apart else None
+        n = sizes.count() if sizes is not None else 0
         if n == 0:
             break
-        hot = F.broadcast(hot) if n <= SENT_KEYS else hot
+        hot = F.broadcast(sizes.select("key")) if n <= SENT_KEYS else sizes.select("key")
         cold = rows.join(hot, "key", "left_anti").select("key", "fp")
         done = cold if done is None else done.union(cold)
-        masks = [p for m in masks for p in _parts(m, apart + 1)]
-        rows = _keyed(rows.join(hot, "key", "left_semi").select("fp", "mask"), masks, apart)
+        rows = _recut(rows.join(hot, "key", "left_semi"), apart + 1)
     rows = rows.select("key", "fp")
     return rows if done is None else done.union(rows)
 
@@ -170,39 +172,51 @@ def groups(docs: DataFrame, apart: int = BITS_APART) -> DataFrame:
     """(doc_id, simhash, component_id): each row of `docs` with the least doc_id that links reach.
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated rows stay.
-    A null doc_id is never a component_id unless the whole component has none.
+    A null doc_id is never a component_id unless the whole component has none. Other columns are not read.
     """
-    prints = tables.checkpoint(fingerprints(docs.select("doc_id", "text")).select("doc_id", "simhash"))
-    return prints.join(_roots_of(prints, apart), "simhash").select("doc_id", "simhash", "component_id")
+    prints = checkpoint(fingerprints(docs.select("doc_id", "text")).select("doc_id", "simhash"))
+    roots, total = _roots_of(prints, apart)
+    return attach(prints, roots, "simhash", total).select("doc_id", "simhash", "component_id")
 
 
-def _roots_of(prints: DataFrame, apart: int) -> DataFrame:
-    """(simhash, root, component_id): each distinct fingerprint of `prints`, the least of its component, and the component's least doc_id."""
-    distinct = tables.checkpoint(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least")))
+def _roots_of(prints: DataFrame, apart: int) -> tuple[DataFrame, int]:
+    """(simhash, root, component_id, n) and the sum of n: each distinct fingerprint, the least of its component, the component's least doc_id, its rows."""
+    distinct = checkpoint(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     found = components(links(buckets(distinct.select("fp"), apart), apart))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(of, "root").select(F.col("fp").alias("simhash"), "root", "component_id")
+    rooted = checkpoint(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.col("n").alias("of"), F.coalesce("root", "fp").alias("root")))
+    size, total = rooted.agg(F.count("*"), F.sum("of")).first()
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return attach(rooted, ids, "root", size).select(F.col("fp").alias("simhash"), "root", "component_id", F.col("of").alias("n")), total or 0
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: doc_id, fingerprint, component_id."""
+    """One row a document, repeated ones too: doc_id, fingerprint, component_id (null only if no document of the component has an id)."""
     found = groups(tables.read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row_key(doc_id: str, text: str) -> Column:
+    """Equal for rows of equal id and text only."""
+    return F.sha2(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("none")).cast("binary"), F.lit(b"\x00"), F.coalesce(F.col(text), F.lit("")).cast("binary"), F.col(text).isNull().cast("string").cast("binary")), 256)
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group one row, that with the least id (nulls last), then the least text (null last).
 
-    A group is a component of fingerprints, so unrelated rows stay though their ids are null or equal.
-    Rows of equal id and text are told apart by their other columns, as far as these can be ordered.
+    A group is a component of fingerprints, so unrelated rows stay though their ids are null or equal; null and
+    empty texts are one group. Rows of equal id and text are told apart by their other columns, as far as
+    these can be ordered. The kept row is unchanged, whatever its columns are called. Ids, keys and
+    fingerprints decide which rows may stay; texts are shuffled once for that, and once more only where
+    several rows of a group have its least id.
     """
-    digest = F.sha2(F.col("text").cast("binary"), 256).alias("digest")
-    prints = tables.checkpoint(fingerprints(docs.select("doc_id", "text", digest)).select("doc_id", "digest", "simhash"))
-    least = prints.join(_roots_of(prints, BITS_APART), "simhash").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    least = least.select("root", F.col("doc_id").alias("least_id"), F.col("digest").alias("least_digest")).distinct()
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), "doc_id", digest)
-    rows = whole.join(least, F.col("doc_id").eqNullSafe(F.col("least_id")) & F.col("digest").eqNullSafe(F.col("least_digest"))).select("root", "doc")
-    rest = [f"doc.`{c}`" for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t]
-    order = Window.partitionBy("root").orderBy(F.col("doc.text").asc_nulls_last(), *rest)
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") == 1).select("doc.*")
+    rows = tables.packed(docs).withColumn("row_key", _row_key("doc_id", "text"))
+    prints = checkpoint(fingerprints(rows.select("doc_id", "row_key", "text")).select("doc_id", "row_key", "simhash"))
+    roots, total = _roots_of(prints, BITS_APART)
+    first = attach(prints, roots, "simhash", total).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("root", "row_key").agg(F.count("*").alias("n"))
+    alone = first.groupBy("root").agg((F.sum("n") == 1).alias("alone"))
+    first = checkpoint(first.join(alone, "root"))  # of rows with a null id in one group there may be many, but each group key is met after aggregation
+    met = attach(rows, first, "row_key", total)
+    order = F.struct(F.col("text").isNull(), "text", *[f"rest.`{c}`" for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t])
+    several = met.where(~F.col("alone")).groupBy("root").agg(F.min_by(F.struct("doc_id", "text", "rest"), order).alias("row")).select("row.*")
+    return tables.unpacked(met.where("alone").select("doc_id", "text", "rest").unionByName(several), docs)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import math
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,6 +18,10 @@ from pyspark.sql.types import StructType
 from .textbuf import flat, slices
 
 _GRAIN = 1 << 30
+#: Keys sent to all tasks at most: of a table of classes, and of those that attach() takes for hot.
+SENT_KEYS, HEAVY = 100_000, 4096
+#: Bytes of text a class that a model is learned from at most.
+TRAIN_BYTES = 48 << 20
 #: Bytes of text that a task works on at once.
 PART_BYTES = 4 << 20
 
@@ -29,29 +35,85 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
 
 
-def bounded(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
-    """About `most` rows of each value of `by` at most, chosen by a hash of `key`.
+def bounded(rows: DataFrame, by: str, key: str, most: int, total: float = math.inf) -> DataFrame:
+    """About `most` rows of each value of `by` at most, and about `total` in all, chosen by a hash of `key`.
 
-    One count by class (partial aggregation; as many rows as classes reach the
-    driver) gives each class its sampling rate, so no sort and no per-class window is needed.
+    One count by class gives each class its sampling rate, so no sort and no per-class window is needed;
+    the counts are sent to all tasks if there are few classes, else rows and rates meet by class.
+    With more classes than `total`, some classes have no row.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
-    if not counts:
-        return rows
-    rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(_GRAIN * min(1.0, most / n)))])
+    counts = checkpoint(rows.groupBy(by).agg(F.count("*").alias("_of")))
+    classes = counts.count()
+    each = min(most, total / max(1, classes))
+    rates = counts.select(F.col(by).alias("_class"), (F.lit(_GRAIN * each) / F.col("_of")).alias("_rate"))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(_GRAIN))
-    return rows.where(draw < rates[F.col(by)])
+    met = rows.join(F.broadcast(rates) if classes <= SENT_KEYS else rates, F.col(by) == F.col("_class"))
+    return met.where(draw < F.col("_rate")).select(*rows.columns)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most about `most` rows a class with label 0 or 1, ids in `train` only.
+    """(doc_id, text, y) of at most about `most` documents a class with label 0 or 1, ids in `train` only.
 
-    Several labels of one document: the larger counts. Null ids and labels are left out.
+    Several labels of one document: the larger counts. Several documents with one id: one counts, that with
+    the least text. Null ids and labels are left out. One partition, ordered by a hash of the id: tasks read
+    `docs` in parallel and only what was chosen meets.
     """
     y = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & train)
     y = y.groupBy("doc_id").agg(F.max("y").alias("y"))
     picked = bounded(y, "y", "doc_id", most)  # its size is bounded, so it may be sent to all
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return together(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "y")
+
+
+def together(sample: DataFrame, label: str) -> DataFrame:
+    """A bounded sample (doc_id, text, `label`) in one partition, one row for each id and label: that with the least text, null as empty."""
+    one = sample.groupBy("doc_id", label).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return one.select("doc_id", "text", label).repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(7)), "doc_id", label)
+
+
+class Share:
+    """Says which rows of a sample, in their order, still fit into `most` bytes of text a class; a class's first row always does."""
+
+    def __init__(self, most: int):
+        self.most, self.used = most, {}
+
+    def fits(self, label: object, text: str | None) -> bool:
+        used = self.used.get(label)
+        size = (used or 0) + len(text or "")
+        if used is not None and size > self.most:
+            return False
+        self.used[label] = size
+        return True
+
+
+def attach(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` with the columns of `found`, which has one row a `key` and n, the number of rows that have it; inner, by equal keys.
+
+    A key of more than 1 / HEAVY of the `total` rows is sent to all tasks (there are at most HEAVY such
+    keys), so a hot key stays where its rows are; the others meet by key. n is left out.
+    """
+    limit = total // HEAVY
+    heavy = found.where(F.col("n") > limit).drop("n")
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(found.where(F.col("n") <= limit).drop("n"), key))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): the other columns of `docs` in one struct, so that no name of theirs can clash."""
+    rest = [docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, n_chars: Column | None = None) -> DataFrame:
+    """The columns of `docs` in their order from rows that come from packed(); `n_chars`, if given, replaces a column of that name."""
+
+    def own(c: str) -> Column:
+        if c in ("doc_id", "text"):
+            return F.col(c)
+        if c == "n_chars" and n_chars is not None:
+            return n_chars.cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"rest.`{c}`").alias(c)
+
+    return rows.select(*map(own, docs.columns))
 
 
 def append(docs: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
@@ -91,14 +153,28 @@ def release(cycles: bool = True) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where none is set, as in local tests, a new local one."""
+    """The folder named in spark.checkpoint.dir. Where none is set, a session with local tasks gets a new one; others fail."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the session's shared folder."""
+    """`df` computed once and kept in the session's shared folder.
+
+    Spark removes it with the last reference to it if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this package wrote."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

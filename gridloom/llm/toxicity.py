@@ -2,8 +2,8 @@
 
 Folding lowers case, drops zero-width marks, maps look-alike letters and digits
 that stand for letters to plain letters, strips accents and turns everything
-else into single blanks. Lexicon terms are whole words or word beginnings;
-exception phrases take a match's weight back. A document's weight is divided by
+else into single blanks. Lexicon terms are whole words or word beginnings; a
+match inside an exception phrase doesn't count. A document's weight is divided by
 a power of its length, the one that fits the labels best, and mapped to 0..1 by
 a fitted logistic curve.
 """
@@ -15,22 +15,29 @@ import pickle
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tables
+from .textbuf import mix
 
 #: At most about so many labelled rows a class are learned from.
 TRAIN_ROWS = 6000
 THRESHOLD = 0.7
-#: Least log-odds of a term; most terms; shortest and longest word beginning; length added before the square root.
-LEAST_ODDS, MOST_TERMS, SHORTEST, LONGEST, OFFSET = 2.0, 400, 4, 12, 20.0
+#: Least log-odds of a term; letters of the word beginnings that may be terms (whole words may be of any length); length added before the power.
+LEAST_ODDS, SHORTEST, LONGEST, OFFSET = 2.0, 4, 12, 20.0
+#: Labelled texts whose sets of SHINGLE words in a row are at least so alike speak for a term once.
+SHINGLE, ALIKE = 5, 0.25
 
 # Letters of other scripts that look like Latin ones, and marks used for letters.
 LOOK_ALIKES = {
@@ -75,30 +82,47 @@ def fold(text: str | None) -> str:
 
 @dataclass
 class Lexicon:
-    """Folded patterns (a leading blank, for whole words a trailing one) with weights, and the curve."""
+    """Folded patterns (a leading blank, for whole words a trailing one) with weights, exception phrases, and the curve."""
 
     terms: dict[str, float]
-    exceptions: dict[str, float] = field(default_factory=dict)
+    exceptions: set[str] = field(default_factory=set)
     slope: float = 1.0
     base: float = -4.0
     power: float = 0.5
 
     def automaton(self) -> ahocorasick.Automaton | None:
+        """Each pattern's length, and its weight or, for an exception, None."""
         if not self.terms:
             return None
         a = ahocorasick.Automaton()
         for p, w in self.terms.items():
-            a.add_word(p, w)
-        for p, w in self.exceptions.items():
-            a.add_word(p, -w)
+            a.add_word(p, (len(p), w))
+        for p in self.exceptions:
+            a.add_word(p, (len(p), None))
         a.make_automaton()
         return a
 
 
+def counted(found: list[tuple[int, tuple[int, float | None]]]) -> list[float]:
+    """The weights of the matches (last place, (length, weight)) that lie within no exception's match."""
+    free = sorted((end + 1 - n, end) for end, (n, w) in found if w is None)
+    if not free:
+        return [w for _, (_, w) in found]
+    starts = [a for a, _ in free]
+    reach = list(accumulate((b for _, b in free), max))  # the farthest end of the exceptions that begin so early
+    out = []
+    for end, (n, w) in found:
+        if w is not None:
+            k = bisect_right(starts, end + 1 - n)
+            if k == 0 or reach[k - 1] < end:
+                out.append(w)
+    return out
+
+
 def weigh(automaton: ahocorasick.Automaton | None, folded: str) -> tuple[float, int, int]:
     """Of a folded text: the summed weight, the number of matches, and the length in words."""
-    found = [w for _, w in automaton.iter(folded)] if automaton is not None else []
-    return max(0.0, sum(found)), len(found), folded.count(" ") - 1
+    found = counted(list(automaton.iter(folded))) if automaton is not None else []
+    return sum(found), len(found), folded.count(" ") - 1
 
 
 def level(weight: float, words: int, power: float) -> float:
@@ -111,58 +135,72 @@ def _candidates(t: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(SHORTEST, min(len(w), LONGEST + 1))}
 
 
-def _unlike(texts: Iterable[str]) -> list[str]:
-    """Texts, in order, that share none of four least shingle hashes with an earlier one."""
-    seen: set[tuple[int, int]] = set()
-    out = []
+def _kin(texts: Iterable[str]) -> list[list[str]]:
+    """All texts, in groups: each joins the first text before it whose shingles are ALIKE; shared least hashes bring pairs together."""
+    near: dict[tuple[int, int], list[int]] = defaultdict(list)
+    sets: list[set[int]] = []
+    group: list[int] = []
+    out: list[list[str]] = []
     for t in sorted(set(texts)):
         words = t.split()
-        shingles = [zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))]
-        least = {(k, min((h ^ x) * 0x9E3779B1 & 0xFFFFFFFF for h in shingles)) for k, x in enumerate((0, 0x5BD1E995, 0x1B873593, 0xCC9E2D51))}
-        if not least & seen:
-            out.append(t)
-        seen |= least
+        own = {zlib.crc32(" ".join(words[i : i + SHINGLE]).encode()) for i in range(max(1, len(words) - SHINGLE + 1))}
+        h = np.fromiter(own, np.uint64, len(own))
+        least = list(enumerate(int(mix(h ^ np.uint64(k << 32)).min()) for k in range(16)))
+        met = sorted({i for key in least for i in near[key]})
+        first = next((i for i in met if (both := len(own & sets[i])) >= ALIKE * (len(own) + len(sets[i]) - both)), None)
+        for key in least:
+            near[key].append(len(sets))
+        sets.append(own)
+        group.append(len(out) if first is None else group[first])
+        if first is None:
+            out.append([])
+        out[group[-1]].append(t)
     return out
 
 
+def _held(group: list[str]) -> set[str]:
+    return {c for t in group for c in _candidates(t)}
+
+
 def fit(toxic: list[str], clean: list[str]) -> Lexicon:
-    """Learn terms, exceptions and curve from folded texts; copies and near copies count once.
+    """Learn terms, exceptions and curve from folded texts; a term is counted by groups of texts that are much alike, so copies speak once.
 
     Terms are chosen one after another, each the one that explains most toxic
-    texts, where a text that earlier terms explain counts half as much for each,
-    so words that merely stand beside them are not taken.
+    groups, where a group that earlier terms explain counts half as much for each,
+    so words that merely stand beside them are not taken. A term needs two groups, and one in 250.
     """
-    toxic, clean = _unlike(toxic), _unlike(set(clean) - set(toxic))
+    toxic, clean = sorted(set(toxic)), sorted(set(clean) - set(toxic))
     if not toxic:
         return Lexicon({})
-    least = max(2, len(toxic) // 250)
+    bad, good = _kin(toxic), _kin(clean)
+    least = max(2, len(bad) // 250)
     df: Counter[str] = Counter()
-    for t in toxic:
-        df.update(_candidates(t))
+    for g in bad:
+        df.update(_held(g))
     df = Counter({c: n for c, n in df.items() if n >= least})
     other: Counter[str] = Counter()
-    for t in clean:
-        other.update(c for c in _candidates(t) if c in df)
-    odds = {c: math.log((n + 0.5) / (len(toxic) + 1)) - math.log((other[c] + 0.5) / (len(clean) + 1)) for c, n in df.items()}
+    for g in good:
+        other.update(c for c in _held(g) if c in df)
+    odds = {c: math.log((n + 0.5) / (len(bad) + 1)) - math.log((other[c] + 0.5) / (len(good) + 1)) for c, n in df.items()}
     odds = {c: o for c, o in odds.items() if o >= LEAST_ODDS}
-    posting: dict[str, set[int]] = defaultdict(set)
-    for i, t in enumerate(toxic):
-        for c in _candidates(t):
-            if c in odds:
-                posting[c].add(i)
+    holds = [[c for c in _held(g) if c in odds] for g in bad]
+    posting: dict[str, list[int]] = defaultdict(list)
+    for i, held in enumerate(holds):
+        for c in held:
+            posting[c].append(i)
     terms: dict[str, float] = {}
     gain = {c: float(len(p)) for c, p in posting.items()}
-    holds: dict[int, list[str]] = defaultdict(list)
-    for c, p in posting.items():
-        for i in p:
-            holds[i].append(c)
-    left = [1.0] * len(toxic)
-    while gain and len(terms) < MOST_TERMS:
-        best = max(gain, key=lambda c: (gain[c] * odds[c], len(c), c))
+    left = [1.0] * len(bad)
+    queue = [(-gain[c] * odds[c], -len(c), c) for c in gain]  # a gain only falls, so what is up to date at the top is the best
+    heapify(queue)
+    while queue:
+        worth, _, best = heappop(queue)
+        if -gain[best] * odds[best] != worth:
+            heappush(queue, (-gain[best] * odds[best], -len(best), best))
+            continue
         if gain[best] < least:
             break
         n = len(posting[best])
-        del gain[best]
         kin = [p for p in terms if p.startswith(best.rstrip()) or best.startswith(p.rstrip())]
         if any(len(best) > len(p) or n <= 1.2 * len(posting[p]) for p in kin):
             continue  # a beginning of, or a word begun by, a term that says as much
@@ -172,39 +210,34 @@ def fit(toxic: list[str], clean: list[str]) -> Lexicon:
         for i in posting[best]:
             left[i] /= 2
             for c in holds[i]:
-                if c in gain:
-                    gain[c] -= left[i]
+                gain[c] -= left[i]
     lexicon = Lexicon(terms)
     lexicon.exceptions = _exceptions(lexicon, toxic, clean)
-    lexicon.slope, lexicon.base, lexicon.power = _curve(lexicon, toxic, clean)
+    lexicon.slope, lexicon.base, lexicon.power = _curve(lexicon, bad, good)
     return lexicon
 
 
-def _exceptions(lexicon: Lexicon, toxic: list[str], clean: list[str]) -> dict[str, float]:
+def _exceptions(lexicon: Lexicon, toxic: list[str], clean: list[str]) -> set[str]:
     """Pairs of a matched word and a neighbour that clean texts hold more often than toxic ones."""
     seen = Counter(), Counter()
     heads = {p.strip() for p in lexicon.terms}
     whole = {p.strip() for p in lexicon.terms if p.endswith(" ")}
 
     def term(w: str) -> bool:
-        return w in whole or any(w[:k] in heads and w[:k] not in whole for k in range(SHORTEST, min(len(w), LONGEST + 1)))
+        return w in whole or any(w[:k] in heads and w[:k] not in whole for k in range(SHORTEST, min(len(w), LONGEST) + 1))
 
     for kind, texts in ((1, toxic), (0, clean)):
         for t in texts:
             words = t.split()
             at = [i for i, w in enumerate(words) if term(w)]
             seen[kind].update({f" {words[j]} {words[j + 1]} " for i in at for j in (i - 1, i) if 0 <= j < len(words) - 1})
-    weight = {}
-    for phrase, n in seen[0].items():
-        if n >= 3 and (n + 0.5) / (len(clean) + 1) > 3 * (seen[1][phrase] + 0.5) / (len(toxic) + 1):
-            weight[phrase] = sum(w for p, w in lexicon.terms.items() if p in phrase)
-    return weight
+    return {phrase for phrase, n in seen[0].items() if n >= 3 and (n + 0.5) / (len(clean) + 1) > 3 * (seen[1][phrase] + 0.5) / (len(toxic) + 1)}
 
 
-def _curve(lexicon: Lexicon, toxic: list[str], clean: list[str]) -> tuple[float, float, float]:
-    """Slope, base and power of the curve with the least loss; both classes weigh the same."""
+def _curve(lexicon: Lexicon, toxic: list[list[str]], clean: list[list[str]]) -> tuple[float, float, float]:
+    """Slope, base and power of the curve with the least loss; both classes, and the groups of a class, weigh the same."""
     a = lexicon.automaton()
-    seen = [(*weigh(a, t), 1.0, 1 / len(toxic)) for t in toxic] + [(*weigh(a, t), 0.0, 1 / max(1, len(clean))) for t in clean]
+    seen = [(*weigh(a, t), y, 1 / len(groups) / len(g)) for groups, y in ((toxic, 1.0), (clean, 0.0)) for g in groups for t in g]
     best = (math.inf, 1.0, -4.0, 0.5)
     for power in (0.1, 0.25, 0.5, 1.0):
         rows = [(level(w, n, power), y, k) for w, _, n, y, k in seen]
@@ -238,18 +271,23 @@ def _logistic(rows: list[tuple[float, float, float]]) -> tuple[float, float, flo
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts: dict[int, list[str]] = {0: [], 1: []}
+    share = tables.Share(tables.TRAIN_BYTES)
     for b in batches:
         for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-            texts[y].append(fold(t))
+            if share.fits(y, t):
+                texts[y].append(fold(t))
     model = pickle.dumps(fit(texts.pop(1), texts.pop(0)))
     tables.release()
     yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, most: int = TRAIN_ROWS) -> Lexicon:
-    """A lexicon learned in one task from about 2 * most labelled rows outside fold `held`; without any, an empty one."""
+    """A lexicon learned in one task from about `most` labelled documents and TRAIN_BYTES of text a class outside fold `held`.
+
+    Without any it is empty. What tables.labelled() says of nulls and repeats holds here.
+    """
     sample = tables.labelled(docs, labels, label, tables.fold("doc_id", folds) != held, most)
-    got = sample.coalesce(1).mapInArrow(_train, "model binary").collect()
+    got = sample.mapInArrow(_train, "model binary").collect()
     return pickle.loads(bytes(got[0][0])) if got else Lexicon({})
 
 
@@ -273,7 +311,7 @@ def score(spark: SparkSession, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: doc_id, held_out, score, predicted (1 from 0.7), matches."""
+    """One row a document, repeated ones too: doc_id, held_out (null for a null id), score, predicted (1 from 0.7), matches that count."""
     docs = tables.read(spark, sf_dir, "documents")
     out = score(spark, docs.select("doc_id", "text"), train(docs, tables.read(spark, sf_dir, "labels")))
     s = F.col("toxicity")

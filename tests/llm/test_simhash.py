@@ -100,3 +100,31 @@ def test_stage_keeps_unrelated_rows_of_null_or_equal_ids(spark):
     want = [(None, text[0], 0), (None, text[1], 1), (3, text[2], 4), (5, text[3], 5), (None, "", 8), (7, min(copy, text[4]), 10)]
     assert sorted(map(tuple, out.collect()), key=lambda r: r[2]) == want
     assert S.keep_one(spark, df.limit(0), "").count() == 0
+
+
+def test_attach_is_an_inner_join_by_equal_keys(spark, monkeypatch):
+    monkeypatch.setattr(S.tables, "HEAVY", 10)
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id % 200) as k", "id as x")
+    found = rows.groupBy("k").count().selectExpr("k", "count as n", "k * 2 as y").where("k != 5")
+    got = S.attach(rows, found, "k", 3000)
+    assert got.columns == ["k", "x", "y"] and got.where("y != 2 * k").count() == 0
+    assert got.count() == rows.where("k != 5").count() and got.select("x").distinct().count() == got.count()
+
+
+def test_one_giant_component(spark):
+    n = 3000
+    edges = [(0, i) for i in range(1, n)] + [(n + i, n + i + 1) for i in range(200)] + [(n + 100, 17), (10**6, 10**6)]
+    got = {r.node: r.root for r in S.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(n + 201), 0)
+    assert S.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_third_of_all_rows_is_one_text(spark):
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(3 * i, None if i % 2 else "", i) for i in range(200)] + [(3 * i + 1, say(0) + " more" * (i % 3), i) for i in range(200)] + [(3 * i + 2, say(1 + i), i) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root int").selectExpr("*", "doc_id % 5 as rest", "'k' as row_key", "1 as simhash").repartition(5)
+    found = S.groups(df)
+    kept = S.keep_one(spark, df, "")
+    assert found.count() == len(rows) and kept.columns == df.columns
+    assert kept.count() == found.select("component_id").distinct().count()
+    assert {r.doc_id for r in kept.collect()} == {r.component_id for r in found.collect()}
