@@ -35,8 +35,16 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
 
 
-def bounded(rows: DataFrame, by: str, key: str, most: int, total: float = math.inf) -> DataFrame:
-    """About `most` rows of each value of `by` at most, and about `total` in all, chosen by a hash of `key`.
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded(rows: DataFrame, by: str, key: str | list[str], most: int, total: float = math.inf) -> DataFrame:
+    """About `most` rows of each value of `by` at most, and about `total` in all, chosen by a hash of the column or columns `key`.
 
     One count by class gives each class its sampling rate, so no sort and no per-class window is needed;
     the counts are sent to all tasks if there are few classes, else rows and rates meet by class.
@@ -46,7 +54,7 @@ def bounded(rows: DataFrame, by: str, key: str, most: int, total: float = math.i
     classes = counts.count()
     each = min(most, total / max(1, classes))
     rates = counts.select(F.col(by).alias("_class"), (F.lit(_GRAIN * each) / F.col("_of")).alias("_rate"))
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(_GRAIN))
+    draw = F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key), F.lit(7)), F.lit(_GRAIN))
     met = rows.join(F.broadcast(rates) if classes <= SENT_KEYS else rates, F.col(by) == F.col("_class"))
     return met.where(draw < F.col("_rate")).select(*rows.columns)
 
