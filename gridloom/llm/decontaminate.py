@@ -2,10 +2,11 @@
 
 A shard is a run of documents of one task. Its symbols are the words that any
 phrase holds; runs of other words are one separator, which no phrase can cross.
-All phrases are searched at once; the rows found are located by sampled suffix
-positions, and overlapping occurrences merge into removal spans. Nothing is
-shuffled. Benchmark items are sent to the tasks in blocks of bounded size, one
-pass over the documents for each block.
+A shard is indexed once and all phrases are searched in it, a block of them at a
+time; the rows found are located by sampled suffix positions, and overlapping
+occurrences merge into removal spans. Nothing is shuffled. The benchmark is sent
+to the tasks as word numbers; only one of more than SENT_BYTES takes further
+rounds, each written before the next.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .fm_index import FmIndex
 from .textbuf import flat, hashes, runs, slices, spread
 
 WINDOW = 10
-#: Text indexed at once, and benchmark text sent to the tasks at once.
-SHARD_BYTES, BLOCK_BYTES = 4 << 20, 4 << 20
+#: Text indexed at once, benchmark text of a block of phrases, and of all blocks sent to the tasks at once.
+SHARD_BYTES, BLOCK_BYTES, SENT_BYTES = 4 << 20, 1 << 20, 32 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -43,35 +44,37 @@ def _first_eight(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return hashes(data, starts, np.minimum(ends, starts + 8))
 
 
+@dataclass
+class Block:
+    """The distinct windows of some items: first word and length of each, and the items (by place) that hold it."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    first: np.ndarray  # each window's first owner, and the end
+    owners: np.ndarray
+
+
 @dataclass
 class Phrases:
-    """The distinct windows of a block of items, as symbols (words from 2), by length, with the items that hold each."""
+    """Items as symbols (words from 2, numbered over all items at hand), and their windows in blocks."""
 
     vocabulary: np.ndarray
     heads: np.ndarray
     lengths: np.ndarray
-    patterns: dict[int, np.ndarray]
-    owners: dict[int, list[list[str]]]
+    symbols: np.ndarray
+    names: list[str | None]
+    blocks: list[Block]
 
     @staticmethod
     def of(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phrases:
-        data, starts, ends, first = words(pa.array([t for _, t in items], pa.string()))
-        h = hashes(data, starts, ends)
-        vocabulary, at, symbol = np.unique(h, return_index=True, return_inverse=True)
-        symbol = symbol + 2
-        held: dict[int, dict[bytes, set[str]]] = {}
-        for k, (name, _) in enumerate(items):
-            own = symbol[first[k] : first[k + 1]].astype("<i8")
-            size = min(window, len(own))
-            for i in range(len(own) - size + 1 if size else 0):
-                names = held.setdefault(size, {}).setdefault(own[i : i + size].tobytes(), set())
-                if name is not None:
-                    names.add(str(name))
-        patterns = {n: np.array([np.frombuffer(p, "<i8") for p in found]) for n, found in held.items()}
-        owners = {n: [sorted(x) for x in found.values()] for n, found in held.items()}
-        return Phrases(vocabulary, _first_eight(data, starts[at], ends[at]), (ends - starts)[at], patterns, owners)
-
-    def symbols(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        data, starts, ends, first = words(pa.array([t for _, t in items], pa.large_string()))
+        vocabulary, at, symbol = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        symbol = (symbol + 2).astype(np.int32)
+        size = np.array([len((t or "").encode()) for _, t in items], np.int64)
+        found = [_windows(symbol, first, a, b, window) for a, b in slices(np.concatenate([[0], np.cumsum(size)]), BLOCK_BYTES)]
+        return Phrases(vocabulary, _first_eight(data, starts[at], ends[at]), (ends - starts)[at], symbol, [None if k is None else str(k) for k, _ in items], found)
+
+    def number(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The symbol of each word, 1 for one that no phrase holds."""
         h = hashes(data, starts, ends)
         if len(self.vocabulary) == 0:
@@ -83,10 +86,28 @@ class Phrases:
         return np.where(same, at + 2, 1)
 
 
+def _windows(symbol: np.ndarray, first: np.ndarray, a: int, b: int, window: int) -> Block:
+    """The distinct windows of items a to b."""
+    n = np.diff(first[a : b + 1])
+    size = np.minimum(n, window)
+    count = np.where(n > 0, n - size + 1, 0)
+    starts, sizes = spread(first[a:b], count), np.repeat(size, count)
+    owner = np.repeat(np.arange(a, b), count)
+    padded = np.append(symbol, np.zeros(window, np.int32))
+    grid = np.where(np.arange(window)[None, :] < sizes[:, None], padded[starts[:, None] + np.arange(window)], 0)
+    order = np.lexsort((owner, *grid.T[::-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = (grid[order[1:]] != grid[order[:-1]]).any(axis=1)
+    pair = new.copy()
+    pair[1:] |= owner[order[1:]] != owner[order[:-1]]
+    head = order[new]
+    return Block(starts[head], sizes[head], np.append(np.searchsorted(np.flatnonzero(pair), np.flatnonzero(new)), pair.sum()), owner[order[pair]])
+
+
 def find(phrases: Phrases, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
-    """Each document's first word in the shard, a flag for each hit word, and the items found in each document."""
+    """Each document's first word in the shard, a flag for each hit word, the words' starts, and the items found in each document."""
     data, starts, ends, first = words(column)
-    symbol = phrases.symbols(data, starts, ends)
+    symbol = phrases.number(data, starts, ends)
     n = len(first) - 1
     hit = np.zeros(len(symbol), bool)
     items: list[set[str]] = [set() for _ in range(n)]
@@ -103,24 +124,32 @@ def find(phrases: Phrases, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     break_before = np.flatnonzero(opens[place] & known[place])  # a document that begins with a phrase word
     text = np.insert(symbol[place], break_before, 1)
     place = np.insert(place, break_before, -1)
-    index = FmIndex(text, len(phrases.vocabulary) + 2)
-    for size, patterns in phrases.patterns.items():
-        lo, hi = index.search(patterns)
-        some = np.flatnonzero(hi > lo)
-        if len(some) == 0:
-            continue
-        count = hi[some] - lo[some]
-        at = place[index.locate(spread(lo[some], count))]
-        edge = np.bincount(at, minlength=len(hit) + 1) - np.bincount(at + size, minlength=len(hit) + 1)[: len(hit) + 1]
-        hit |= np.cumsum(edge[: len(hit)]) > 0
-        document = np.searchsorted(first, at, "right") - 1
-        for pair in np.unique(document * len(patterns) + np.repeat(some, count)).tolist():
-            items[pair // len(patterns)].update(phrases.owners[size][pair % len(patterns)])
+    # the shard's own numbers for the words that it holds; windows with other words can't occur
+    held, text = np.unique(np.append(text, 1), return_inverse=True)
+    own = np.zeros(len(phrases.vocabulary) + 2, np.int32)
+    own[held] = np.arange(len(held)) + 1
+    index = FmIndex(text[:-1] + 1, len(held) + 1)
+    query = own[phrases.symbols]
+    missing = np.concatenate([[0], np.cumsum(query == 0)])
+    edge = np.zeros(len(hit) + 1, np.int64)
+    for block in phrases.blocks:
+        live = np.flatnonzero(missing[block.starts + block.sizes] == missing[block.starts])
+        for size in np.unique(block.sizes[live]).tolist():
+            mine = live[block.sizes[live] == size]
+            lo, hi = index.search(query[block.starts[mine][:, None] + np.arange(size)].astype(np.int64))
+            some = np.flatnonzero(hi > lo)
+            count = hi[some] - lo[some]
+            at = place[index.locate(spread(lo[some], count))]
+            edge += np.bincount(at, minlength=len(edge)) - np.bincount(at + size, minlength=len(edge))[: len(edge)]
+            document = np.searchsorted(first, at, "right") - 1
+            for d, w in np.unique(np.column_stack([document, np.repeat(mine[some], count)]), axis=0).tolist():
+                items[d].update(x for k in block.owners[block.first[w] : block.first[w + 1]] if (x := phrases.names[k]) is not None)
+    hit = np.cumsum(edge[: len(hit)]) > 0
     return first, hit, starts, items
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
-    """Items with their texts, about `most` bytes of text at a time; one partition at a time reaches the driver."""
+def rounds(benchmark: DataFrame, most: int) -> Iterator[list[tuple[object, str | None]]]:
+    """Items with their texts, about `most` characters at a time, none if there are none; one partition at a time reaches the driver."""
     held, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         held.append((r[0], r[1]))
@@ -139,18 +168,23 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     """`docs` with n_words, n_hit, hit_words (a bit for each word, first word first) and hit_items (sorted ids).
 
     Null and empty texts have no words. An item without words hits nothing; items of one id count
-    as one, items with a null id hit words but are not listed. Earlier columns of these names are replaced.
+    as one, items with a null id hit words but are not listed. Rows are searched one by one, so ids and
+    repeats among them don't matter. Earlier columns of these names are replaced. A benchmark of
+    more than SENT_BYTES takes several rounds; each but the last is kept in the shared folder, so
+    neither the plan nor what is sent grows with it.
     """
     docs = docs.drop(*[f.split()[0] for f in FIELDS.split(", ")])
-    first = True
-    for items in blocks(benchmark):
-        docs = _pass(spark, docs, Phrases.of(items, window), first)
-        first = False
-    return _pass(spark, docs, Phrases.of([], window), True) if first else docs
+    held = None
+    for items in rounds(benchmark, SENT_BYTES):
+        if held is not None:
+            docs = tables.checkpoint(docs)
+        docs, held = _pass(spark, docs, Phrases.of(items, window), held is None), items
+    return _pass(spark, docs, Phrases.of([], window), True) if held is None else docs
 
 
 def _pass(spark: SparkSession, docs: DataFrame, phrases: Phrases, first: bool) -> DataFrame:
     shared = spark.sparkContext.broadcast(phrases)
+    earlier = [] if first else [tables.fresh(docs, "earlier_words"), tables.fresh(docs, "earlier_items")]
 
     def run(b: pa.RecordBatch) -> list[pa.Array]:
         text = b.column("text")
@@ -160,9 +194,9 @@ def _pass(spark: SparkSession, docs: DataFrame, phrases: Phrases, first: bool) -
             for k in range(y - x):
                 own = hit[at[k] : at[k + 1]]
                 ids = found[k]
-                if not first:
-                    own = own | _flags(b.column("earlier_words")[x + k], len(own))
-                    ids = ids | set(b.column("earlier_items")[x + k].as_py())
+                if earlier:
+                    own = own | _flags(b.column(earlier[0])[x + k], len(own))
+                    ids = ids | set(b.column(earlier[1])[x + k].as_py())
                 n_words.append(len(own))
                 n_hit.append(int(own.sum()))
                 bits.append(np.packbits(own, bitorder="little").tobytes())
@@ -171,8 +205,8 @@ def _pass(spark: SparkSession, docs: DataFrame, phrases: Phrases, first: bool) -
 
     if first:
         return tables.append(docs, FIELDS, run)
-    docs = docs.withColumnsRenamed({"hit_words": "earlier_words", "hit_items": "earlier_items"})
-    return tables.append(docs, FIELDS, run).drop("earlier_words", "earlier_items")
+    docs = docs.withColumnsRenamed(dict(zip(("hit_words", "hit_items"), earlier, strict=True)))
+    return tables.append(docs, FIELDS, run).drop(*earlier)
 
 
 def _flags(bits: pa.Scalar, n: int) -> np.ndarray:
@@ -202,7 +236,7 @@ def remove(docs: DataFrame) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row a document, repeated ones too: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
     out = scan(spark, docs, tables.read(spark, sf_dir, "benchmark"))
     return out.select(
@@ -216,13 +250,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays; benchmark passages are cut from its text and n_chars follows."""
-    columns = docs.columns
-    out = remove(scan(spark, docs, tables.read(spark, sf_dir, "benchmark")))
-    changed = F.col("n_hit") > 0
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("cleaned")).select(*columns)
+    """Pipeline stage: every row stays; benchmark passages are cut from its text and n_chars follows, all else is unchanged, whatever it is called.
+
+    Rows are searched one by one, so ids and repeats don't matter; null texts stay null, an empty table stays
+    empty, and an empty benchmark changes nothing.
+    """
+    out = remove(scan(spark, tables.packed(docs), tables.read(spark, sf_dir, "benchmark")))
+    n_chars = F.when(F.col("n_hit") > 0, F.length("cleaned")).otherwise(F.col("rest.n_chars")) if "n_chars" in docs.columns else None
+    return tables.unpacked(out.withColumn("length", n_chars if n_chars is not None else F.lit(None)).withColumn("text", F.col("cleaned")), docs, F.col("length") if n_chars is not None else None)
 
 
 OP5_SQL = r"""

@@ -61,7 +61,8 @@ def test_matches_brute_force_and_blocks(spark, monkeypatch):
         docs, items = data(seed)
         df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'q' as n_words", "1 as item_id")
         bench = spark.createDataFrame(items, "item_id long, text string")
-        monkeypatch.setattr(D.blocks, "__defaults__", (block,))
+        monkeypatch.setattr(D, "SENT_BYTES", block)
+        monkeypatch.setattr(D, "BLOCK_BYTES", 60)
         got = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_words, r.n_hit, ",".join(r.hit_items)) for r in D.scan(spark, df, bench).collect())
         assert got == [(-1 if d is None else d, *x) for d, *x in sorted(brute([(-1 if d is None else d, t) for d, t in docs], items))]
         assert D.scan(spark, df.limit(0), bench).count() == 0
@@ -73,3 +74,23 @@ def test_removal(spark):
     df = spark.createDataFrame([(1, f"Keep é. {item.upper()}! And this."), (2, "clean  text,\n kept"), (3, None)], "doc_id long, text string")
     out = {r.doc_id: r.cleaned for r in D.remove(D.scan(spark, df, spark.createDataFrame([(1, item)], "item_id long, text string"))).collect()}
     assert out == {1: "Keep é. ! And this.", 2: "clean  text,\n kept", 3: None}
+
+
+def test_plan_does_not_grow_with_the_benchmark(spark, monkeypatch):
+    docs, items = data(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "BLOCK_BYTES", 20)
+    for sent in (1 << 20, 40):
+        monkeypatch.setattr(D, "SENT_BYTES", sent)
+        assert D.scan(spark, df, bench)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_stage_passes_other_columns_through(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(1, f"a {passage} b", "x", 5, 99), (None, None, "y", 6, None), (1, "", "z", 7, 0)], "doc_id long, text string, n_words string, cleaned int, n_chars int")
+    out = D.cut_benchmark(spark, df, str(tmp_path))
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[3]) == [(1, "a  b", "x", 5, 4), (None, None, "y", 6, None), (1, "", "z", 7, 0)]
+    assert D.cut_benchmark(spark, df.limit(0), str(tmp_path)).count() == 0
