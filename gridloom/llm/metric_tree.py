@@ -1,12 +1,14 @@
 """Exact top-k by inner product over M-trees.
 
-Vectors are dealt to shards by a hash of their id. A shard's M-tree has pages of
-metric nodes with routing vectors, covering radii and distances to the parent.
-One more coordinate gives all vectors of a shard the same norm, so the nearest
-vectors are those with the largest inner products. A query walks pages best
-first; stored parent distances rule out entries by the triangle inequality
-before any distance is computed. Scores are exact integers, and a bound only
-rules out what can't even tie.
+Vectors are dealt to cells by their nearest routing vector (from a bounded
+sample), large cells to several shards. A shard's M-tree has pages of metric
+nodes with routing vectors, covering radii and distances to the parent. One more
+coordinate gives all vectors of a shard the same norm, so the nearest vectors
+are those with the largest inner products. A query first asks its own cell; its
+score there is the bound with which it meets the other shards, most of which
+their covering radius then rules out. It walks pages best first; stored parent
+distances rule out entries by the triangle inequality before any distance is
+computed. Scores are exact integers, and a bound only rules out what can't even tie.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import tables
 
 PAGE, FAN = 512, 32
-#: Vectors of a shard aimed at; bytes of queries sent to the tasks at once.
-SHARD_ROWS, QUERY_BYTES = 8192, 8 << 20
+#: Vectors of a shard aimed at; bytes of queries sent to the tasks at once; bytes of routing vectors at most, and sampled vectors for each.
+SHARD_ROWS, QUERY_BYTES, ROUTE_BYTES, SAMPLED = 8192, 8 << 20, 1 << 20, 8
+#: Components beyond it, which only a double can hold, keep a vector out.
+WIDEST = 2.0**480
 
 
 @dataclass
@@ -40,7 +45,10 @@ class Node:
 
 
 class MTree:
-    """`vectors` are integers, one row each; equal vectors are one entry with their ids in order."""
+    """`vectors` are whole numbers as doubles, one row each; equal vectors are one entry with their ids in order.
+
+    `computed` counts the distances and scores worked out so far.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.lexsort((ids, *vectors.T[::-1])) if vectors.shape[1] else np.argsort(ids)
@@ -50,11 +58,13 @@ class MTree:
         at = np.flatnonzero(new)
         self.ids = np.split(ids, at[1:])
         self.vectors = vectors[at]
-        norms = (self.vectors.astype(float) ** 2).sum(axis=1)
+        norms = (self.vectors**2).sum(axis=1)
         self.limit = float(norms.max(initial=0.0))
-        full = np.column_stack([self.vectors.astype(float), np.sqrt(np.maximum(self.limit - norms, 0))])
-        self.exact = np.abs(self.vectors).max(initial=0)
+        full = np.column_stack([self.vectors, np.sqrt(np.maximum(self.limit - norms, 0))])
+        self.widest = float(np.abs(self.vectors).max(initial=0))
         self.root_point = full.mean(axis=0) if len(full) else np.zeros(vectors.shape[1] + 1)
+        self.reach = float(np.sqrt(((full - self.root_point) ** 2).sum(axis=1).max(initial=0.0)))
+        self.computed = 0
         self.root = self._page(np.arange(len(full)), full, self.root_point)
 
     def _page(self, rows: np.ndarray, full: np.ndarray, routing: np.ndarray) -> Node:
@@ -79,16 +89,38 @@ class MTree:
         points = np.array(points)
         return Node(np.sqrt(((points - routing) ** 2).sum(axis=1)), points, np.array(radii), children, None)
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best ids other than `query_id`, ties to smaller ids."""
+    def near(self, queries: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """Places of the queries that may find a score of at least their floor here, by the covering radius of the whole tree."""
+        if not len(self.vectors):
+            return np.zeros(0, int)
+        length = (queries**2).sum(axis=1)
+        there = np.sqrt(((queries - self.root_point[:-1]) ** 2).sum(axis=1) + self.root_point[-1] ** 2)
+        self.computed += len(queries)
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = np.sqrt(np.maximum(0.0, length + self.limit - 2.0 * floors))
+        return np.flatnonzero(there - self.reach <= bound + self._slack(length))
+
+    def _slack(self, length: np.ndarray | float) -> np.ndarray | float:
+        return 1e-7 * (1 + np.sqrt(length) + np.sqrt(self.limit))
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> list[int]:
+        self.computed += len(rows)
+        found = self.vectors[rows]
+        if self.widest * float(np.abs(query).max(initial=0)) * max(1, len(query)) < 2**53:
+            return (found @ query).astype(np.int64).tolist()
+        whole = list(map(int, query.tolist()))
+        return [sum(int(a) * b for a, b in zip(v, whole, strict=True)) for v in found.tolist()]
+
+    def top(self, query_id: int, query: np.ndarray, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+        """(score, id) of the k best ids other than `query_id`, ties to smaller ids; what is below `floor` may be left out."""
         if not len(self.vectors):
             return []
-        q = np.append(query.astype(float), 0.0)
+        query = query.astype(float)
+        q = np.append(query, 0.0)
         length = float(q @ q)
-        slack = 1e-7 * (1 + np.sqrt(length) + np.sqrt(self.limit))
+        slack = self._slack(length)
         best: list[tuple[int, int]] = []  # least first, as (score, -id)
-        bound = np.inf
-        wide = float(self.exact) * float(np.abs(query).max(initial=0)) * max(1, len(query)) >= 2**52
+        bound = float(np.sqrt(max(0.0, length + self.limit - 2.0 * floor)))
         tick = 0
         queue = [(0.0, 0, float(np.sqrt(((q - self.root_point) ** 2).sum())), self.root)]
         while queue:
@@ -98,6 +130,7 @@ class MTree:
             least = np.abs(there - node.parent) - (0 if node.radii is None else node.radii)
             live = np.flatnonzero(least <= bound + slack)  # others are too far by the triangle inequality
             if node.children is not None:
+                self.computed += len(live)
                 d = np.sqrt(((node.points[live] - q) ** 2).sum(axis=1))
                 for i, x in zip(live, d, strict=True):
                     if x - node.radii[i] <= bound + slack:
@@ -105,11 +138,7 @@ class MTree:
                         heapq.heappush(queue, (max(0.0, x - node.radii[i]), tick, float(x), node.children[i]))
                 continue
             rows = node.rows[live]
-            if wide:
-                scores = [int(sum(int(a) * int(b) for a, b in zip(v, query, strict=True))) for v in self.vectors[rows]]
-            else:
-                scores = (self.vectors[rows].astype(float) @ q[:-1]).astype(np.int64).tolist()
-            for row, s in zip(rows.tolist(), scores, strict=True):
+            for row, s in zip(rows.tolist(), self.scores(rows, query), strict=True):
                 if len(best) == k and s < best[0][0]:
                     continue
                 for other in self.ids[row][: k + 1].tolist():
@@ -122,22 +151,57 @@ class MTree:
                     else:
                         break
             if len(best) == k:
-                bound = float(np.sqrt(max(0.0, length + self.limit - 2.0 * best[0][0])))
+                bound = min(bound, float(np.sqrt(max(0.0, length + self.limit - 2.0 * best[0][0]))))
         return [(s, -i) for s, i in best]
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """floor(1024 x) of each vector; shorter ones are filled with 0."""
-    values = np.floor(1024.0 * column.flatten().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    """floor(1024 x) of each vector, exact in doubles; shorter ones are filled with 0."""
+    values = np.floor(1024.0 * column.flatten().to_numpy(zero_copy_only=False).astype(float))
     size = np.array(column.value_lengths().to_pylist(), int)
-    out = np.zeros((len(size), width), np.int64)
+    out = np.zeros((len(size), width))
     out[np.arange(width)[None, :] < size[:, None]] = values
     return out
 
 
 def sound(vector: str) -> Column:
-    """Not null, and without null, NaN or infinite components."""
-    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
+    """Not null, without null, NaN or infinite components, or any beyond WIDEST."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < WIDEST)), F.lit(False))
+
+
+def order_of(score: int) -> bytes:
+    """Bytes that sort like the whole numbers."""
+    size = (abs(score).bit_length() + 7) // 8
+    return bytes([128 + size]) + score.to_bytes(size, "big") if score >= 0 else bytes([128 - size]) + ((1 << 8 * size) - 1 + score).to_bytes(size, "big")
+
+
+def _shown(score: int) -> int:
+    return max(-(2**63), min(2**63 - 1, score))
+
+
+def routes(sample: np.ndarray, n: int) -> np.ndarray:
+    """Up to n routing vectors for a sample: seeds far from each other, moved a few times to the middle of what they attract."""
+    if len(sample) <= 1 or n <= 1:
+        return sample[:1]
+    seeds = [0]
+    near = ((sample - sample[0]) ** 2).sum(axis=1)
+    while len(seeds) < n and near.max() > 0:
+        seeds.append(int(near.argmax()))
+        near = np.minimum(near, ((sample - sample[seeds[-1]]) ** 2).sum(axis=1))
+    points = sample[seeds]
+    for _ in range(5):
+        own = nearest(sample, points)
+        for c in np.unique(own).tolist():
+            points[c] = sample[own == c].mean(axis=0)
+    return points
+
+
+def nearest(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
+    out = np.empty(len(vectors), np.int64)
+    norms = (points**2).sum(axis=1)
+    for a in range(0, len(vectors), 1024):
+        out[a : a + 1024] = (norms - 2.0 * (vectors[a : a + 1024] @ points.T)).argmin(axis=1)
+    return out
 
 
 def shard_count(rows: int, partitions: int) -> int:
@@ -148,42 +212,92 @@ def shard_count(rows: int, partitions: int) -> int:
 def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of `vectors` with the largest scores for each row of `queries`.
 
-    Both have vec_id and embedding. A query's own id is no candidate. Unsound vectors and null ids take no
-    part; shorter vectors are filled with zeros; of several query rows with one id one counts. All
-    queries meet all shards, a block of queries at a time, so that what is sent to the tasks is bounded.
+    Both have vec_id and embedding. A query's own id is no candidate. Null ids, null vectors and vectors with a
+    component that is null, not finite or beyond WIDEST take no part; shorter vectors are filled with zeros; of several
+    query rows with one id the one with the least vector counts; repeated rows of `vectors` are rows. Ranks follow the
+    exact scores, and one beyond a long is shown as the nearest long. All queries meet all shards, a
+    block of queries at a time, so that what is sent to the tasks is bounded. No rows give no rows.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & sound("embedding"))
-    queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & sound("embedding")).dropDuplicates(["vec_id"])
+    queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & sound("embedding"))
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     rows, width = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
     width = max(width or 0, queries.agg(F.max(F.size("embedding"))).first()[0] or 0)
-    shards = shard_count(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    points = _routing(vectors, rows, width, shard_count(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    trees = _trees(spark, vectors, width, points)
+    found = None
+    for ids, asked in _blocks(queries, width):
+        home = (asked @ points.T).argmax(axis=1) if len(points) else np.zeros(len(ids), int)
+        first = tables.checkpoint(_ask(spark, trees, ids, asked, k, home, np.full(len(ids), -np.inf), True))
+        worst = _best(first, k).where(F.col("rank") == k).select("query_id", "score").collect() if len(points) > 1 else []
+        at = np.searchsorted(ids, [r[0] for r in worst])
+        floors = np.full(len(ids), -np.inf)
+        floors[at] = [2.0**62 if r[1] == 2**63 - 1 else -np.inf if r[1] == -(2**63) else r[1] for r in worst]  # not above the exact score, also where that is beyond a long
+        part = first.union(_ask(spark, trees, ids, asked, k, home, floors, False)) if len(points) > 1 else first
+        found = part if found is None else found.union(part)
+    if found is None:
+        found = spark.createDataFrame([], FOUND)
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+FOUND = "query_id long, vec_id long, score long, place binary"
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("place").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _routing(vectors: DataFrame, rows: int, width: int, cells: int) -> np.ndarray:
+    """Routing vectors for about `cells` cells, from a sample of bounded size; of one cell it needs none."""
+    cells = min(cells, max(1, ROUTE_BYTES // (8 * max(1, width))))
+    if cells == 1:
+        return np.zeros((1, width))
+    share = min(1.0, SAMPLED * cells / rows)
+    drawn = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = vectors.where(drawn).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).distinct().orderBy("vec_id", "embedding").limit(2 * SAMPLED * cells).collect()
+    return routes(_matrix(pa.array([r[1] for r in sample], pa.list_(pa.float64())), width), cells) if sample else np.zeros((1, width))
+
+
+def _trees(spark: SparkSession, vectors: DataFrame, width: int, points: np.ndarray) -> DataFrame:
+    """(cell, tree): the M-trees of all shards, kept in the shared folder. A cell has a shard for each SHARD_ROWS of its vectors."""
+    shared = spark.sparkContext.broadcast(points)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("cell", pa.array(nearest(_matrix(b.column("embedding"), width), shared.value)))
 
     def build(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         column = t.column("embedding").combine_chunks()
         tree = MTree(t.column("vec_id").combine_chunks().to_numpy(), _matrix(column, width))
-        return pa.table({"tree": pa.array([pickle.dumps(tree)], pa.binary())})
+        return pa.table({"cell": t.column("cell")[:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    schema = StructType([*vectors.schema.fields, StructField("cell", LongType())])
+    dealt = vectors.mapInArrow(cells, schema) if len(points) > 1 else vectors.withColumn("cell", F.lit(0).cast("long"))
+    sizes = {r[0]: r[1] for r in dealt.groupBy("cell").count().collect()}  # as many rows as routing vectors at most
+    parts = F.element_at(F.lit([max(1, -(-sizes.get(c, 0) * 4 // (SHARD_ROWS * 5))) for c in range(len(points))]), F.col("cell").cast("int") + 1)
+    shard = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts)  # copies of a row go to all shards of the cell
+    return tables.checkpoint(dealt.withColumn("shard", shard).groupBy("cell", "shard").applyInArrow(build, "cell long, tree binary"))
+
+
+def _ask(spark: SparkSession, trees: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, home: np.ndarray, floors: np.ndarray, at_home: bool) -> DataFrame:
+    """What the trees of each query's home cell, or those of all other cells, find for it from its floor on."""
+    shared = spark.sparkContext.broadcast((ids, asked, home, floors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked, home, floors = shared.value
+        for b in batches:
+            for cell, raw in zip(b.column("cell").to_pylist(), b.column("tree"), strict=True):
+                mine = np.flatnonzero((home == cell) == at_home)
+                if len(mine) == 0:
+                    continue
+                tree, out = pickle.loads(raw.as_py()), []
+                for i in mine[tree.near(asked[mine], floors[mine])].tolist():
+                    out += [(ids[i], other, s) for s, other in tree.top(int(ids[i]), asked[i], k, floors[i])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([_shown(r[2]) for r in out], pa.int64()), pa.array([order_of(r[2]) for r in out], pa.binary())], ["query_id", "vec_id", "score", "place"])
 
-    trees = tables.checkpoint(vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, "tree binary"))
-    found = None
-    for block in _blocks(queries, width):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, asked = shared.value
-            for b in batches:
-                for raw in b.column("tree"):
-                    tree, out = pickle.loads(raw.as_py()), []
-                    for query_id, q in zip(ids.tolist(), asked, strict=True):
-                        out += [(query_id, s, i) for s, i in tree.top(query_id, q, k)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in out], pa.int64()) for x in range(3)], ["query_id", "score", "vec_id"])
-
-        part = trees.mapInArrow(run, "query_id long, score long, vec_id long")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, score long, vec_id long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return trees.mapInArrow(run, FOUND)
 
 
 def _blocks(queries: DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -200,6 +314,7 @@ def _blocks(queries: DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _block(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = sorted(rows, key=lambda r: r[0])
     return np.array([r[0] for r in rows], np.int64), _matrix(pa.array([r[1] for r in rows], pa.list_(pa.float64())), width)
 
 

@@ -74,3 +74,62 @@ def test_trees_route_at_production_sizes(spark, monkeypatch):
     for i in range(0, len(v), 300):
         tree.top(i, np.floor(1024 * v[i]).astype(int), 10)
     assert Counting.seen < len(v) * 7 / 2
+
+
+def clustered(clusters, each, width, seed=7):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, width))
+    v = np.concatenate([rng.normal(size=(each, width)) * 0.05 + c for c in centres])
+    return rng.permutation(v / np.linalg.norm(v, axis=1, keepdims=True))
+
+
+def walk(v, cells, asked, k=10):
+    """The k best of each query, and the share of all scores that were worked out, routing distances counted."""
+    points = M.routes(v[:: max(1, len(v) // (M.SAMPLED * cells))].copy(), cells)
+    own = M.nearest(v, points)
+    trees = {c: M.MTree(np.flatnonzero(own == c), v[own == c]) for c in np.unique(own)}
+    out, asked_cells = {}, 0
+    for i in asked:
+        home = int((v[i] @ points.T).argmax())
+        got = trees[home].top(i, v[i], k) if home in trees else []
+        floor = sorted(got, reverse=True)[k - 1][0] if len(got) >= k else -np.inf
+        asked_cells += len(points)
+        for c, t in trees.items():
+            if c != home and len(t.near(v[i : i + 1], np.array([floor]))):
+                got += t.top(i, v[i], k, floor)
+        out[i] = sorted(got, key=lambda r: (-r[0], r[1]))[:k]
+    return out, (asked_cells + sum(t.computed for t in trees.values())) / (len(asked) * len(v))
+
+
+def test_cells_and_trees_spare_most_scores_of_clustered_vectors():
+    v = np.floor(1024 * clustered(100, 200, 64))
+    asked = range(0, len(v), 1000)
+    got, share = walk(v, M.shard_count(len(v), 12), asked)
+    for i in asked:
+        assert got[i] == sorted(((int(s), j) for j, s in enumerate(v @ v[i]) if j != i), key=lambda r: (-r[0], r[1]))[:10]
+    assert share < 0.25, share
+
+
+def test_large_and_wide_components(spark):
+    rng = np.random.default_rng(8)
+    scales = [1.0, 3e6, 1e10, 1e17, 1e30]
+    rows = [(i, (rng.normal(size=5) * scales[i % 5]).astype(np.float32).astype(float).tolist()) for i in range(300)] + [(400, [2.0**481, 0.0, 0.0, 0.0, 0.0]), (500, [-1e300] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in M.search(spark, df, df.where("vec_id % 20 = 0")).collect())
+    exact = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows[:300]]
+    want = []
+    for i, q in exact[::20]:
+        best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in exact if j != i)[:10]
+        want += [(i, r, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(best, 1)]
+    assert got == want
+    values = [0, 1, -1, 255, 256, -256, 2**70, -(2**70), 5, -5]
+    assert sorted(values, key=M.order_of) == sorted(values)
+
+
+def test_cells_split_and_hot_vectors(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_ROWS", 50)
+    v = clustered(6, 80, 8)
+    rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(v)] + [(0, v[0].astype(np.float32).tolist())] * 240 + [(1000 + i, [0.5] * 8) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in M.search(spark, df, df.where("vec_id % 100 = 0")).collect())
+    assert got == brute(rows, {i for i, _ in rows if i % 100 == 0}, 10)
