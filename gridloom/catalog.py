@@ -178,7 +178,7 @@ def _functions() -> None:
             return unary.arithmetic(m, "multiply", 4.0) if whole else m
 
         inner = "SELECT r, c, v * 4 AS v FROM e" if whole else "SELECT r, c, abs(v) + 0.5 AS v FROM e" if positive else "SELECT * FROM e"
-        _add(f"math_{name}", lambda s, d, name=name, matrix=matrix: _cells(unary.math_function(matrix(s, d), name), 6), f"WITH {E_SQL}, x AS ({inner}) SELECT r, c, {_plain(f'round({sql}, 6)')} AS v FROM x")
+        _add(f"math_{name}", lambda s, d, name=name, matrix=matrix: _cells(unary.math_function(matrix(s, d), name), 9), f"WITH {E_SQL}, x AS ({inner}) SELECT r, c, {_plain(f'round({sql}, 9)')} AS v FROM x")
     ln = guarded["log"]
     _add("math_log_base_3", lambda s, d: _cells(unary.math_function(E(s, d), "log", 3.0), 6), f"WITH {E_SQL} SELECT r, c, {_plain(f'round(({ln}) / ln(3.0), 6)')} AS v FROM e")
     _add("math_sparse_sqrt", lambda s, d: _rounded(unary.math_function(S(s, d), "sqrt").entries, 6), f"WITH {S_SQL} SELECT r, c, round(sqrt(v), 6) AS v FROM s")
@@ -284,12 +284,86 @@ def _reads() -> None:
     _add("from_flat", flat, "SELECT p_partkey // 10 AS r, p_partkey % 10 AS c, CAST(p_size AS DOUBLE) AS v FROM part")
 
     def slice_(s: SparkSession, d: str) -> DataFrame:
-        return unary.arithmetic(S(s, d), "add", 2.0).dense_row(3, 40 if S(s, d).ncol >= 43 else 5, oracle=ConsecutiveOracle(0, 40)).select("step", "i", F.posexplode("x").alias("k", "v"))
+        m = S(s, d)
+        return unary.arithmetic(m, "add", 2.0).dense_row(3, 40 if m.ncol >= 43 else 5, oracle=ConsecutiveOracle(0, 40)).select("step", "i", F.posexplode("x").alias("k", "v"))
 
     _add("dense_slice_of_sum", slice_, f"WITH {S_SQL} SELECT r.r AS step, r.r AS i, CAST(c.c AS INTEGER) AS k, coalesce(s.v, 0.0) + 2 AS v FROM (SELECT unnest(range(40)) AS r) r CROSS JOIN (SELECT unnest(range(CASE WHEN (SELECT count(*) FROM supplier) >= 43 THEN 40 ELSE 5 END)) AS c) c LEFT JOIN s ON s.r = r.r AND s.c = c.c + 3")
 
 
-for _group in (_arithmetic, _comparisons, _functions, _shapes, _reads):
+def _more() -> None:
+    """Forms of the operations above that those queries leave out: left-hand and by-row vectors, other kinds of storage, oracles, fills."""
+    flag = "CASE WHEN {} THEN 1.0 ELSE 0.0 END"
+    joined = "string_agg(CAST(CAST({v} AS BIGINT) AS VARCHAR), ',' ORDER BY {o})"
+    for op in ("subtract", "divide", "power", "modulo", "integer_divide"):
+        value = ARITHMETIC_SQL[op].format(a="w", b="v")
+        _add(f"arithmetic_row_vector_left_{op}", lambda s, d, op=op: _cells(unary.arithmetic(C(s, d), op, _nations(s, d), right=False, by_row=True), 9), f"WITH {N_SQL} SELECT r, c, round({_plain(value)}, 9) AS v FROM n")
+        value = ARITHMETIC_SQL[op].format(a=MONTHS_SQL, b="v")
+        _add(f"arithmetic_column_vector_left_{op}", lambda s, d, op=op: _cells(unary.arithmetic(C(s, d), op, MONTHS, right=False, by_row=False), 9), f"WITH {G_SQL} SELECT r, c, round({_plain(value)}, 9) AS v FROM g")
+    for op, sign in COMPARE_SQL.items():
+        _add(f"compare_row_vector_{op}", lambda s, d, op=op: _cells(unary.compare(C(s, d), op, _nations(s, d), by_row=True)), f"WITH {N_SQL} SELECT r, c, CAST({flag.format(f'v {sign} w')} AS DOUBLE) AS v FROM n")
+        _add(f"substitute_row_vector_{op}", lambda s, d, op=op: _cells(unary.substitute(C(s, d), op, _nations(s, d).select("i", F.col("w").alias("compared"), (F.col("w") * 2).alias("substitute")), by_row=True)), f"WITH {N_SQL} SELECT r, c, {_plain(f'CASE WHEN v {sign} w THEN w * 2 ELSE v END')} AS v FROM n")
+    for op, sql in BOOLEAN_SQL.items():
+        _add(f"boolean_row_vector_{op}", lambda s, d, op=op: _cells(unary.boolean(C(s, d), op, _nations(s, d), by_row=True)), f"WITH {N_SQL} SELECT r, c, CAST({flag.format(sql.format(a='v', b='w'))} AS DOUBLE) AS v FROM n")
+    for test, (sql, inner) in {"isnan": ("isnan(v / 0)", "v / 0"), "isinf": ("isinf(v / 0)", "v / 0")}.items():
+        _add(f"substitute_not_{test}", lambda s, d, test=test: _cells(unary.substitute_special(unary.arithmetic(C(s, d), "divide", 0.0), test, 5.0, passes=False)), f"WITH {G_SQL} SELECT r, c, {_plain(f'CASE WHEN NOT {sql} THEN 5.0 ELSE {inner} END')} AS v FROM g")
+
+    def compressed(s: SparkSession, d: str, csr: bool) -> Matrix:
+        m = C(s, d)
+        flat = sinks.fill_compressed(m, csr)
+        ends = sinks.compressed_contents(m, csr).select((F.col("i") + 1).alias("i"), "pointer")
+        pointers = s.range(1).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("pointer")).union(ends)
+        return sources.from_compressed_tables(flat.select("k", F.col("s").alias("index"), "v"), pointers, m.nrow, m.ncol, csr=csr)
+
+    for csr, name in ((True, "csr"), (False, "csc")):
+        t, o = ("r", "c") if csr else ("c", "r")
+        _add(f"from_compressed_{name}", lambda s, d, csr=csr: compressed(s, d, csr).entries, f"WITH {C_SQL} SELECT r, c, v FROM c")
+        _add(f"compressed_{name}_row_block", lambda s, d, csr=csr: _shown(compressed(s, d, csr).sparse_row(2, 6)), f"WITH {C_SQL}, q AS (SELECT r AS i, count(*) AS number, {joined.format(v='c', o='c')} AS \"index\", {joined.format(v='v', o='c')} AS \"value\" FROM c WHERE c >= 2 AND c < 8 GROUP BY 1) SELECT a.i, coalesce(number, 0) AS number, coalesce(\"index\", '') AS \"index\", coalesce(\"value\", '') AS \"value\" FROM (SELECT unnest(range((SELECT count(*) FROM customer))) AS i) a LEFT JOIN q ON a.i = q.i")
+        _add(f"fill_compressed_{name}", lambda s, d, csr=csr: sinks.fill_compressed(S(s, d), csr), f"WITH {S_SQL} SELECT {t} AS p, {o} AS s, v, row_number() OVER (ORDER BY {t}, {o}) - 1 AS k FROM s")
+        _add(
+            f"from_fragmented_{name}",
+            lambda s, d, csr=csr: sources.from_fragmented(sinks.fragmented_contents(C(s, d), csr), _read(s, d, "customer").count(), 12, row=csr).entries,
+            f"WITH {C_SQL} SELECT r, c, v FROM c",
+        )
+
+    def by_column(s: SparkSession, d: str) -> Matrix:
+        df = _read(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("x"))
+        return sources.from_rows(df, 64, df.count(), row_major=False)
+
+    _add("from_dense_columns", lambda s, d: by_column(s, d).cells(), f"WITH {E_SQL} SELECT c AS r, r AS c, v FROM e")
+    read = lambda m: unary.math_function(unary.arithmetic(m, "multiply", 4.0), "floor")
+    for row in (True, False):
+        side, t, o = ("row", "r", "c") if row else ("column", "c", "r")
+        few = f"SELECT {t} AS i, count(*) AS number, {joined.format(v=o, o=o)} AS \"index\", {joined.format(v='floor(v * 4)', o=o)} AS \"value\" FROM e WHERE {o} >= 3 AND {o} < 13 GROUP BY 1"
+        _add(f"sparse_read_of_dense_{side}", lambda s, d, row=row: _shown(read(E(s, d)).sparse_read(row, 3, 10)), f"WITH {E_SQL} {few}")
+        _add(f"dense_read_of_dense_{side}", lambda s, d, row=row: _shown(read(E(s, d)).dense(row, [1, 5, 6, 40])), f"WITH {E_SQL} SELECT {t} AS i, {joined.format(v='floor(v * 4)', o=o)} AS x FROM e WHERE {o} IN (1, 5, 6, 40) GROUP BY 1")
+        filled = lambda s, d: unary.arithmetic(C(s, d), "add", 1.0)
+        _add(f"sparse_read_of_filled_{side}", lambda s, d, row=row, filled=filled: _shown(filled(s, d).sparse_read(row, 1, 7)), f"WITH {G_SQL} SELECT {t} AS i, count(*) AS number, {joined.format(v=o, o=o)} AS \"index\", {joined.format(v='v + 1', o=o)} AS \"value\" FROM g WHERE {o} >= 1 AND {o} < 8 GROUP BY 1")
+        steps = "p(step, i) AS (VALUES (0, 4), (1, 1), (2, 4), (3, 0))"
+        for kind, args, where in (("block", (1, 7), f"{o} >= 1 AND {o} < 8"), ("index", ([0, 3, 4, 9],), f"{o} IN (0, 3, 4, 9)")):
+            _add(
+                f"oracle_dense_{side}_{kind}",
+                lambda s, d, row=row, args=args: _shown(C(s, d).dense(row, *args, oracle=FixedOracle([4, 1, 4, 0]))),
+                f"WITH {G_SQL}, {steps}, q AS (SELECT {t} AS i, {joined.format(v='v', o=o)} AS x FROM g WHERE {where} GROUP BY 1) SELECT CAST(step AS BIGINT) AS step, q.i, x FROM p JOIN q ON p.i = q.i",
+            )
+            _add(
+                f"oracle_sparse_{side}_{kind}",
+                lambda s, d, row=row, args=args: _shown(C(s, d).sparse_read(row, *args, oracle=FixedOracle([4, 1, 4, 0]))),
+                f"WITH {C_SQL}, {steps}, q AS (SELECT {t} AS i, count(*) AS number, {joined.format(v=o, o=o)} AS \"index\", {joined.format(v='v', o=o)} AS \"value\" FROM c WHERE {where} GROUP BY 1) SELECT CAST(step AS BIGINT) AS step, CAST(p.i AS BIGINT) AS i, coalesce(number, 0) AS number, coalesce(\"index\", '') AS \"index\", coalesce(\"value\", '') AS \"value\" FROM p LEFT JOIN q ON p.i = q.i",
+            )
+        _add(f"fetch_sparse_{side}", lambda s, d, row=row: _shown(fetch(C(s, d), row, 7, "sparse")), f"WITH {C_SQL} SELECT CAST(7 AS BIGINT) AS i, count(*) AS number, coalesce({joined.format(v=o, o=o)}, '') AS \"index\", coalesce({joined.format(v='v', o=o)}, '') AS \"value\" FROM c WHERE {t} = 7")
+        _add(f"bind_read_{side}", lambda s, d, row=row: _shown(reshape.bind([C(s, d), C2(s, d)], False).dense(row, 2, 9)), f"WITH {G2_SQL}, b AS (SELECT r, c, a AS v FROM g2 UNION ALL SELECT r, c + 12, b FROM g2) SELECT {t} AS i, {joined.format(v='v', o=o)} AS x FROM b WHERE {o} >= 2 AND {o} < 11 GROUP BY 1")
+        _add(f"subset_perpendicular_{side}", lambda s, d, row=row: _shown(reshape.subset(C(s, d), [5, 2, 5, 11], not row).dense(row)), f"WITH {G_SQL}, p(n, o) AS (VALUES (0, 5), (1, 2), (2, 5), (3, 11)) SELECT {t} AS i, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY n) AS x FROM g JOIN p ON g.{o} = p.o GROUP BY 1")
+    for name, listed in {"any": [5, 2, 5, 11, 0], "sorted": [0, 2, 2, 7], "unique": [9, 3, 4], "sorted_unique": [1, 4, 10]}.items():
+        pairs = ", ".join(f"({k}, {x})" for k, x in enumerate(listed))
+        _add(f"subset_rows_{name}", lambda s, d, listed=listed: _cells(reshape.subset(C(s, d), listed, True)), f"WITH {G_SQL}, p(n, o) AS (VALUES {pairs}) SELECT CAST(n AS BIGINT) AS r, c, v FROM g JOIN p ON g.r = p.o")
+    _add("oracle_by_table", lambda s, d: _shown(C(s, d).dense_row(oracle=_read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("step"), (F.col("n_nationkey") % 7).cast("long").alias("index")))), f"WITH {G_SQL}, q AS (SELECT r AS i, {joined.format(v='v', o='c')} AS x FROM g GROUP BY 1) SELECT CAST(n_nationkey AS BIGINT) AS step, q.i, x FROM nation JOIN q ON q.i = n_nationkey % 7")
+    _add("custom_matrix", lambda s, d: sources.from_custom(lambda s: _read(s, d, "nation").select(F.col("n_nationkey").alias("r"), F.col("n_regionkey").alias("c"), F.col("n_nationkey").cast("double").alias("v")), s, 25, 5).entries, "SELECT CAST(n_nationkey AS BIGINT) AS r, CAST(n_regionkey AS BIGINT) AS c, CAST(n_nationkey AS DOUBLE) AS v FROM nation")
+    _add("cast_index", lambda s, d: reshape.cast(S(s, d), "double", index="int").entries, f"WITH {S_SQL} SELECT r, c, CAST(v AS DOUBLE) AS v FROM s")
+    _add("transpose_buffer_strided", lambda s, d: reshape.transpose_buffer(_read(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("v")), 10, 7, 11, 13), "SELECT (p_partkey % 11) * 13 + p_partkey // 11 AS k, CAST(p_size AS DOUBLE) AS v FROM part WHERE p_partkey // 11 < 10 AND p_partkey % 11 < 7")
+    _add("legacy_triplets_csc", lambda s, d: sources.from_triplets(_read(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("primary"), F.col("n_nationkey").cast("long").alias("secondary"), F.lit(1.0).alias("v")), 25, 5, csr=False).entries, "SELECT CAST(n_nationkey AS BIGINT) AS r, CAST(n_regionkey AS BIGINT) AS c, CAST(1.0 AS DOUBLE) AS v FROM nation")
+
+
+for _group in (_arithmetic, _comparisons, _functions, _shapes, _reads, _more):
     _group()
 
 

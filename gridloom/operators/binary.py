@@ -19,11 +19,15 @@ from ..matrix import Matrix
 
 @dataclass(frozen=True)
 class BinaryHelper:
-    """A custom operation: `expr(left, right, r, c)`; `keeps_zero` if it makes zero of two zeros."""
+    """A custom operation: `expr(left, right, r, c)`; `keeps_zero` if it makes zero of two zeros.
+
+    One that doesn't, and is `positional` (may use r and c), is applied to all cells.
+    """
 
     expr: Callable[[Column, Column, Column, Column], Column]
     keeps_zero: bool = False
     both: bool = False
+    positional: bool = True
 
 
 _SPARSE = {
@@ -41,6 +45,8 @@ def combine(left: Matrix, right: Matrix, helper: BinaryHelper, dtype: str = "dou
     if (left.nrow, left.ncol) != (right.nrow, right.ncol):
         raise ValueError("shape of the left and right matrices should be the same")
     sparse = helper.keeps_zero and left.sparse and right.sparse
+    if helper.positional and not (helper.keeps_zero and left.fill is None and right.fill is None) and not (left.full or right.full):
+        left = left.with_(entries=left.cells(), full=True, fill=None, vectors=())
     a = left.entries.select("r", "c", d(F.col("v")).alias("lv"))
     b = right.entries.select("r", "c", d(F.col("v")).alias("rv"))
     plain = left.fill is None and right.fill is None
@@ -71,15 +77,15 @@ def combine(left: Matrix, right: Matrix, helper: BinaryHelper, dtype: str = "dou
 
 def arithmetic(left: Matrix, right: Matrix, op: str) -> Matrix:
     f = ieee.ARITHMETIC[op]
-    return combine(left, right, BinaryHelper(lambda a, b, r, c: f(a, b), op in _SPARSE["arithmetic"]))
+    return combine(left, right, BinaryHelper(lambda a, b, r, c: f(a, b), op in _SPARSE["arithmetic"], positional=False))
 
 
 def compare(left: Matrix, right: Matrix, op: str, dtype: str = "double") -> Matrix:
     f = ieee.COMPARE[op]
-    return combine(left, right, BinaryHelper(lambda a, b, r, c: f(a, b).cast("double"), op in _SPARSE["compare"]), dtype)
+    return combine(left, right, BinaryHelper(lambda a, b, r, c: f(a, b).cast("double"), op in _SPARSE["compare"], positional=False), dtype)
 
 
 def boolean(left: Matrix, right: Matrix, op: str, dtype: str = "double") -> Matrix:
     """`and` has entries where both sides have; the others where either has."""
     f = ieee.BOOLEAN[op]
-    return combine(left, right, BinaryHelper(lambda a, b, r, c: f(a, b).cast("double"), op in _SPARSE["boolean"], op == "and"), dtype)
+    return combine(left, right, BinaryHelper(lambda a, b, r, c: f(a, b).cast("double"), op in _SPARSE["boolean"], op == "and", positional=False), dtype)

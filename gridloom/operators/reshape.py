@@ -86,6 +86,15 @@ def transpose(m: Matrix) -> Matrix:
     return m.with_(entries=m.entries.select(F.col("c").alias("r"), F.col("r").alias("c"), "v"), nrow=m.ncol, ncol=m.nrow, vectors=vectors, p_rows=1.0 - m.p_rows)
 
 
+def transpose_buffer(df: DataFrame, nrow: int, ncol: int, stride: int | None = None, to_stride: int | None = None) -> DataFrame:
+    """(k, v) of a row-major buffer as that of its transpose, `stride` and `to_stride` places from row to row (ncol and nrow at least); what lies between rows is left out."""
+    stride, to_stride = ncol if stride is None else stride, nrow if to_stride is None else to_stride
+    if stride < ncol or to_stride < nrow:
+        raise ValueError("a stride should not be less than the length of a row")
+    r, c = F.expr(f"k div {max(1, stride)}L"), F.expr(f"k % {max(1, stride)}L")
+    return df.where((r < nrow) & (c < ncol)).select((c * to_stride + r).alias("k"), "v")
+
+
 def bind(matrices: Sequence[Matrix], by_row: bool, spark=None) -> Matrix:
     """One after another along the rows (by_row) or columns. No matrix at all gives 0 x 0, for which `spark` is needed."""
     if not matrices:

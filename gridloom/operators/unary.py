@@ -43,12 +43,23 @@ def _mapped(m: Matrix, made: Callable[[Column], Column], keeps_zero: bool, dtype
     return m.with_(entries=out, dtype=dtype, fill=fill, vectors=m.vectors if vector is None else (*m.vectors, vector), sparse=m.sparse and keeps_zero, p_sparse=m.p_sparse if keeps_zero else 0.0)
 
 
-def _as_vector(m: Matrix, values: Sequence[float] | DataFrame, by_row: bool, columns: Sequence[str] = ("w",)) -> tuple[Vector, list[str]]:
-    """Values on the driver, or rows (i, w), one for each row or column. A table's length is trusted."""
+def _one_each(rows: DataFrame, extent: int) -> None:
+    """Fails unless positions 0 to extent - 1 are there once each; one small job."""
+    n, least, most, positions, nulls = rows.agg(F.count("*"), F.min("i"), F.max("i"), F.countDistinct("i"), F.count_if(F.greatest(*[F.col(c).isNull() for c in rows.columns]))).first()
+    if nulls:
+        raise ValueError(f"{nulls} rows of the vector's table have a null position or value")
+    if n != extent or (n and (positions, least, most) != (extent, 0, extent - 1)):
+        raise ValueError(f"the vector's table should have each position from 0 to {extent - 1} once; it has {n} rows, {positions} positions from {least} to {most}")
+
+
+def _as_vector(m: Matrix, values: Sequence[float] | DataFrame, by_row: bool, columns: Sequence[str] = ("w",), check: bool = True) -> tuple[Vector, list[str]]:
+    """Values on the driver, or rows (i, w), one for each row or column; a table is validated unless `check` is false."""
     names = [f"_{c}{next(_names)}" for c in columns]
     extent = m.nrow if by_row else m.ncol
     if isinstance(values, DataFrame):
         rows = values.select(F.col("i").cast("long").alias("i"), *[d(F.col(c)).alias(n) for c, n in zip(columns, names, strict=True)])
+        if check:
+            _one_each(rows, extent)
         return Vector(",".join(names), rows, by_row, False), names  # Catalyst decides by the table's size
     rows = [tuple(map(float, x)) if len(columns) > 1 else (float(x),) for x in values]
     if len(rows) != extent:
@@ -66,9 +77,11 @@ def _all(values: Sequence[float] | DataFrame, on_driver: Callable[[np.ndarray],
         return bool(np.all(on_driver(np.asarray(values, float))))
 
 
-def arithmetic(m: Matrix, op: str, value: float | Sequence[float] | DataFrame, *, right: bool = True, by_row: bool | None = None) -> Matrix:
+def arithmetic(m: Matrix, op: str, value: float | Sequence[float] | DataFrame, *, right: bool = True, by_row: bool | None = None, check: bool = True) -> Matrix:
     """`cell op value`, or `value op cell` if not `right`. A vector (by_row given) has a value for each row or column.
 
+    A vector may be a table (i, w); one that lacks or repeats positions, or has nulls, is an error. With `check` false it is trusted.
+
     Zero is kept if every value makes zero of zero; so not by multiplication with infinity, or division by zero.
     """
     f, on_driver = ieee.ARITHMETIC[op], _NUMBERS[op]
@@ -78,17 +91,17 @@ def arithmetic(m: Matrix, op: str, value: float | Sequence[float] | DataFrame, *
         with np.errstate(all="ignore"):
             keeps = bool(zero(np.float64(value)))
         return _mapped(m, lambda v: sided(v, d(value)), keeps)
-    vector, (name,) = _as_vector(m, value, by_row)
+    vector, (name,) = _as_vector(m, value, by_row, check=check)
     keeps = _all(value, zero, lambda: sided(F.lit(0.0), d(F.col("w"))) == 0)
     return _mapped(m, lambda v: sided(v, F.col(name)), keeps, vector=vector)
 
 
-def compare(m: Matrix, op: str, value: float | Sequence[float] | DataFrame, *, by_row: bool | None = None, dtype: str = "double") -> Matrix:
+def compare(m: Matrix, op: str, value: float | Sequence[float] | DataFrame, *, by_row: bool | None = None, dtype: str = "double", check: bool = True) -> Matrix:
     """1 where the comparison holds, else 0; NaN equals nothing. Zero is kept if the comparison fails for it."""
     f, on_driver = ieee.COMPARE[op], _COMPARED[op]
     if by_row is None:
         return _mapped(m, lambda v: f(v, d(value)).cast("double"), not on_driver(0.0, value), dtype)
-    vector, (name,) = _as_vector(m, value, by_row)
+    vector, (name,) = _as_vector(m, value, by_row, check=check)
     keeps = _all(value, lambda w: ~on_driver(0.0, w), lambda: ~f(F.lit(0.0), d(F.col("w"))))
     return _mapped(m, lambda v: f(v, F.col(name)).cast("double"), keeps, dtype, vector)
 
@@ -99,14 +112,14 @@ def special_compare(m: Matrix, test: str, *, passes: bool = True, dtype: str = "
     return _mapped(m, lambda v: (f(v) if passes else ~f(v)).cast("double"), (test != "isfinite") == passes, dtype)
 
 
-def boolean(m: Matrix, op: str, value: bool | Sequence[bool] | DataFrame, *, by_row: bool | None = None, dtype: str = "double") -> Matrix:
+def boolean(m: Matrix, op: str, value: bool | Sequence[bool] | DataFrame, *, by_row: bool | None = None, dtype: str = "double", check: bool = True) -> Matrix:
     """and, or, xor, equal on truth values; whatever isn't zero, NaN included, is true."""
     f = ieee.BOOLEAN[op]
     keeps_for = {"and": lambda b: b | True, "or": lambda b: ~b, "xor": lambda b: ~b, "equal": lambda b: b | False}[op]
     if by_row is None:
         b = bool(value) or value != value
         return _mapped(m, lambda v: f(v, d(float(b))).cast("double"), bool(keeps_for(np.bool_(b))), dtype)
-    vector, (name,) = _as_vector(m, value, by_row)
+    vector, (name,) = _as_vector(m, value, by_row, check=check)
     keeps = op == "and" or _all(value, lambda w: keeps_for((w != 0)), lambda: ieee.truth(d(F.col("w"))) if op == "equal" else ~ieee.truth(d(F.col("w"))))
     return _mapped(m, lambda v: f(v, F.col(name)).cast("double"), keeps, dtype, vector)
 
@@ -127,7 +140,7 @@ def math_function(m: Matrix, name: str, base: float | None = None, dtype: str =
     return _mapped(m, f, keeps, dtype)
 
 
-def substitute(m: Matrix, op: str, compared, substitute_=None, *, by_row: bool | None = None) -> Matrix:
+def substitute(m: Matrix, op: str, compared, substitute_=None, *, by_row: bool | None = None, check: bool = True) -> Matrix:
     """Cells that compare so with `compared` become the substitute.
 
     By row or column, `compared` is a sequence as long as `substitute_`, or one table (i, compared, substitute).
@@ -143,7 +156,7 @@ def substitute(m: Matrix, op: str, compared, substitute_=None, *, by_row: bool |
         if len(compared) != len(substitute_):
             raise ValueError("lengths of the compared and substitute vectors should be the same")
         pairs = np.column_stack([np.asarray(compared, float), np.asarray(substitute_, float)])
-    vector, (with_, to) = _as_vector(m, pairs, by_row, ("compared", "substitute"))
+    vector, (with_, to) = _as_vector(m, pairs, by_row, ("compared", "substitute"), check)
     keeps = _all(pairs, lambda w: ~on_driver(0.0, w[:, 0]) | (w[:, 1] == 0) if len(w) else np.ones(0, bool), lambda: ~f(F.lit(0.0), d(F.col("compared"))) | (d(F.col("substitute")) == 0))
     return _mapped(m, lambda v: F.when(f(v, F.col(with_)), F.col(to)).otherwise(v), keeps, vector=vector)
 

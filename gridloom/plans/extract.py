@@ -56,25 +56,60 @@ class Selection:
         return df.join(F.broadcast(spark.range(len(self.listed)).select(self.position(F.col("id")).alias(name))), name, "left_semi")
 
 
+#: Positions of a line that one row of arrays holds at most.
+STRETCH = 65_536
+
+
+def stretches(m: Matrix, own: DataFrame, by_row: bool, lines: Selection, block: Selection) -> DataFrame:
+    """(p, b, x): the cells of line p (a row, or a column) from place b * STRETCH of `block` on, null where there is no entry.
+
+    Only entries are shuffled, and a row for each line and stretch; absent cells are made inside the arrays.
+    """
+    o, i = ("r", "c") if by_row else ("c", "r")
+    at = F.col(i) - F.lit(block.start).cast("long")
+    packed = own.select(F.col(o).alias("p"), F.floor(at / STRETCH).alias("b"), F.struct((at % STRETCH).cast("int").alias("s"), "v").alias("e")).groupBy("p", "b").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    parts = max(1, -(-block.length // STRETCH))
+    every = own.sparkSession.range(lines.length * parts if block.length else 0).select(lines.position(F.expr(f"id div {parts}L")).alias("p"), F.expr(f"id % {parts}L").alias("b"))
+    none = F.lit(None).cast(m.dtype)
+    size = F.least(F.lit(STRETCH), F.lit(block.length).cast("long") - F.col("b") * STRETCH).cast("int")
+    before = F.concat(F.array(F.lit(-1)), F.col("e.s"))
+    filled = F.flatten(F.zip_with("e", F.slice(before, F.lit(1), F.size("e")), lambda e, last: F.concat(F.array_repeat(none, e["s"] - last - 1), F.array(e["v"]))))
+    x = F.when(F.col("e").isNull(), F.array_repeat(none, size)).otherwise(F.concat(filled, F.array_repeat(none, size - F.size(filled))))
+    return every.join(packed, ["p", "b"], "left").select("p", "b", x.alias("x"))
+
+
+def fill_of(m: Matrix) -> Column:
+    return (F.lit(0.0) if m.fill is None else m.fill).cast(m.dtype)
+
+
 def cells(m: Matrix, rows=None, columns=None) -> DataFrame:
     """(r, c, v) for every selected cell, absent ones filled.
 
-    The grid of selected cells is made from one range, so its size is that of the selection;
-    one aggregation puts entries and grid together.
+    Lines run along the shorter dimension of the selection, or along the other one if that is a list of positions.
+    Of two lists the grid is made from one range and meets the entries in an aggregation; its size is that of the selection.
     """
     rows, columns = Selection.of(rows, m.nrow), Selection.of(columns, m.ncol)
-    own = columns.keep(rows.keep(m.entries, "r", m.nrow), "c", m.ncol)
+    own = columns.keep(rows.keep(m.entries, "r", m.nrow), "c", m.ncol).select("r", "c", "v")
     if m.full:
-        return own.select("r", "c", "v")
-    n = rows.length * columns.length
-    spark = own.sparkSession
-    width = max(1, columns.length)
-    grid = spark.range(n).select(rows.position(F.expr(f"id div {width}L")).alias("r"), columns.position(F.expr(f"id % {width}L")).alias("c"), F.lit(None).cast(m.dtype).alias("v"))
-    met = own.select("r", "c", "v").union(grid).groupBy("r", "c").agg(F.max("v").alias("v"))
+        return own
+    if rows.listed is not None and columns.listed is not None:
+        n, width = rows.length * columns.length, max(1, columns.length)
+        grid = own.sparkSession.range(n).select(rows.position(F.expr(f"id div {width}L")).alias("r"), columns.position(F.expr(f"id % {width}L")).alias("c"), F.lit(None).cast(m.dtype).alias("v"))
+        met = own.union(grid).groupBy("r", "c").agg(F.max("v").alias("v"))
+    else:
+        by_row = columns.listed is None and (rows.listed is not None or columns.length <= rows.length)
+        lines, block = (rows, columns) if by_row else (columns, rows)
+        met = stretches(m, own, by_row, lines, block).select("p", "b", F.posexplode("x").alias("s", "v"))
+        at = F.col("b") * STRETCH + F.col("s") + F.lit(block.start).cast("long")
+        met = met.select(*([F.col("p").alias("r"), at.alias("c")] if by_row else [at.alias("r"), F.col("p").alias("c")]), "v")
     for vector in m.vectors:
         met = vector.join(met)
-    fill = F.lit(0.0) if m.fill is None else m.fill
-    return met.select("r", "c", F.coalesce("v", fill.cast(m.dtype)).alias("v"))
+    return met.select("r", "c", F.coalesce("v", fill_of(m)).alias("v"))
+
+
+def by_line(m: Matrix, row: bool) -> bool:
+    """The fill of a row's (or column's) absent cells depends on nothing else."""
+    return all(v.by_row == row for v in m.vectors)
 
 
 def entries(m: Matrix, rows=None, columns=None) -> DataFrame:
@@ -145,11 +180,20 @@ def extract(
         at = (at, 1)
     at, chosen = Selection.of(at, extent), Selection.of(selection, other)
     rows, columns = (at, chosen) if target == "row" else (chosen, at)
-    found = cells(m, rows, columns) if form == "dense" else entries(m, rows, columns)
-    spark = found.sparkSession
+    spark = m.entries.sparkSession
+    inside = form == "dense" and not m.full and chosen.listed is None and chosen.length <= STRETCH and by_line(m, target == "row")
+    found = None if inside else cells(m, rows, columns) if form == "dense" else entries(m, rows, columns)
     every = spark.range(at.length).select(at.position(F.col("id")).alias("i"))
     typed = f"array<{m.dtype}>"
-    if form == "dense":
+    if inside:  # absent cells are filled where the arrays are made
+        own = columns.keep(rows.keep(m.entries, "r", m.nrow), "c", m.ncol).select("r", "c", "v")
+        lines = stretches(m, own, target == "row", at, chosen).select(F.col("p").alias(t), "x")
+        for vector in m.vectors:
+            lines = vector.join(lines)
+        lines = lines.select(F.col(t).alias("i"), F.col("x").alias("y"), fill_of(m).alias("fill"))
+        out = every.join(lines, "i", "left") if chosen.length == 0 else lines
+        out = out.select("i", F.coalesce(F.transform("y", lambda v: F.coalesce(v, F.col("fill"))), F.array().cast(typed)).alias("x"))
+    elif form == "dense":
         packed = found.groupBy(F.col(t).alias("i")).agg(F.array_sort(F.collect_list(F.struct(F.col(o).alias("s"), "v"))).alias("e"))
         out = every.join(packed, "i", "left").select("i", F.coalesce("e.v", F.array().cast(typed)).alias("x"))
     else:

@@ -4,6 +4,7 @@ from .leaves import (
     compress_triplets,
     constant,
     from_compressed,
+    from_compressed_tables,
     from_coo,
     from_custom,
     from_flat,
@@ -12,4 +13,4 @@ from .leaves import (
     from_triplets,
 )
 
-__all__ = ["compress_triplets", "constant", "from_compressed", "from_coo", "from_custom", "from_flat", "from_fragmented", "from_rows", "from_triplets"]
+__all__ = ["compress_triplets", "constant", "from_compressed", "from_compressed_tables", "from_coo", "from_custom", "from_flat", "from_fragmented", "from_rows", "from_triplets"]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..matrix import Matrix
@@ -12,8 +14,10 @@ from ..plans.prefix import running_total
 
 
 def _fail_if(rows: DataFrame, message: str) -> None:
-    if not rows.isEmpty():
-        raise ValueError(message)
+    """Raises the message, with the first offending row, if there is one."""
+    found = rows.first()
+    if found is not None:
+        raise ValueError(f"{message}, not as in {found.asDict()}")
 
 
 def _typed(v: Column, dtype: str) -> Column:
@@ -26,10 +30,10 @@ def from_coo(df: DataFrame, nrow: int, ncol: int, *, check: bool = False, combin
     if combine == "sum":
         df = df.groupBy("r", "c").agg(F.sum("v").alias("v"))
     if check:
-        _fail_if(df.where("r is null or c is null or v is null"), "positions and values should not be null")
-        _fail_if(df.where(~F.col("r").between(0, nrow - 1) | ~F.col("c").between(0, ncol - 1)), "indices should be non-negative and less than the extent")
+        _fail_if(df.where("r is null or c is null or v is null"), "positions and values may not be null")
+        _fail_if(df.where(~F.col("r").between(0, nrow - 1) | ~F.col("c").between(0, ncol - 1)), "a position should not be negative and be less than the extent")
         if combine is None:
-            _fail_if(df.groupBy("r", "c").count().where("count > 1"), "indices should be strictly increasing")
+            _fail_if(df.groupBy("r", "c").count().where("count > 1"), "positions should come once each, their indices strictly increasing")
     return Matrix(df, nrow, ncol, p_rows=1.0 if csr else 0.0, dtype=dtype)
 
 
@@ -37,9 +41,9 @@ def from_rows(df: DataFrame, nrow: int, ncol: int, *, row_major: bool = True, ch
     """A dense matrix from (i, x): an array for each row (row_major) or column."""
     if check:
         most, width = (nrow, ncol) if row_major else (ncol, nrow)
-        _fail_if(df.where(F.col("i").isNull() | F.col("x").isNull() | (F.size("x") != width) | ~F.col("i").between(0, most - 1)), "length of 'values' should be equal to product of 'nrows' and 'ncols'")
+        _fail_if(df.where(F.col("i").isNull() | F.col("x").isNull() | (F.size("x") != width) | ~F.col("i").between(0, most - 1)), "there should be as many values as the product of the extents")
         if df.select(F.countDistinct("i"), F.count("*")).first() != (most, most):
-            raise ValueError("length of 'values' should be equal to product of 'nrows' and 'ncols'")
+            raise ValueError("there should be as many values as the product of the extents")
     long = df.select(F.col("i").cast("long").alias("p"), F.posexplode("x").alias("s", "v")).select("p", F.col("s").cast("long").alias("s"), _typed(F.col("v"), dtype).alias("v"))
     r, c = ("p", "s") if row_major else ("s", "p")
     return Matrix(long.select(F.col(r).alias("r"), F.col(c).alias("c"), "v"), nrow, ncol, sparse=False, full=True, p_sparse=0.0, p_rows=1.0 if row_major else 0.0, dtype=dtype)
@@ -50,7 +54,7 @@ def from_flat(df: DataFrame, nrow: int, ncol: int, *, row_major: bool = True, ch
     if check:
         n = df.count()
         if (nrow == 0 and n != 0) or (nrow and (n % nrow or n // nrow != ncol)):
-            raise ValueError("length of 'values' should be equal to product of 'nrows' and 'ncols'")
+            raise ValueError("there should be as many values as the product of the extents")
     width = max(1, ncol if row_major else nrow)
     p, s = F.expr(f"k div {width}L"), F.expr(f"k % {width}L")
     r, c = (p, s) if row_major else (s, p)
@@ -61,42 +65,70 @@ def from_fragmented(df: DataFrame, nrow: int, ncol: int, *, row: bool = True, ch
     """A sparse matrix from (i, index, value): two arrays for each row or column; elements without entries may be absent."""
     if check:
         most, width = (nrow, ncol) if row else (ncol, nrow)
-        _fail_if(df.where(F.col("i").isNull() | ~F.col("i").between(0, most - 1)), "number of elements should be equal to the primary extent")
-        _fail_if(df.groupBy("i").count().where("count > 1"), "number of elements should be equal to the primary extent")
-        _fail_if(df.where(F.size("index") != F.size("value")), "lengths of 'indices' and 'values' should be the same")
-        _fail_if(df.where(F.exists("index", lambda x: x.isNull() | (x < 0) | (x >= width))), "indices should be non-negative and less than the extent")
+        _fail_if(df.where(F.col("i").isNull() | ~F.col("i").between(0, most - 1)), "an element should lie within the primary extent")
+        _fail_if(df.groupBy("i").count().where("count > 1"), "an element of the primary extent should come once")
+        _fail_if(df.where(F.size("index") != F.size("value")), "an element should have the same number of indices and values")
+        _fail_if(df.where(F.exists("index", lambda x: x.isNull() | (x < 0) | (x >= width))), "an index should not be negative and be less than the extent")
         falls = F.exists(F.sequence(F.lit(1), F.size("index") - 1), lambda k: F.element_at("index", k) >= F.element_at("index", k + 1))
-        _fail_if(df.where((F.size("index") > 1) & falls), "indices should be strictly increasing")
+        _fail_if(df.where((F.size("index") > 1) & falls), "the indices of an element should be strictly increasing")
     long = df.select(F.col("i").cast("long").alias("p"), F.explode(F.arrays_zip("index", "value")).alias("e"))
     r, c = ("p", "s") if row else ("s", "p")
     long = long.select("p", F.col("e.index").cast("long").alias("s"), _typed(F.col("e.value"), dtype).alias("v"))
     return Matrix(long.select(F.col(r).alias("r"), F.col(c).alias("c"), "v"), nrow, ncol, p_rows=1.0 if row else 0.0, dtype=dtype)
 
 
-def from_compressed(spark: SparkSession, values: Sequence[float], indices: Sequence[int], pointers: Sequence[int], nrow: int, ncol: int, *, csr: bool = True, check: bool = True, dtype: str = "double") -> Matrix:
-    """A sparse matrix from three flat sequences on the driver."""
+#: Places of the flat arrays that are sorted together.
+SPAN = 65_536
+
+
+def from_compressed_tables(contents: DataFrame, pointers: DataFrame, nrow: int, ncol: int, *, csr: bool = True, check: bool = True, dtype: str = "double") -> Matrix:
+    """A sparse matrix from flat arrays as tables: (k, index, v), k being the place in the arrays, and (i, pointer) with one more row than the primary extent.
+
+    Each element's range of places is cut at multiples of SPAN; within such a span the last range that begins at or before a
+    place owns it, so places find their element by one shuffle on the span, whatever the elements' sizes.
+    """
     most, width = (nrow, ncol) if csr else (ncol, nrow)
+    contents = contents.select(F.col("k").cast("long").alias("k"), F.col("index").cast("long").alias("s"), _typed(F.col("v"), dtype).alias("v"))
+    pointers = pointers.select(F.col("i").cast("long").alias("i"), F.col("pointer").cast("long").alias("a"))
+    ends = pointers.select((F.col("i") - 1).alias("i"), F.col("a").alias("b"))
+    ranges = pointers.where(F.col("i") < most).join(ends, "i")
+    if check:
+        _check_pointers(contents, pointers, ranges, most)
+    spans = F.sequence(F.expr(f"a div {SPAN}L"), F.expr(f"(b - 1) div {SPAN}L"))
+    heads = ranges.where("a < b").select("i", "a", F.explode(spans).alias("span")).select("span", F.greatest("a", F.col("span") * SPAN).alias("k"), F.lit(0).alias("kind"), F.col("i").alias("p"), F.lit(None).cast("long").alias("s"), F.lit(None).cast(dtype).alias("v"))
+    own = contents.select(F.expr(f"k div {SPAN}L").alias("span"), "k", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("p"), "s", "v")
+    order = Window.partitionBy("span").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = heads.union(own).withColumn("p", F.last("p", ignorenulls=True).over(order)).where("kind = 1")
     if check:
-        if len(values) != len(indices):
-            raise ValueError("'values' and 'indices' should be of the same length")
-        if len(pointers) != most + 1:
-            raise ValueError("length of 'pointers' should be equal to the primary extent plus one")
-        if pointers[0] != 0:
-            raise ValueError("first element of 'pointers' should be zero")
-        if pointers[-1] != len(indices):
-            raise ValueError("last element of 'pointers' should be equal to length of 'indices'")
-        if any(b < a for a, b in zip(pointers, pointers[1:], strict=False)):
-            raise ValueError("'pointers' should be in non-decreasing order")
-        for a, b in zip(pointers, pointers[1:], strict=False):
-            own = list(indices[a:b])
-            if any(not 0 <= x < width for x in own):
-                raise ValueError("'indices' should be non-negative and less than the secondary extent")
-            if any(y <= x for x, y in zip(own, own[1:], strict=False)):
-                raise ValueError("'indices' should be strictly increasing within each primary element")
-    rows = [(p, int(indices[k]), float(values[k])) for p in range(most) for k in range(pointers[p], pointers[p + 1])]
-    df = spark.createDataFrame(rows, "p long, s long, v double").withColumn("v", _typed(F.col("v"), dtype))
+        _fail_if(met.where(f"s is null or s < 0 or s >= {width}").select("p", "k", "s"), "an index should not be negative and be less than the secondary extent")
+        before = F.lag("s").over(Window.partitionBy("p", F.expr(f"k div {SPAN}L")).orderBy("k"))
+        edge = met.where(f"k % {SPAN}L in (0, {SPAN - 1}L)").select("p", "k", "s")
+        falls = met.select("p", "k", "s", before.alias("earlier")).where("s <= earlier")
+        seams = edge.alias("x").join(edge.alias("y"), (F.col("x.p") == F.col("y.p")) & (F.col("y.k") == F.col("x.k") + 1)).where("y.s <= x.s").select("y.p", "y.k", "y.s", F.col("x.s").alias("earlier"))
+        _fail_if(falls.union(seams), "the indices of an element should be strictly increasing")
     r, c = ("p", "s") if csr else ("s", "p")
-    return Matrix(df.select(F.col(r).alias("r"), F.col(c).alias("c"), "v"), nrow, ncol, p_rows=1.0 if csr else 0.0, dtype=dtype)
+    return Matrix(met.select(F.col(r).alias("r"), F.col(c).alias("c"), "v"), nrow, ncol, p_rows=1.0 if csr else 0.0, dtype=dtype)
+
+
+def _check_pointers(contents: DataFrame, pointers: DataFrame, ranges: DataFrame, most: int) -> None:
+    rows, positions, least, last = pointers.agg(F.count("*"), F.countDistinct("i"), F.min("i"), F.max("i")).first()
+    if (rows, positions, least, last) != (most + 1, most + 1, 0, most):
+        raise ValueError(f"there should be one pointer for each of 0 to {most}, which is equal to the primary extent; found {rows} rows for {positions} of {least} to {last}")
+    n, places, low, high = contents.agg(F.count("*"), F.countDistinct("k"), F.min("k"), F.max("k")).first()
+    if n and (places, low, high) != (n, 0, n - 1):
+        raise ValueError(f"the places of the contents should be 0 to {n - 1}, once each; found {places} from {low} to {high}")
+    _fail_if(pointers.where("i = 0 and not a <=> 0"), "the first pointer should be zero")
+    _fail_if(pointers.where(f"i = {most} and not a <=> {n}L"), f"the last element of the pointers should be the number of indices, {n}")
+    _fail_if(ranges.where("b < a"), "pointers should not decrease")
+
+
+def from_compressed(spark: SparkSession, values: Sequence[float], indices: Sequence[int], pointers: Sequence[int], nrow: int, ncol: int, *, csr: bool = True, check: bool = True, dtype: str = "double") -> Matrix:
+    """A sparse matrix from three flat sequences on the driver; they become the tables of from_compressed_tables()."""
+    if len(values) != len(indices):
+        raise ValueError(f"there are {len(values)} values and {len(indices)} indices; they should be of the same length")
+    contents = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(values)), "index": np.asarray(indices, np.int64), "v": np.asarray(values, float)}), "k long, index long, v double")
+    where = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(pointers)), "pointer": np.asarray(pointers, np.int64)}), "i long, pointer long")
+    return from_compressed_tables(contents, where, nrow, ncol, csr=csr, check=check, dtype=dtype)
 
 
 def constant(spark: SparkSession, nrow: int, ncol: int, value: float) -> Matrix:

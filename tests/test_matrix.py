@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 from gridloom import binary, reshape, sinks, sources, unary
+from gridloom.functions import ieee
 from gridloom.plans.extract import ConsecutiveOracle, FixedOracle, consecutive, extract, fetch, process_consecutive_indices
 from pyspark.sql import functions as F
 
@@ -267,3 +268,113 @@ def test_stream_of_entries(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen == [(0, 1, 10.0), (2, 0, 2.0)]
+
+
+def test_vector_tables_are_validated(spark):
+    m = coo(spark, simulate(3, 3, 2, 0.9))
+    table = lambda rows: spark.createDataFrame(rows, "i long, w double")
+    good = [(0, 1.0), (2, 3.0), (1, 2.0)]
+    assert array(unary.arithmetic(m, "add", table(good), by_row=True)).shape == (3, 2)
+    for rows in (good[:2], [*good, (1, 5.0)], [(0, 1.0), (0, 1.0), (0, 1.0)], [(0, 1.0), (1, 2.0), (3, 3.0)], [(0, 1.0), (1, None), (2, 3.0)], [(0, 1.0), (1, 2.0), (-1, 3.0)], []):
+        for use in (lambda t: unary.arithmetic(m, "add", t, by_row=True), lambda t: unary.compare(m, "less", t, by_row=True), lambda t: unary.boolean(m, "or", t, by_row=True), lambda t: unary.substitute(m, "less", t.selectExpr("i", "w as compared", "w as substitute"), by_row=True)):
+            with pytest.raises(ValueError, match="vector's table"):
+                use(table(rows))
+    assert unary.arithmetic(m, "add", table(good[:2]), by_row=True, check=False).nrow == 3
+    assert array(unary.arithmetic(coo(spark, np.zeros((0, 2))), "add", table([]), by_row=True)).shape == (0, 2)
+
+
+def test_functions_keep_twelve_digits(spark):
+    x = [1e-300, 1e-10, 1e-3, 0.3, 0.5, 1.0, 1 + 1e-9, 1.5, 2.0, 2.4, 3.0, 7.25, 29.0, 100.5, 170.0, 1e6, 2.0**29, 2.0**-1074, 1e300]
+    x += [-v for v in x if v != 1e300]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    rows = df.select("x", ieee.asinh(F.col("x")), ieee.log2(F.col("x")), ieee.gamma(F.col("x")), ieee.lgamma(F.col("x"))).collect()
+
+    def whole(v):
+        return v == math.floor(v)
+
+    for v, a, b, g, lg in rows:
+        assert a == pytest.approx(math.asinh(v), rel=1e-12, abs=0)
+        if v > 0:
+            assert b == pytest.approx(math.log2(v), rel=1e-12, abs=0) and (not whole(math.log2(v)) or b == math.log2(v))
+        if v < 0 and whole(v):
+            assert math.isnan(g) and lg == math.inf
+            continue
+        try:
+            assert g == pytest.approx(math.gamma(v), rel=1e-12, abs=0)
+        except OverflowError:
+            assert g == math.copysign(math.inf, v)
+        assert lg == pytest.approx(math.lgamma(v), rel=1e-12, abs=5e-15)
+    odd = spark.createDataFrame([(math.nan,), (math.inf,), (-math.inf,), (0.0,), (-0.0,)], "x double").select(ieee.asinh(F.col("x")), ieee.gamma(F.col("x")), ieee.lgamma(F.col("x"))).collect()
+    assert [str(tuple(r)) for r in odd] == ["(nan, nan, nan)", "(inf, inf, inf)", "(-inf, nan, inf)", "(0.0, inf, inf)", "(-0.0, -inf, inf)"]
+
+
+def test_lines_in_stretches(spark, monkeypatch):
+    from gridloom.plans import extract as reads
+    from gridloom.plans import sinks as writes
+
+    monkeypatch.setattr(reads, "STRETCH", 4)
+    monkeypatch.setattr(writes, "STRETCH", 4)
+    a = simulate(21, 9, 13, 0.3)
+    weights = [float(k) for k in range(13)]
+    m = unary.arithmetic(unary.arithmetic(coo(spark, a), "add", weights, by_row=False), "multiply", 2.0)
+    want = (a + np.array(weights)) * 2
+    same(array(m), want)
+    for row in (True, False):
+        got = {r.i: r.x for r in m.dense(row, 1, 7).collect()}
+        assert all(np.allclose(got[k], (want if row else want.T)[k, 1:8]) for k in got) and len(got) == (9 if row else 13)
+        got = {r.i: r.x for r in m.dense(row, [0, 5, 6]).collect()}
+        assert all(np.allclose(got[k], (want if row else want.T)[k, [0, 5, 6]]) for k in got)
+        same([r.total for r in sorted(sinks.sums(m, row).collect())], want.sum(axis=1 if row else 0))
+        assert [r.n for r in sorted(sinks.count_non_zeros(m, row).collect())] == np.count_nonzero(want, axis=1 if row else 0).tolist()
+        flat = a if row else a.T
+        p, q = np.nonzero(flat)
+        assert [(r.p, r.s, r.v) for r in sorted(sinks.fill_compressed(coo(spark, a), row).collect(), key=lambda r: r.k)] == [(i, j, flat[i, j]) for i, j in zip(p, q)]
+    same(array(unary.arithmetic(coo(spark, a), "add", 1.0)), a + 1)
+    infinite = unary.arithmetic(coo(spark, a), "add", float("inf"))
+    assert all(np.isinf(r.total) for r in sinks.sums(infinite).collect())
+
+
+def test_compressed_tables(spark, monkeypatch):
+    from gridloom.sources import leaves
+
+    monkeypatch.setattr(leaves, "SPAN", 3)
+    a = simulate(31, 8, 6, 0.5)
+    a[2:4] = 0
+    for csr in (True, False):
+        flat = a if csr else a.T
+        p, q = np.nonzero(flat)
+        contents = [(k, int(j), float(flat[i, j])) for k, (i, j) in enumerate(zip(p, q))]
+        pointers = [(i, int(x)) for i, x in enumerate(np.concatenate([[0], np.cumsum(np.count_nonzero(flat, axis=1))]))]
+        make = lambda c, t, csr=csr, check=True: sources.from_compressed_tables(spark.createDataFrame(c, "k long, index long, v double").repartition(3), spark.createDataFrame(t, "i long, pointer long"), 8, 6, csr=csr, check=check)
+        same(array(make(contents, pointers)), a)
+        same(array(make(contents, pointers, check=False)), a)
+        k = int(np.flatnonzero(p[1:] == p[:-1])[0])
+        bad = contents.copy()
+        bad[k + 1] = (k + 1, contents[k][1], 1.0)
+        for c, t, message in ((bad, pointers, "strictly increasing"), (contents[:-1], pointers, "last element"), ([*contents[:-1], (len(contents) - 1, 99, 1.0)], pointers, "less than"), (contents, pointers[:-1], "primary"), (contents, [(0, 1), *pointers[1:]], "zero"), (contents, [pointers[0], (1, len(contents)), *pointers[2:]], "decrease"), ([*contents[:-1], (len(contents) + 5, 0, 1.0)], pointers, "places")):
+            with pytest.raises(ValueError, match=message):
+                make(c, t)
+    assert sources.from_compressed(spark, [], [], [0, 0], 1, 2).entries.count() == 0
+
+
+def test_transposed_buffers(spark):
+    a = simulate(41, 3, 4, 1.0)
+    padded = np.full((3, 6), -1.0)
+    padded[:, :4] = a
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(padded.ravel())], "k long, v double")
+    out = np.full(4 * 5, -1.0)
+    for r in reshape.transpose_buffer(df, 3, 4, 6, 5).collect():
+        out[r.k] = r.v
+    want = np.full((4, 5), -1.0)
+    want[:, :3] = a.T
+    same(out.reshape(4, 5), want)
+    with pytest.raises(ValueError):
+        reshape.transpose_buffer(df, 3, 4, 3)
+
+
+def test_positional_binary_helpers_follow_reshapes(spark):
+    a, b = simulate(51, 4, 5, 0.3), simulate(52, 4, 5, 0.3)
+    m = binary.combine(coo(spark, a), coo(spark, b), binary.BinaryHelper(lambda x, y, r, c: x + y + r * 10 + c))
+    want = a + b + np.arange(4)[:, None] * 10 + np.arange(5)
+    same(array(reshape.transpose(m)), want.T)
+    same(array(reshape.subset(m, [3, 1], True)), want[[3, 1]])
