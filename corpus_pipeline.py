@@ -21,10 +21,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each earlier stage kept is written to the session's shared folder."""
+    """The last stage's rows. What each earlier stage kept is written to the session's shared folder, and removed once the next stage is written."""
     docs = tables.read(spark, sf_dir, "documents")
     folder = f"{tables.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last is not None:
+            tables.remove(spark, f"{folder}/{last}")
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
