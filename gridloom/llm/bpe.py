@@ -1,17 +1,21 @@
-"""Byte-level BPE by merge replay.
-
-A task cuts its texts into pieces, keeps each distinct piece once, and lays all
-new pieces side by side. An inverted index from the rank of a pair to its
-positions is replayed in rank order: each step takes the lowest rank anywhere,
-merges its positions from left to right and re-indexes only the two neighbours
-of each merge. Where a merge brings forth a pair of lower rank, the rest of that
-piece waits for it, so every piece is merged as if it were alone.
+"""Byte-level BPE by corpus-level merge replay.
+
+Documents are dealt into blocks of bounded size. A block cuts its texts into
+pieces and sends each distinct piece that is no token by itself once to the bin
+of the piece's hash, so that a piece meets all its copies in the corpus. A bin
+lays its distinct pieces side by side. An inverted index from the rank of a pair
+to its positions is replayed in rank order: each step takes the lowest rank
+anywhere, merges its positions from left to right and re-indexes only the two
+neighbours of each merge. Where a merge brings forth a pair of lower rank, the
+rest of that piece waits for it, so every piece is merged as if it were alone.
+The ids return to the blocks, which put their texts together from them.
 """
 
 from __future__ import annotations
 
 import base64
 import gc
+import struct
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import islice
@@ -21,13 +25,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import tables
+from .textbuf import hashes
 
-#: Distinct pieces that a task keeps encoded at most, and the longest piece kept; others are encoded again.
+#: Distinct pieces that an encoder keeps at most beside those that it was told, and the longest piece kept; others are encoded again.
 KEPT, KEPT_CHARS = 200_000, 64
-#: Pieces taken at once.
-BLOCK = 200_000
+#: Pieces of texts taken at once, and distinct pieces merged at once.
+BLOCK, MERGED = 200_000, 50_000
+#: Bytes of text of a block, and of the texts that share a bin, aimed at.
+BLOCK_BYTES, BIN_BYTES = 8 << 20, 64 << 20
 #: Tokens are below NONE; a pair of tokens is one number.
 SHIFT, NONE = 21, (1 << 21) - 1
 
@@ -56,7 +64,13 @@ class Encoder:
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
         self.first = np.full((257, 257), -1)
         self.first[:256, :256] = [[self.pairs.get(a << SHIFT | b, -1) for b in self.single.tolist()] for a in self.single.tolist()]
+        self.words = {b.decode(): r.to_bytes(4, "little") for b, r in ranks.items() if _is_text(b)}
         self.kept: dict[str, bytes] = {}
+        self.most = KEPT
+
+    def tell(self, known: dict[str, bytes]) -> None:
+        """Starts anew with pieces whose ids are known."""
+        self.kept, self.most = known, KEPT + len(known)
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian 32-bit integers."""
@@ -65,11 +79,12 @@ class Encoder:
         todo = [k for k, r in enumerate(out) if r is None]
         gc.disable()  # the index is many small lists without cycles
         try:
-            merged = self._merge([pieces[k] for k in todo])
+            for a in range(0, len(todo), MERGED):
+                part = todo[a : a + MERGED]
+                for k, ids in zip(part, self._merge([pieces[k] for k in part]), strict=True):
+                    out[k] = ids
         finally:
             gc.enable()
-        for k, ids in zip(todo, merged, strict=True):
-            out[k] = ids
         return [x if isinstance(x, bytes) else x.to_bytes(4, "little") for x in out]
 
     def _merge(self, pieces: list[bytes]) -> list[bytes]:
@@ -144,13 +159,13 @@ class Encoder:
         while block := [m[0] for m in islice(found, BLOCK)]:
             yield block
 
-    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        if len(self.kept) > KEPT:
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Sees to it that `kept` has the ids of all pieces; returns those that should not stay."""
+        if len(self.kept) > self.most:
             self.kept.clear()
-        new = [p for p in set(pieces) if p not in self.kept]
-        got = dict(zip(new, self.replay([p.encode() for p in new]), strict=True))
-        self.kept.update((p, b) for p, b in got.items() if len(p) <= KEPT_CHARS)
-        return {p: b for p, b in got.items() if len(p) > KEPT_CHARS}
+        new = [p for p in pieces if p not in self.kept]
+        self.kept.update(zip(new, self.replay([p.encode() for p in new]), strict=True))
+        return [p for p in new if len(p) > KEPT_CHARS]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers; null reads as empty."""
@@ -160,9 +175,14 @@ class Encoder:
 
         def flush() -> None:
             nonlocal size
-            long = self._learn(p for d in waiting for p in d)
-            get = (self.kept | long).__getitem__ if long else self.kept.__getitem__
-            out.extend(b"".join(map(get, d)) for d in waiting)
+            try:
+                found = [b"".join(map(self.kept.__getitem__, d)) for d in waiting]
+            except KeyError:
+                long = self._learn(set().union(*waiting))
+                found = [b"".join(map(self.kept.__getitem__, d)) for d in waiting]
+                for p in long:
+                    del self.kept[p]
+            out.extend(found)
             waiting.clear()
             size = 0
 
@@ -201,35 +221,142 @@ class _Shared:
         return self.made
 
 
+def _squeeze(items: list[bytes]) -> bytes:
+    raw = np.fromiter(map(len, items), "<u4", len(items)).tobytes() + b"".join(items)
+    return struct.pack("<IQ", len(items), len(raw)) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _spread_out(blob: bytes) -> list[bytes]:
+    n, size = struct.unpack("<IQ", blob[:12])
+    raw = pa.Codec("zstd").decompress(blob[12:], decompressed_size=size, asbytes=True)
+    ends = (4 * n + np.cumsum(np.frombuffer(raw, "<u4", n))).tolist()
+    return [raw[a:b] for a, b in zip([4 * n, *ends], ends, strict=False)]
+
+
+def _deal(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    """The rows of a batch that go to each block (its last column), with all other columns."""
+    block = batch.column(batch.num_columns - 1).to_numpy()
+    rows = batch.select(batch.schema.names[:-1])
+    order = np.argsort(block, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows.take(pa.array(own)))
+        yield int(block[own[0]]), sink.getvalue().to_pybytes()
+
+
+def _dealt(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for blob in table.column("packed"):
+        with pa.ipc.open_stream(blob.as_buffer()) as rows:
+            yield from rows
+
+
+def _corpus(spark: SparkSession, docs: DataFrame, path: str, pattern: str, fields: str) -> DataFrame:
+    """`docs` with token_ids and, if among `fields`, decoded.
+
+    A bin holds a piece once for each block that has it, so the pieces that a block sends to all bins together
+    are fewer than its words; pieces that are tokens are sent nowhere. Should a block meet a piece that it
+    has no answer for (as when a lost task deals its rows otherwise), it merges that piece itself.
+    """
+    shared = _Shared(spark, path, pattern)
+    more = StructType.fromDDL(fields)
+    docs = docs.drop(*more.names)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, bins = max(n, -(-size // BLOCK_BYTES)), max(n, -(-size // BIN_BYTES))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in tables.parts(whole, 2 * BLOCK_BYTES):
+                found = list(_deal(b))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["block", "packed"])
+        tables.release()
+
+    def send(table: pa.Table) -> pa.Table:
+        own, encoder = set(), shared.get()
+        for b in _dealt(table):
+            for t in b.column("text").to_pylist():
+                for part in encoder._blocks(t or ""):
+                    own.update(part)
+        pieces = [p for x in own if (p := x.encode()) not in encoder.ranks]
+        bin_ = (hashes(*_bounds(pieces)) % np.uint64(bins)).astype(np.int64)
+        order = np.argsort(bin_, kind="stable")
+        out = [(int(bin_[g[0]]), _squeeze([pieces[k] for k in g.tolist()])) for g in np.split(order, np.flatnonzero(np.diff(bin_[order])) + 1) if len(g)]
+        del own, pieces
+        tables.release(cycles=False)
+        block = table.column("block")[0].as_py()
+        return pa.table({"bin": pa.array([k for k, _ in out], pa.int32()), "block": pa.array([block] * len(out), pa.int32()), "pieces": pa.array([x for _, x in out], pa.binary())})
+
+    def replay(table: pa.Table) -> pa.Table:
+        asked = [_spread_out(b) for b in table.column("pieces").to_pylist()]
+        pieces = list(set().union(*asked))
+        ids = dict(zip(pieces, shared.get().replay(pieces), strict=True))
+        out = [_squeeze([*own, *map(ids.__getitem__, own)]) for own in asked]
+        del asked, pieces, ids
+        tables.release(cycles=False)
+        return pa.table({"block": table.column("block"), "answer": pa.array(out, pa.binary())})
+
+    def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        encoder = shared.get()
+        known = dict(encoder.words)
+        for b in answers.column("answer").to_pylist():
+            items = _spread_out(b)
+            known.update(zip(map(bytes.decode, items[: len(items) // 2]), items[len(items) // 2 :], strict=True))
+        encoder.tell(known)
+        out = []
+        for b in _dealt(rows):
+            made = {"token_ids": pa.array(encoder.encode(b.column("text").to_pylist()), pa.binary())}
+            if "decoded" in more.names:
+                made["decoded"] = pa.array(map(encoder.decode, made["token_ids"].to_pylist()), pa.binary())
+            out.append(pa.RecordBatch.from_arrays([*b.columns, *made.values()], [*b.schema.names, *made]))
+        encoder.tell({})
+        del known
+        tables.release(cycles=False)
+        return pa.Table.from_batches(out)
+
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")  # copies are spread, too
+    dealt = docs.withColumn(tables.fresh(docs, "block"), block).mapInArrow(deal, "block int, packed binary")
+    sent = dealt.groupBy("block").applyInArrow(send, "bin int, block int, pieces binary")
+    answers = sent.groupBy("bin").applyInArrow(replay, "block int, answer binary")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, StructType([*docs.schema.fields, *more.fields]))
+
+
+def _is_text(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _bounds(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    return np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], ends])[:-1].astype(np.int64), ends
+
+
 def encode(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """`docs` with token_ids, the ids of `text` as little-endian 32-bit integers.
 
     `path` is a rank file that the driver can read; special tokens are ordinary text.
-    Null and empty texts have no ids. An earlier column token_ids is replaced.
+    Null and empty texts have no ids; rows are encoded one by one, whatever their ids, repeats and other
+    columns are. An earlier column token_ids is replaced.
     """
-    shared = _Shared(spark, path, pattern)
-    return tables.append(docs, "token_ids binary", lambda b: [pa.array(shared.get().encode(b.column("text").to_pylist()), pa.binary())])
+    return _corpus(spark, docs, path, pattern, "token_ids binary")
 
 
 def decode(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """`docs` with decoded, the bytes that token_ids stand for; null ids give no bytes."""
+    """`docs` with decoded, the bytes that token_ids stand for; null ids give no bytes. An earlier column decoded is replaced."""
     shared = _Shared(spark, path, pattern)
     return tables.append(docs, "decoded binary", lambda b: [pa.array([shared.get().decode(x) for x in b.column("token_ids").to_pylist()], pa.binary())])
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """encode() and decode() of what it returned, in one pass over `docs`."""
-    shared = _Shared(spark, path, pattern)
-
-    def run(b: pa.RecordBatch) -> list[pa.Array]:
-        ids = shared.get().encode(b.column("text").to_pylist())
-        return [pa.array(ids, pa.binary()), pa.array(map(shared.get().decode, ids), pa.binary())]
-
-    return tables.append(docs, "token_ids binary, decoded binary", run)
+    return _corpus(spark, docs, path, pattern, "token_ids binary, decoded binary")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """One row a document, repeated ones too: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -242,9 +369,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with n_tokens, token_ids and round_trip (the ids decode to the text)."""
+    """Pipeline stage: every row of `docs` with n_tokens, token_ids and round_trip (the ids decode to the text), which replace earlier columns of these names.
+
+    Null and empty texts have no tokens; ids, repeats and other columns don't matter; an empty table stays empty.
+    """
     import public_tokenizers
 
-    out = round_trip(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "token_ids", "round_trip")]
+    out = round_trip(spark, tables.packed(docs.select(*[docs[f"`{c}`"] for c in kept])), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.select(*docs.columns, F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+    own = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in kept]
+    return out.select(*own, F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"), "token_ids", same.alias("round_trip"))

@@ -41,3 +41,27 @@ def test_frames(spark, both):
     out = bpe.decode(spark, bpe.encode(spark, df, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
     assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in out.collect()) == [(0, b""), (1, b"the cat"), (1, b"the cat"), (2, b"")]
     assert bpe.encode(spark, df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_corpus_level_replay_equals_the_library(spark, both, monkeypatch):
+    _, tik = both
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinshré日") for _ in range(rng.randrange(1, 12)))
+    texts = [" ".join(word() for _ in range(rng.randrange(80))) for _ in range(60)] + ["same text here"] * 90 + [None, "", "x" * 20_000, "long " * 9000]
+    df = spark.createDataFrame([(i % 50 if i % 9 else None, t, f"b{i}", i) for i, t in enumerate(texts)], "doc_id long, text string, block string, n int").repartition(3)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(bpe, "BIN_BYTES", 4000)
+    out = bpe.round_trip(spark, df, PATH, public_tokenizers.PATTERN)
+    assert out.columns == [*df.columns, "token_ids", "decoded"]
+    rows = {r.n: r for r in out.collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        assert ids(rows[i].token_ids) == tik.encode_ordinary(t or "") and bytes(rows[i].decoded) == (t or "").encode() and rows[i].block == f"b{i}"
+
+
+def test_stage_columns(spark):
+    df = spark.createDataFrame([(1, "the cat", "x", 7, 1), (None, None, "y", 8, 2)], "doc_id long, text string, token_ids string, packed int, rest int")
+    out = bpe.tokenize(spark, df, "")
+    assert out.columns == ["doc_id", "text", "packed", "rest", "n_tokens", "token_ids", "round_trip"]
+    assert sorted((r.packed, r.rest, r.n_tokens, r.round_trip) for r in out.collect()) == [(7, 1, 2, True), (8, 2, 0, True)]
+    assert bpe.tokenize(spark, df.limit(0), "").count() == 0
