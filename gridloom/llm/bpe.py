@@ -35,7 +35,7 @@ KEPT, KEPT_CHARS = 200_000, 64
 #: Pieces of texts taken at once, and distinct pieces merged at once.
 BLOCK, MERGED = 200_000, 50_000
 #: Bytes of text of a block, and of the texts that share a bin, aimed at.
-BLOCK_BYTES, BIN_BYTES = 8 << 20, 64 << 20
+BLOCK_BYTES, BIN_BYTES = 8 << 20, 32 << 20
 #: Tokens are below NONE; a pair of tokens is one number.
 SHIFT, NONE = 21, (1 << 21) - 1
 
@@ -291,7 +291,7 @@ def _corpus(spark: SparkSession, docs: DataFrame, path: str, pattern: str, field
         asked = [_spread_out(b) for b in table.column("pieces").to_pylist()]
         pieces = list(set().union(*asked))
         ids = dict(zip(pieces, shared.get().replay(pieces), strict=True))
-        out = [_squeeze([*own, *map(ids.__getitem__, own)]) for own in asked]
+        out = [_squeeze(list(map(ids.__getitem__, own))) for own in asked]  # ids tell their piece
         del asked, pieces, ids
         tables.release(cycles=False)
         return pa.table({"block": table.column("block"), "answer": pa.array(out, pa.binary())})
@@ -300,8 +300,7 @@ def _corpus(spark: SparkSession, docs: DataFrame, path: str, pattern: str, field
         encoder = shared.get()
         known = dict(encoder.words)
         for b in answers.column("answer").to_pylist():
-            items = _spread_out(b)
-            known.update(zip(map(bytes.decode, items[: len(items) // 2]), items[len(items) // 2 :], strict=True))
+            known.update((encoder.decode(x).decode(), x) for x in _spread_out(b))
         encoder.tell(known)
         out = []
         for b in _dealt(rows):
