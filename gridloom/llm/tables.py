@@ -19,7 +19,7 @@ from .textbuf import flat, slices
 
 _GRAIN = 1 << 30
 #: Keys sent to all tasks at most: of a table of classes, and of those that attach() takes for hot.
-SENT_KEYS, HEAVY = 100_000, 4096
+SENT_KEYS, HEAVY, FEW_CLASSES = 100_000, 4096, 100
 #: Bytes of text a class that a model is learned from at most.
 TRAIN_BYTES = 48 << 20
 #: Bytes of text that a task works on at once.
@@ -46,15 +46,20 @@ def fresh(docs: DataFrame, name: str) -> str:
 def bounded(rows: DataFrame, by: str, key: str | list[str], most: int, total: float = math.inf) -> DataFrame:
     """About `most` rows of each value of `by` at most, and about `total` in all, chosen by a hash of the column or columns `key`.
 
-    One count by class gives each class its sampling rate, so no sort and no per-class window is needed;
-    the counts are sent to all tasks if there are few classes, else rows and rates meet by class.
-    With more classes than `total`, some classes have no row.
+    One count by class gives each class its sampling rate, so no sort and no per-class window is needed. The
+    rates of up to FEW_CLASSES classes are part of the condition, of more they are sent to all tasks or, beyond
+    SENT_KEYS, meet the rows by class. With more classes than `total`, some classes have no row.
     """
     counts = checkpoint(rows.groupBy(by).agg(F.count("*").alias("_of")))
     classes = counts.count()
-    each = min(most, total / max(1, classes))
-    rates = counts.select(F.col(by).alias("_class"), (F.lit(_GRAIN * each) / F.col("_of")).alias("_rate"))
+    wanted = _GRAIN * min(most, total / max(1, classes))
     draw = F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key), F.lit(7)), F.lit(_GRAIN))
+    if classes == 0:
+        return rows
+    if classes <= FEW_CLASSES:
+        rates = F.create_map(*[F.lit(x) for k, n in counts.collect() for x in (k, wanted / n)])
+        return rows.where(draw < rates[F.col(by)])
+    rates = counts.select(F.col(by).alias("_class"), (F.lit(wanted) / F.col("_of")).alias("_rate"))
     met = rows.join(F.broadcast(rates) if classes <= SENT_KEYS else rates, F.col(by) == F.col("_class"))
     return met.where(draw < F.col("_rate")).select(*rows.columns)
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from gridloom.llm import tables, textbuf
 from pyspark.sql import functions as F
 
@@ -40,3 +41,24 @@ def test_bounded_samples(spark):
     got = {r["k"]: r["count"] for r in tables.bounded(df, "k", "id", 100).groupBy("k").count().collect()}
     assert got["few"] == 20 and 50 < got["many"] < 160
     assert tables.bounded(df.limit(0), "k", "id", 100).count() == 0
+
+
+def test_bounded_samples_of_many_classes(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("id", "id % 500 as k")
+    one = sorted(r.id for r in tables.bounded(df, "k", "id", 4).collect())
+    assert 1400 < len(one) < 2600
+    monkeypatch.setattr(tables, "SENT_KEYS", 10)
+    assert sorted(r.id for r in tables.bounded(df, "k", "id", 4).collect()) == one
+    monkeypatch.setattr(tables, "FEW_CLASSES", 1000)
+    assert sorted(r.id for r in tables.bounded(df, "k", "id", 4).collect()) == one
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_folder(Session())
