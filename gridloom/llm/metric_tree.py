@@ -260,7 +260,7 @@ def _routing(vectors: DataFrame, rows: int, width: int, cells: int) -> np.ndarra
 
 
 def _trees(spark: SparkSession, vectors: DataFrame, width: int, points: np.ndarray) -> DataFrame:
-    """(cell, tree): the M-trees of all shards, kept in the shared folder. A cell has a shard for each SHARD_ROWS of its vectors."""
+    """(cell, tree): the M-trees of all shards, kept in the shared folder. A cell has a shard for each SHARD_ROWS, or average number, of its vectors."""
     shared = spark.sparkContext.broadcast(points)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +276,8 @@ def _trees(spark: SparkSession, vectors: DataFrame, width: int, points: np.ndarr
     schema = StructType([*vectors.schema.fields, StructField("cell", LongType())])
     dealt = vectors.mapInArrow(cells, schema) if len(points) > 1 else vectors.withColumn("cell", F.lit(0).cast("long"))
     sizes = {r[0]: r[1] for r in dealt.groupBy("cell").count().collect()}  # as many rows as routing vectors at most
-    parts = F.element_at(F.lit([max(1, -(-sizes.get(c, 0) * 4 // (SHARD_ROWS * 5))) for c in range(len(points))]), F.col("cell").cast("int") + 1)
+    most = 1 + min(SHARD_ROWS, sum(sizes.values()) // len(points)) * 5 // 4
+    parts = F.element_at(F.lit([max(1, -(-sizes.get(c, 0) // most)) for c in range(len(points))]), F.col("cell").cast("int") + 1)
     shard = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts)  # copies of a row go to all shards of the cell
     return tables.checkpoint(dealt.withColumn("shard", shard).groupBy("cell", "shard").applyInArrow(build, "cell long, tree binary"))
 
