@@ -2,8 +2,9 @@
 
 Documents are dealt into blocks of bounded size. A block cuts its texts into
 pieces and sends each distinct piece that is no token by itself once to the bin
-of the piece's hash, so that a piece meets all its copies in the corpus. A bin
-lays its distinct pieces side by side. An inverted index from the rank of a pair
+of the piece's hash, so that a piece meets its copies from all other blocks; of
+more than STRETCH blocks, each STRETCH have bins of their own, so that a piece
+of every block fills no bin. A bin lays its distinct pieces side by side. An inverted index from the rank of a pair
 to its positions is replayed in rank order: each step takes the lowest rank
 anywhere, merges its positions from left to right and re-indexes only the two
 neighbours of each merge. Where a merge brings forth a pair of lower rank, the
@@ -36,6 +37,8 @@ KEPT, KEPT_CHARS = 200_000, 64
 BLOCK, MERGED = 200_000, 50_000
 #: Bytes of text of a block, and of the texts that share a bin, aimed at.
 BLOCK_BYTES, BIN_BYTES = 8 << 20, 32 << 20
+#: Blocks that share bins (32 GB of text): a bin has at most so many rows.
+STRETCH = 4096
 #: Tokens are below NONE; a pair of tokens is one number.
 SHIFT, NONE = 21, (1 << 21) - 1
 
@@ -254,8 +257,8 @@ def _dealt(table: pa.Table) -> Iterator[pa.RecordBatch]:
 def _corpus(spark: SparkSession, docs: DataFrame, path: str, pattern: str, fields: str) -> DataFrame:
     """`docs` with token_ids and, if among `fields`, decoded.
 
-    A bin holds a piece once for each block that has it, so the pieces that a block sends to all bins together
-    are fewer than its words; pieces that are tokens are sent nowhere. Should a block meet a piece that it
+    A bin holds a piece once for each block of its stretch that has it, so the pieces that a block sends to all bins
+    together are fewer than its words; pieces that are tokens are sent nowhere. Should a block meet a piece that it
     has no answer for (as when a lost task deals its rows otherwise), it merges that piece itself.
     """
     shared = _Shared(spark, path, pattern)
@@ -263,7 +266,7 @@ def _corpus(spark: SparkSession, docs: DataFrame, path: str, pattern: str, field
     docs = docs.drop(*more.names)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, bins = max(n, -(-size // BLOCK_BYTES)), max(n, -(-size // BIN_BYTES))
+    blocks, bins = max(n, -(-size // BLOCK_BYTES)), max(n, -(-min(size, STRETCH * BLOCK_BYTES) // BIN_BYTES))  # bins of a stretch
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -279,12 +282,12 @@ def _corpus(spark: SparkSession, docs: DataFrame, path: str, pattern: str, field
                 for part in encoder._blocks(t or ""):
                     own.update(part)
         pieces = [p for x in own if (p := x.encode()) not in encoder.ranks]
-        bin_ = (hashes(*_bounds(pieces)) % np.uint64(bins)).astype(np.int64)
+        block = table.column("block")[0].as_py()
+        bin_ = block // STRETCH * bins + (hashes(*_bounds(pieces)) % np.uint64(bins)).astype(np.int64)
         order = np.argsort(bin_, kind="stable")
         out = [(int(bin_[g[0]]), _squeeze([pieces[k] for k in g.tolist()])) for g in np.split(order, np.flatnonzero(np.diff(bin_[order])) + 1) if len(g)]
         del own, pieces
         tables.release(cycles=False)
-        block = table.column("block")[0].as_py()
         return pa.table({"bin": pa.array([k for k, _ in out], pa.int32()), "block": pa.array([block] * len(out), pa.int32()), "pieces": pa.array([x for _, x in out], pa.binary())})
 
     def replay(table: pa.Table) -> pa.Table:

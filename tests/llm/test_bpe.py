@@ -59,6 +59,17 @@ def test_corpus_level_replay_equals_the_library(spark, both, monkeypatch):
         assert ids(rows[i].token_ids) == tik.encode_ordinary(t or "") and bytes(rows[i].decoded) == (t or "").encode() and rows[i].block == f"b{i}"
 
 
+def test_blocks_beyond_a_stretch_have_bins_of_their_own(spark, both, monkeypatch):
+    _, tik = both
+    for name, value in {"BLOCK_BYTES": 300, "BIN_BYTES": 600, "STRETCH": 3}.items():
+        monkeypatch.setattr(bpe, name, value)
+    texts = [f"qzxvbnw everywhere, wordling{i % 7} and zzyzxq{i}" for i in range(120)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = bpe.round_trip(spark, df, PATH, public_tokenizers.PATTERN).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    assert all(ids(r.token_ids) == tik.encode_ordinary(texts[r.doc_id] or "") and bytes(r.decoded) == (texts[r.doc_id] or "").encode() for r in rows)
+
+
 def test_stage_columns(spark):
     df = spark.createDataFrame([(1, "the cat", "x", 7, 1), (None, None, "y", 8, 2)], "doc_id long, text string, token_ids string, packed int, rest int")
     out = bpe.tokenize(spark, df, "")
