@@ -61,7 +61,9 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: tuple[np.ndarray, np.ndarray] | None = None):
         self.ranks, self.find = ranks, regex.compile(pattern)
-        self.bytes = {r: b for b, r in ranks.items()}
+        self.bytes = np.full(max(ranks.values()) + 1, None, object)
+        for b, r in ranks.items():
+            self.bytes[r] = b
         keys, made = pairs or merges(ranks)
         self.pairs: dict[int, int] = dict(zip(keys.tolist(), made.tolist(), strict=True))
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
@@ -205,7 +207,7 @@ class Encoder:
         return out
 
     def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+        return b"".join(self.bytes[np.frombuffer(ids or b"", "<u4")].tolist())
 
 
 class _Shared:
