@@ -43,6 +43,11 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def bounded(rows: DataFrame, by: str, key: str | list[str], most: int, total: float = math.inf) -> DataFrame:
     """About `most` rows of each value of `by` at most, and about `total` in all, chosen by a hash of the column or columns `key`.
 
