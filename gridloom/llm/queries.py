@@ -11,6 +11,7 @@ from .conversation_repair import op12_conversation_repair
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .filter_audit import OP13_SQL, op13_filter_audit
 from .language import op8_language
+from .license_scan import op11_licenses
 from .metric_tree import OP6_SQL, op6_top_k
 from .quality import op3_quality
 from .secret_scan import op10_secrets
@@ -21,7 +22,7 @@ from .url_filter import OP4_SQL, op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_substring_dedup": op2_substring_dedup, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op5_decontaminate": op5_decontaminate, "op6_top_k": op6_top_k, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets, "op12_conversation_repair": op12_conversation_repair, "op13_filter_audit": op13_filter_audit}
+    return {"op1_toxicity": op1_toxicity, "op2_substring_dedup": op2_substring_dedup, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op5_decontaminate": op5_decontaminate, "op6_top_k": op6_top_k, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets, "op11_licenses": op11_licenses, "op12_conversation_repair": op12_conversation_repair, "op13_filter_audit": op13_filter_audit}
 
 
 def oracle_sql() -> dict[str, str]:
