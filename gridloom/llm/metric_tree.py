@@ -264,8 +264,11 @@ def _trees(spark: SparkSession, vectors: DataFrame, width: int, points: np.ndarr
     shared = spark.sparkContext.broadcast(points)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeats = tables.Repeats()
         for b in batches:
-            yield b.append_column("cell", pa.array(nearest(_matrix(b.column("embedding"), width), shared.value)))
+            own = nearest(_matrix(b.column("embedding"), width), shared.value) if len(shared.value) > 1 else np.zeros(b.num_rows, np.int64)
+            dealt = tables.shares(b.column("dealt").to_numpy(zero_copy_only=False), repeats)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own), pa.array(dealt.view(np.int64))], [*b.schema.names[:-1], "cell", "dealt"])
 
     def build(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -273,13 +276,13 @@ def _trees(spark: SparkSession, vectors: DataFrame, width: int, points: np.ndarr
         tree = MTree(t.column("vec_id").combine_chunks().to_numpy(), _matrix(column, width))
         return pa.table({"cell": t.column("cell")[:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
-    schema = StructType([*vectors.schema.fields, StructField("cell", LongType())])
-    dealt = vectors.mapInArrow(cells, schema) if len(points) > 1 else vectors.withColumn("cell", F.lit(0).cast("long"))
+    schema = StructType([*vectors.schema.fields, StructField("cell", LongType()), StructField("dealt", LongType())])
+    dealt = vectors.withColumn("dealt", F.xxhash64("vec_id", "embedding")).mapInArrow(cells, schema)
     sizes = {r[0]: r[1] for r in dealt.groupBy("cell").count().collect()}  # as many rows as routing vectors at most
     most = 1 + min(SHARD_ROWS, sum(sizes.values()) // len(points)) * 5 // 4
     parts = F.element_at(F.lit([max(1, -(-sizes.get(c, 0) // most)) for c in range(len(points))]), F.col("cell").cast("int") + 1)
-    shard = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts)  # copies of a row go to all shards of the cell
-    return tables.checkpoint(dealt.withColumn("shard", shard).groupBy("cell", "shard").applyInArrow(build, "cell long, tree binary"))
+    shard = F.pmod(F.col("dealt"), parts)  # by id and vector; many copies of a row go to all shards of the cell
+    return tables.checkpoint(dealt.withColumn("shard", shard).drop("dealt").groupBy("cell", "shard").applyInArrow(build, "cell long, tree binary"))
 
 
 def _ask(spark: SparkSession, trees: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, home: np.ndarray, floors: np.ndarray, at_home: bool) -> DataFrame:

@@ -213,9 +213,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prints = checkpoint(fingerprints(rows.select("doc_id", "row_key", "text")).select("doc_id", "row_key", "simhash"))
     roots, total = _roots_of(prints, BITS_APART)
     first = attach(prints, roots, "simhash", total).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("root", "row_key").agg(F.count("*").alias("n"))
-    alone = first.groupBy("root").agg((F.sum("n") == 1).alias("alone"))
-    first = checkpoint(first.join(alone, "root"))  # of rows with a null id in one group there may be many, but each group key is met after aggregation
+    first = checkpoint(first.groupBy("root", "row_key").agg(F.count("*").alias("n")))
+    alone = first.groupBy("root").agg((F.sum("n") == 1).alias("alone"), F.count("*").alias("n"))
+    first = checkpoint(attach(first, alone, "root", first.count()))  # of rows with a null id in one group there may be many
     met = attach(rows, first, "row_key", total)
     order = F.struct(F.col("text").isNull(), "text", *[f"rest.`{c}`" for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t])
     several = met.where(~F.col("alone")).groupBy("root").agg(F.min_by(F.struct("doc_id", "text", "rest"), order).alias("row")).select("row.*")

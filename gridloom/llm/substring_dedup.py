@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,12 +156,18 @@ def _spread_out(blob: bytes, *types: str) -> list[np.ndarray]:
     return [*out, np.frombuffer(raw, np.uint8, -1, at) if at < len(raw) else np.zeros(0, np.uint8)]
 
 
-def _deal(batch: pa.RecordBatch, blocks: int) -> pa.RecordBatch:
-    """Rows (block, packed): the documents of a batch that go to each block, as lengths, ids, null ids and text."""
+def _deal(batch: pa.RecordBatch, blocks: int, repeats: tables.Repeats | None = None) -> pa.RecordBatch:
+    """Rows (block, packed): the documents of a batch that go to each block, as lengths, ids, null ids and text.
+
+    They are dealt by id and text; rows that have both in common, 32 at a time.
+    """
     data, off = flat(batch.column("text"))
     null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
     ids = pc.fill_null(batch.column("doc_id"), LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-    block = (mix(mix(ids.view(np.uint64)) + np.diff(off).astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+    raw = memoryview(data)
+    own = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(off.tolist(), off[1:].tolist(), strict=False)), np.uint64, len(ids))
+    keys = mix(ids.view(np.uint64) + null.astype(np.uint64)) + own
+    block = (tables.shares(keys, repeats or tables.Repeats()) % np.uint64(blocks)).astype(np.int64)
     order = np.argsort(block, kind="stable")
     text, at = gather(data, off[:-1][order], off[1:][order])
     edges = np.append(np.flatnonzero(np.diff(block[order], prepend=-1)), len(order))
@@ -364,8 +371,9 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(hot)  # of bounded length, see _common()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeats = tables.Repeats()
         for whole in batches:
-            yield from (_deal(b, blocks) for b in tables.parts(whole, DEAL_BYTES))
+            yield from (_deal(b, blocks, repeats) for b in tables.parts(whole, DEAL_BYTES))
         tables.release()
 
     dealt = docs.mapInArrow(deal, "block int, packed binary")

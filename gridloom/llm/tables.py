@@ -10,12 +10,13 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .textbuf import flat, slices
+from .textbuf import flat, mix, slices
 
 _GRAIN = 1 << 30
 #: Keys sent to all tasks at most: of a table of classes, and of those that attach() takes for hot.
@@ -88,6 +89,37 @@ def together(sample: DataFrame, label: str) -> DataFrame:
     return one.select("doc_id", "text", label).repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(7)), "doc_id", label)
 
 
+class Repeats:
+    """Numbers the rows of a task that have one key, from 0 on.
+
+    Rows of one key have to be alike, so that it doesn't matter which of them has which number: then rows that are dealt
+    by key and number are dealt alike again, should a lost task be repeated with its input in another order.
+    """
+
+    def __init__(self) -> None:
+        self.met: dict[int, int] = {}
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys, kind="stable")
+        heads = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, int)
+        size = np.diff(np.append(heads, len(keys)))
+        before = [self.met.get(k, 0) for k in keys[order[heads]].tolist()]
+        self.met.update(zip(keys[order[heads]].tolist(), (np.array(before, np.int64) + size).tolist(), strict=True))
+        out = np.empty(len(keys), np.int64)
+        out[order] = np.arange(len(keys)) - np.repeat(heads - np.array(before, np.int64), size)
+        return out
+
+
+#: Rows of one key that are dealt together at most.
+ALIKE = 32
+
+
+def shares(keys: np.ndarray, repeats: Repeats) -> np.ndarray:
+    """A number to deal each row by: rows of one key share it up to ALIKE times, so that no key, however often it comes, is one task's."""
+    keys = keys.view(np.uint64)
+    return mix(keys + mix((repeats.numbers(keys) // ALIKE).astype(np.uint64)))
+
+
 class Share:
     """Says which rows of a sample, in their order, still fit into `most` bytes of text a class; a class's first row always does."""
 
@@ -118,7 +150,7 @@ def attach(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame
 def packed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, rest): the other columns of `docs` in one struct, so that no name of theirs can clash."""
     rest = [docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+    return docs.select("doc_id", "text", F.struct(*(rest or [F.lit(0).alias("none")])).alias("rest"))
 
 
 def unpacked(rows: DataFrame, docs: DataFrame, n_chars: Column | None = None) -> DataFrame:

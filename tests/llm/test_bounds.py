@@ -62,3 +62,24 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         tables.shared_folder(Session())
+
+
+def test_alike_rows_are_dealt_apart_and_alike_again():
+    import numpy as np
+    from gridloom.llm import tables
+
+    keys = np.array([7] * 20_000 + list(range(100, 400)), np.uint64)
+    one = tables.shares(keys, tables.Repeats()) % np.uint64(64)
+    assert len(np.unique(one[:20_000])) == 64
+    order = np.random.default_rng(1).permutation(len(keys))
+    repeats = tables.Repeats()
+    two = np.concatenate([tables.shares(keys[p], repeats) % np.uint64(64) for p in np.array_split(order, 9)])
+    assert sorted(zip(keys.tolist(), one.tolist(), strict=True)) == sorted(zip(keys[order].tolist(), two.tolist(), strict=True))
+
+
+def test_null_ids_of_one_length_fill_many_blocks():
+    import pyarrow as pa
+    from gridloom.llm import substring_dedup as D
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([None] * 20_000, pa.int64()), "text": [f"text {k:06d}" for k in range(20_000)]})
+    assert D._deal(batch, 64).num_rows == 64
