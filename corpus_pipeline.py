@@ -21,7 +21,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What each earlier stage kept is written to the session's shared folder, and removed once the next stage is written."""
+    """The last stage's rows. What each earlier stage kept is written to the session's shared folder, and removed once the next stage is written.
+
+    The last stage's rows are checkpointed, so no folder of a stage is left. Null ids, null and empty texts, repeated rows
+    and other columns, whatever their names, go through as each stage's docstring says; empty tables give no rows.
+    """
     docs = tables.read(spark, sf_dir, "documents")
     folder = f"{tables.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     last = None
@@ -31,4 +35,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if last is not None:
             tables.remove(spark, f"{folder}/{last}")
         last = name
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = tables.checkpoint(STAGES[-1][1](spark, docs, sf_dir))
+    tables.remove(spark, folder)
+    return out
