@@ -1,7 +1,7 @@
 """Byte-level BPE by corpus-level merge replay.
 
-Documents are dealt into blocks of bounded size. A block cuts its texts into
-pieces and sends each distinct piece that is no token by itself once to the bin
+Documents are cut into pieces and dealt into blocks of bounded size, each with
+the bounds of its pieces. A block sends each distinct piece that is no token by itself once to the bin
 of the piece's hash, so that a piece meets its copies from all other blocks; of
 more than STRETCH blocks, each STRETCH have bins of their own, so that a piece
 of every block fills no bin. A bin lays its distinct pieces side by side. An inverted index from the rank of a pair
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import tables
-from .textbuf import hashes
+from .textbuf import flat, gather, hashes
 
-#: Distinct pieces that an encoder keeps at most beside those that it was told, and the longest piece kept; others are encoded again.
+#: Distinct pieces that an encoder keeps at most, and the longest piece kept; others are encoded again.
 KEPT, KEPT_CHARS = 200_000, 64
 #: Pieces of texts taken at once, and distinct pieces merged at once.
 BLOCK, MERGED = 200_000, 50_000
@@ -69,13 +69,14 @@ class Encoder:
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
         self.first = np.full((257, 257), -1)
         self.first[:256, :256] = [[self.pairs.get(a << SHIFT | b, -1) for b in self.single.tolist()] for a in self.single.tolist()]
-        self.words = {b.decode(): r.to_bytes(4, "little") for b, r in ranks.items() if _is_text(b)}
-        self.kept: dict[str, bytes] = {}
-        self.most = KEPT
+        self.kept: dict[bytes, bytes] = {}
+        tokens = [b or b"" for b in self.bytes.tolist()]
+        self.flat, self.starts, self.ends = _bounds(tokens)
+        self.by_hash = hashes(self.flat, self.starts, self.ends)
 
-    def tell(self, known: dict[str, bytes]) -> None:
-        """Starts anew with pieces whose ids are known."""
-        self.kept, self.most = known, KEPT + len(known)
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, and the n + 1 bounds of each one's."""
+        return gather(self.flat, self.starts[ids], self.ends[ids])
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian 32-bit integers."""
@@ -156,26 +157,31 @@ class Encoder:
         ends = count[off].tolist()
         return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def _blocks(self, text: str) -> Iterator[list[str]]:
+    def _blocks(self, text: str | None) -> Iterator[list[bytes]]:
+        text = text or ""
         if len(text) <= BLOCK:
-            yield self.find.findall(text)
+            yield [p.encode() for p in self.find.findall(text)]
             return
         found = self.find.finditer(text)
-        while block := [m[0] for m in islice(found, BLOCK)]:
+        while block := [m[0].encode() for m in islice(found, BLOCK)]:
             yield block
 
-    def _learn(self, pieces: set[str]) -> list[str]:
+    def _learn(self, pieces: set[bytes]) -> list[bytes]:
         """Sees to it that `kept` has the ids of all pieces; returns those that should not stay."""
-        if len(self.kept) > self.most:
+        if len(self.kept) > KEPT:
             self.kept.clear()
         new = [p for p in pieces if p not in self.kept]
-        self.kept.update(zip(new, self.replay([p.encode() for p in new]), strict=True))
+        self.kept.update(zip(new, self.replay(new), strict=True))
         return [p for p in new if len(p) > KEPT_CHARS]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers; null reads as empty."""
+        return self.encode_pieces(map(self._blocks, texts))
+
+    def encode_pieces(self, texts: Iterable[Iterator[list[bytes]]]) -> list[bytes]:
+        """encode() of texts that come as pieces, up to BLOCK of them at a time."""
         out: list[bytes] = []
-        waiting: list[list[str]] = []
+        waiting: list[list[bytes]] = []
         size = 0
 
         def flush() -> None:
@@ -191,8 +197,8 @@ class Encoder:
             waiting.clear()
             size = 0
 
-        for t in texts:
-            parts = list(islice(blocks := self._blocks(t or ""), 1))
+        for blocks in texts:
+            parts = list(islice(blocks, 1))
             waiting.append(parts[0] if parts else [])
             size += len(waiting[-1])
             for more in blocks:  # a very long text: block after block, joined to what came before
@@ -210,15 +216,56 @@ class Encoder:
         return b"".join(self.bytes[np.frombuffer(ids or b"", "<u4")].tolist())
 
 
+def bounds(find: regex.Pattern, text: str | None) -> bytes | None:
+    """The lengths in bytes of a text's pieces: 255 says that a length goes on. None if the pieces are not the whole text."""
+    out, at = [], 0
+    text = text or ""
+    found = iter([find.findall(text)]) if len(text) <= BLOCK else _matched(find, text)
+    for block in found:
+        size = np.fromiter(map(len, block), np.int64, len(block))
+        total = int(size.sum())
+        part = text[at : at + total]
+        if len(text) > BLOCK and "".join(block) != part:
+            return None
+        at += total
+        if not part.isascii():
+            raw = np.frombuffer(part.encode(), np.uint8)
+            starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+            size = np.diff(starts[np.cumsum(size)], prepend=0)
+        more = size // 255
+        packed = np.full(len(size) + int(more.sum()), 255, np.uint8)
+        packed[np.cumsum(more + 1) - 1] = size % 255
+        out.append(packed.tobytes())
+    return b"".join(out) if at == len(text) else None
+
+
+def _matched(find: regex.Pattern, text: str) -> Iterator[list[str]]:
+    found = find.finditer(text)
+    while block := [m[0] for m in islice(found, BLOCK)]:
+        yield block
+
+
+def pieces_of(raw: bytes | None, packed: bytes) -> Iterator[list[bytes]]:
+    """A text's pieces by their bounds(), up to BLOCK of them at a time."""
+    raw = raw or b""
+    size = np.frombuffer(packed, np.uint8)
+    ends = np.cumsum(size, dtype=np.int64)[size != 255]
+    at = 0
+    for k in range(0, max(1, len(ends)), BLOCK):
+        own = ends[k : k + BLOCK].tolist()
+        yield [raw[a:b] for a, b in zip([at, *own], own, strict=False)]
+        at = own[-1] if own else 0
+
+
 class _Shared:
     """An encoder built once in a worker from a broadcast of ranks and pattern."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         ranks = load_ranks(path)
-        self.source, self.made = spark.sparkContext.broadcast((ranks, pattern, merges(ranks))), None
+        self.source, self.pattern, self.made = spark.sparkContext.broadcast((ranks, pattern, merges(ranks))), pattern, None
 
     def __getstate__(self) -> dict:
-        return {"source": self.source, "made": None}
+        return {"source": self.source, "pattern": self.pattern, "made": None}
 
     def get(self) -> Encoder:
         if self.made is None:
@@ -238,10 +285,75 @@ def _spread_out(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * n, *ends], ends, strict=False)]
 
 
-def _deal(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    """The rows of a batch that go to each block (its last column), with all other columns."""
-    block = batch.column(batch.num_columns - 1).to_numpy()
-    rows = batch.select(batch.schema.names[:-1])
+class Known:
+    """The ids of pieces by the pieces' hashes: those of all tokens, and of what the bins have answered."""
+
+    def __init__(self, encoder: Encoder, answers: list[bytes]):
+        self.encoder = encoder
+        parts = [_flat_ids(a) for a in answers]
+        ids = np.concatenate([np.arange(len(encoder.ends), dtype=np.uint32), *(p[1] for p in parts)])
+        size = np.concatenate([np.ones(len(encoder.ends), np.int64), *(p[0] for p in parts)])
+        told = ids[len(encoder.ends) :].astype(np.int64)
+        text, at = encoder.spell(told)
+        ends = at[np.cumsum(size[len(encoder.ends) :])]
+        own = hashes(text, np.append(0, ends)[:-1].astype(np.int64), ends.astype(np.int64)) if len(ends) else np.zeros(0, np.uint64)
+        key = np.concatenate([encoder.by_hash, own])
+        self.order = np.argsort(key, kind="stable")
+        self.key, self.ids, self.size = key[self.order], ids, size
+        self.first = np.cumsum(size) - size
+
+    def encode(self, rows: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
+        """The ids of dealt rows, and what these spell. Where that is not the text (two pieces have one hash), or the rows' bounds are missing, each text is encoded by itself."""
+        encoder = self.encoder
+        cut = rows.column(rows.num_columns - 1)
+        data, off = flat(rows.column("text"))
+        if cut.null_count == 0:
+            starts, ends, count = _laid_out(cut)
+            h = hashes(data, starts, ends)
+            _, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+            place = np.minimum(np.searchsorted(self.key, h[at]), len(self.key) - 1)
+            size, first, ids = self.size[self.order[place]], self.first[self.order[place]], self.ids
+            if len(lost := np.flatnonzero(self.key[place] != h[at])):
+                raw = data.tobytes()
+                more = [np.frombuffer(x, "<u4") for x in encoder.replay([raw[starts[k] : ends[k]] for k in at[lost].tolist()])]
+                size[lost] = list(map(len, more))
+                first[lost] = len(ids) + np.cumsum(size[lost]) - size[lost]
+                ids = np.concatenate([ids, *more])
+            n = size[inverse]
+            done = np.cumsum(n)
+            found = ids[np.repeat(first[inverse] - done + n, n) + np.arange(int(done[-1]) if len(done) else 0)].astype("<u4")
+            text, bounds_ = encoder.spell(found.astype(np.int64))
+            if len(text) == len(data) and np.array_equal(bounds_[done], ends) and np.array_equal(text, data):
+                rows_at = np.append(0, done)[np.append(0, np.cumsum(count))]
+                return _binary(found.view(np.uint8), rows_at * 4), _binary(data, off)
+        out = encoder.encode_pieces(_texts(rows, encoder))
+        return pa.array(out, pa.binary()), pa.array(map(encoder.decode, out), pa.binary())
+
+
+def _laid_out(cut: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all pieces of rows one after another, and how many each row has, from their bounds()."""
+    cut = cut.cast(pa.large_binary())
+    at = np.frombuffer(cut.buffers()[1], np.int64)[cut.offset : cut.offset + len(cut) + 1]
+    size = np.frombuffer(cut.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    whole = np.append(0, np.cumsum(size != 255))
+    ends = np.cumsum(size, dtype=np.int64)[size != 255]
+    return np.append(0, ends)[:-1].astype(np.int64), ends, np.diff(whole[at])
+
+
+def _binary(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _flat_ids(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each item of a squeezed list has, and all of them."""
+    n, size = struct.unpack("<IQ", blob[:12])
+    raw = pa.Codec("zstd").decompress(blob[12:], decompressed_size=size, asbytes=True)
+    return np.frombuffer(raw, "<u4", n).astype(np.int64) // 4, np.frombuffer(raw, "<u4", offset=4 * n)
+
+
+def _deal(rows: pa.RecordBatch, block: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The rows of a batch that go to each block."""
     order = np.argsort(block, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
         sink = pa.BufferOutputStream()
@@ -261,7 +373,8 @@ def _corpus(spark: SparkSession, docs: DataFrame, path: str, pattern: str, field
 
     A bin holds a piece once for each block of its stretch that has it, so the pieces that a block sends to all bins
     together are fewer than its words; pieces that are tokens are sent nowhere. Should a block meet a piece that it
-    has no answer for (as when a lost task deals its rows otherwise), it merges that piece itself.
+    has no answer for, it merges that piece itself. Rows are dealt by a hash of all their columns (maps aside), alike ones
+    32 at a time, so a repeated task deals them alike.
     """
     shared = _Shared(spark, path, pattern)
     more = StructType.fromDDL(fields)
@@ -271,19 +384,29 @@ def _corpus(spark: SparkSession, docs: DataFrame, path: str, pattern: str, field
     blocks, bins = max(n, -(-size // BLOCK_BYTES)), max(n, -(-min(size, STRETCH * BLOCK_BYTES) // BIN_BYTES))  # bins of a stretch
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeats, find = tables.Repeats(), regex.compile(shared.pattern)
         for whole in batches:
             for b in tables.parts(whole, 2 * BLOCK_BYTES):
-                found = list(_deal(b))
+                block = (tables.shares(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False), repeats) % np.uint64(blocks)).astype(np.int64)
+                cut = pa.array([bounds(find, t) for t in b.column("text").to_pylist()], pa.binary())
+                found = list(_deal(pa.RecordBatch.from_arrays([*b.columns[:-1], cut], [*b.schema.names[:-1], "cut"]), block))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["block", "packed"])
         tables.release()
 
     def send(table: pa.Table) -> pa.Table:
         own, encoder = set(), shared.get()
         for b in _dealt(table):
-            for t in b.column("text").to_pylist():
-                for part in encoder._blocks(t or ""):
-                    own.update(part)
-        pieces = [p for x in own if (p := x.encode()) not in encoder.ranks]
+            cut = b.column(b.num_columns - 1)
+            if cut.null_count:
+                for text in _texts(b, encoder):
+                    own.update(*text)
+                continue
+            data, _ = flat(b.column("text"))
+            starts, ends, _ = _laid_out(cut)
+            at = np.unique(hashes(data, starts, ends), return_index=True)[1]  # should two pieces have one hash, the block merges one of them itself
+            raw = data.tobytes()
+            own.update(raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True))
+        pieces = [p for p in own if p not in encoder.ranks]
         block = table.column("block")[0].as_py()
         bin_ = block // STRETCH * bins + (hashes(*_bounds(pieces)) % np.uint64(bins)).astype(np.int64)
         order = np.argsort(bin_, kind="stable")
@@ -302,35 +425,27 @@ def _corpus(spark: SparkSession, docs: DataFrame, path: str, pattern: str, field
         return pa.table({"block": table.column("block"), "answer": pa.array(out, pa.binary())})
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        encoder = shared.get()
-        known = dict(encoder.words)
-        for b in answers.column("answer").to_pylist():
-            known.update((encoder.decode(x).decode(), x) for x in _spread_out(b))
-        encoder.tell(known)
+        known = Known(shared.get(), answers.column("answer").to_pylist())
         out = []
         for b in _dealt(rows):
-            made = {"token_ids": pa.array(encoder.encode(b.column("text").to_pylist()), pa.binary())}
-            if "decoded" in more.names:
-                made["decoded"] = pa.array(map(encoder.decode, made["token_ids"].to_pylist()), pa.binary())
-            out.append(pa.RecordBatch.from_arrays([*b.columns, *made.values()], [*b.schema.names, *made]))
-        encoder.tell({})
+            ids, decoded = known.encode(b)
+            made = {"token_ids": ids} | ({"decoded": decoded} if "decoded" in more.names else {})
+            out.append(pa.RecordBatch.from_arrays([*b.columns[:-1], *made.values()], [*b.schema.names[:-1], *made]))
         del known
         tables.release(cycles=False)
         return pa.Table.from_batches(out)
 
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")  # copies are spread, too
-    dealt = docs.withColumn(tables.fresh(docs, "block"), block).mapInArrow(deal, "block int, packed binary")
+    hashed = [docs[f"`{c}`"] for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    dealt = docs.withColumn(tables.fresh(docs, "key"), F.xxhash64(*hashed)).mapInArrow(deal, "block int, packed binary")
     sent = dealt.groupBy("block").applyInArrow(send, "bin int, block int, pieces binary")
     answers = sent.groupBy("bin").applyInArrow(replay, "block int, answer binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, StructType([*docs.schema.fields, *more.fields]))
 
 
-def _is_text(raw: bytes) -> bool:
-    try:
-        raw.decode()
-    except UnicodeDecodeError:
-        return False
-    return True
+def _texts(rows: pa.RecordBatch, encoder: Encoder) -> Iterator[Iterator[list[bytes]]]:
+    """The pieces of each text of dealt rows, by their bounds (the last column) or, without these, cut anew."""
+    for text, cut in zip(rows.column("text"), rows.column(rows.num_columns - 1), strict=True):
+        yield pieces_of(text.as_buffer().to_pybytes() if text.is_valid else b"", cut.as_py()) if cut.is_valid else encoder._blocks(text.as_py())
 
 
 def _bounds(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

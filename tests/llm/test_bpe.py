@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from gridloom.llm import bpe
@@ -76,3 +77,37 @@ def test_stage_columns(spark):
     assert out.columns == ["doc_id", "text", "packed", "rest", "n_tokens", "token_ids", "round_trip"]
     assert sorted((r.packed, r.rest, r.n_tokens, r.round_trip) for r in out.collect()) == [(7, 1, 2, True), (8, 2, 0, True)]
     assert bpe.tokenize(spark, df.limit(0), "").count() == 0
+
+
+def test_bounds_give_the_pieces(both, monkeypatch):
+    own, _ = both
+    texts = ["", None, "a", "it's  we'll\n\n x", "héñ 日本語 🙂🙂 x", "x" * 255, "y" * 700 + " z", "é" * 400, "ab cd " * 30]
+    for most in (200_000, 5):
+        monkeypatch.setattr(bpe, "BLOCK", most)
+        for t in texts:
+            packed = bpe.bounds(own.find, t)
+            assert [p for b in bpe.pieces_of((t or "").encode(), packed) for p in b] == [p.encode() for p in own.find.findall(t or "")]
+    gaps = bpe.regex.compile("[a-z]+")
+    assert bpe.bounds(gaps, "ab cd") is None and bpe.bounds(gaps, "ab") is not None and bpe.bounds(gaps, "ab cd " * 9) is None
+
+
+def test_a_pattern_that_leaves_gaps(spark, both):
+    _, tik = both
+    df = spark.createDataFrame([(1, "the cat, sat"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: ids(r.token_ids) for r in bpe.encode(spark, df, PATH, "[a-z]+").collect()}
+    assert got == {1: [i for w in ("the", "cat", "sat") for i in tik.encode_ordinary(w)], 2: []}
+
+
+def test_pieces_of_one_hash_are_told_apart(spark, both, monkeypatch):
+    own, tik = both
+    texts = ["the cat sat on the mat", "zzyzxq wordling", None, "", "ab ba ab ba"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "text": texts, "cut": pa.array([bpe.bounds(own.find, t) for t in texts], pa.binary())})
+    want = [tik.encode_ordinary(t or "") for t in texts]
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(bpe, "hashes", lambda data, starts, ends: (ends - starts).astype("u8") % 3)
+            monkeypatch.setattr(own, "by_hash", bpe.hashes(own.flat, own.starts, own.ends))
+        got, decoded = bpe.Known(own, []).encode(rows)
+        assert [ids(x) for x in got.to_pylist()] == want and decoded.to_pylist() == [(t or "").encode() for t in texts]
+    assert df.count() == 5
