@@ -2,7 +2,7 @@
 
 from . import operators, plans, sources
 from .matrix import Matrix
-from .operators import binary, reshape, unary
+from .operators import binary, blocks, reshape, unary
 from .plans import extract, sinks
 
-__all__ = ["Matrix", "binary", "extract", "operators", "plans", "reshape", "sinks", "sources", "unary"]
+__all__ = ["Matrix", "binary", "blocks", "extract", "operators", "plans", "reshape", "sinks", "sources", "unary"]

@@ -6,14 +6,18 @@ counts less a constant, so with explicit zeros and negatives); E, embeddings (de
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binary, reshape, sinks, sources, unary
 from .matrix import Matrix
+from .operators import blocks
 from .plans.extract import ConsecutiveOracle, FixedOracle, consecutive, fetch
+from .scratch import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,13 +175,17 @@ def _functions() -> None:
         whole = name in ("ceiling", "floor", "trunc", "round", "sign")  # on four times the value, else all is 0 or 1
         positive = name in ("gamma", "lgamma")  # of the distance from zero and a half
 
-        def matrix(s: SparkSession, d: str, whole=whole, positive=positive) -> Matrix:
+        above = name == "acosh"  # from one on
+
+        def matrix(s: SparkSession, d: str, whole=whole, positive=positive, above=above) -> Matrix:
             m = E(s, d)
+            if above:
+                return unary.arithmetic(unary.math_function(m, "abs"), "add", 1.0)
             if positive:
                 return unary.arithmetic(unary.math_function(m, "abs"), "add", 0.5)
             return unary.arithmetic(m, "multiply", 4.0) if whole else m
 
-        inner = "SELECT r, c, v * 4 AS v FROM e" if whole else "SELECT r, c, abs(v) + 0.5 AS v FROM e" if positive else "SELECT * FROM e"
+        inner = "SELECT r, c, v * 4 AS v FROM e" if whole else "SELECT r, c, abs(v) + 0.5 AS v FROM e" if positive else "SELECT r, c, abs(v) + 1 AS v FROM e" if above else "SELECT * FROM e"
         _add(f"math_{name}", lambda s, d, name=name, matrix=matrix: _cells(unary.math_function(matrix(s, d), name), 9), f"WITH {E_SQL}, x AS ({inner}) SELECT r, c, {_plain(f'round({sql}, 9)')} AS v FROM x")
     ln = guarded["log"]
     _add("math_log_base_3", lambda s, d: _cells(unary.math_function(E(s, d), "log", 3.0), 6), f"WITH {E_SQL} SELECT r, c, {_plain(f'round(({ln}) / ln(3.0), 6)')} AS v FROM e")
@@ -285,9 +293,9 @@ def _reads() -> None:
 
     def slice_(s: SparkSession, d: str) -> DataFrame:
         m = S(s, d)
-        return unary.arithmetic(m, "add", 2.0).dense_row(3, 40 if m.ncol >= 43 else 5, oracle=ConsecutiveOracle(0, 40)).select("step", "i", F.posexplode("x").alias("k", "v"))
+        return unary.arithmetic(m, "add", 2.0).dense_row(3, 5, oracle=ConsecutiveOracle(0, 40)).select("step", "i", F.posexplode("x").alias("k", "v"))
 
-    _add("dense_slice_of_sum", slice_, f"WITH {S_SQL} SELECT r.r AS step, r.r AS i, CAST(c.c AS INTEGER) AS k, coalesce(s.v, 0.0) + 2 AS v FROM (SELECT unnest(range(40)) AS r) r CROSS JOIN (SELECT unnest(range(CASE WHEN (SELECT count(*) FROM supplier) >= 43 THEN 40 ELSE 5 END)) AS c) c LEFT JOIN s ON s.r = r.r AND s.c = c.c + 3")
+    _add("dense_slice_of_sum", slice_, f"WITH {S_SQL} SELECT r.r AS step, r.r AS i, CAST(c.c AS INTEGER) AS k, coalesce(s.v, 0.0) + 2 AS v FROM (SELECT unnest(range(40)) AS r) r CROSS JOIN (SELECT unnest(range(5)) AS c) c LEFT JOIN s ON s.r = r.r AND s.c = c.c + 3")
 
 
 def _more() -> None:
@@ -363,7 +371,82 @@ def _more() -> None:
     _add("legacy_triplets_csc", lambda s, d: sources.from_triplets(_read(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("primary"), F.col("n_nationkey").cast("long").alias("secondary"), F.lit(1.0).alias("v")), 25, 5, csr=False).entries, "SELECT CAST(n_nationkey AS BIGINT) AS r, CAST(n_regionkey AS BIGINT) AS c, CAST(1.0 AS DOUBLE) AS v FROM nation")
 
 
-for _group in (_arithmetic, _comparisons, _functions, _shapes, _reads, _more):
+ROWS_OF_A_BLOCK = 1000
+BEYOND = 9007199254740993  # 2 ** 53 + 1, which no double is
+
+
+def Long(spark: SparkSession, sf: str) -> Matrix:
+    """Customer by month: order counts and BEYOND, as whole numbers."""
+    df = _read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("r"), (F.month("o_orderdate") - 1).alias("c")).agg((F.count("*") + BEYOND).alias("v"))
+    return sources.from_coo(df, _read(spark, sf, "customer").count(), 12, dtype="bigint")
+
+
+LONG_SQL = f"{CELLS_SQL}, l AS (SELECT k.r, k.c, coalesce(o.v, 0) AS v FROM k LEFT JOIN (SELECT o_custkey AS r, month(o_orderdate) - 1 AS c, count(*) + {BEYOND} AS v FROM orders GROUP BY 1, 2) o ON o.r = k.r AND o.c = k.c)"
+WHOLE_SQL = {
+    "add": "{a} + {b}",
+    "subtract": "{a} - {b}",
+    "multiply": "{a} * {b}",
+    "modulo": "(({a} % {b}) + {b}) % {b}",
+    "integer_divide": "{a} // {b} - CASE WHEN {a} % {b} <> 0 AND ({a} < 0) <> ({b} < 0) THEN 1 ELSE 0 END",
+}
+
+
+def _stored(spark: SparkSession, make: Callable[[], Matrix], tile: tuple[int, int]) -> tuple[str, Matrix]:
+    """A matrix written to a new folder and opened again."""
+    path = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    sources.write_tiles(make(), path, tile)
+    return path, sources.open_tiles(spark, path)
+
+
+def _layout() -> None:
+    """Blocks given to user functions, stored tiles, selections that reach a scan, exact whole numbers."""
+    joined = "string_agg(CAST(CAST({v} AS BIGINT) AS VARCHAR), ',' ORDER BY {o})"
+
+    def maxima(place: blocks.Place, block: blocks.Csr) -> dict[str, object]:
+        top = np.where(np.bincount(block.indices, minlength=place.width) < place.length, 0.0, -np.inf)
+        np.maximum.at(top, block.indices, block.values)
+        return {"start": np.full(place.width, place.start), "c": place.first + np.arange(place.width), "top": top}
+
+    grid = f"b AS (SELECT b, c FROM (SELECT unnest(range(((SELECT count(*) FROM orders) + {ROWS_OF_A_BLOCK - 1}) // {ROWS_OF_A_BLOCK})) AS b) CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM supplier))) AS c))"
+    _add("map_blocks_column_maxima", lambda s, d: blocks.map_blocks(S(s, d), maxima, "start long, c long, top double", length=ROWS_OF_A_BLOCK, sparse=True), f"WITH {S_SQL}, {grid} SELECT b.b * {ROWS_OF_A_BLOCK} AS start, b.c, CAST(greatest(coalesce(max(v), 0), 0) AS DOUBLE) AS top FROM b LEFT JOIN s ON s.r // {ROWS_OF_A_BLOCK} = b.b AND s.c = b.c GROUP BY 1, 2")
+
+    def totals(place: blocks.Place, block: np.ndarray) -> dict[str, object]:
+        return {"start": [place.start], "first": [place.first], "cells": [block.size], "total": [float(block.sum())], "top": [float(block.max())]}
+
+    for by_row, side, p, o in ((True, "row", "r", "c"), (False, "column", "c", "r")):
+        length, width = (37, 5) if by_row else (5, 37)
+        _add(
+            f"map_blocks_filled_{side}",
+            lambda s, d, by_row=by_row, length=length, width=width: blocks.map_blocks(unary.arithmetic(C(s, d), "add", _nations(s, d), by_row=True), totals, "start long, first long, cells long, total double, top double", by_row=by_row, length=length, width=width),
+            f"WITH {N_SQL} SELECT {p} // {length} * {length} AS start, {o} // {width} * {width} AS first, count(*) AS cells, sum(v + w) AS total, max(v + w) AS top FROM n GROUP BY 1, 2",
+        )
+    _add("store_round_trip", lambda s, d: _stored(s, lambda: S(s, d), (4096, 64))[1].entries, f"WITH {S_SQL} SELECT r, c, v FROM s")
+    for row in (True, False):
+        t, o, side = ("r", "c", "row") if row else ("c", "r", "column")
+        first, n = (2, 6) if row else (20, 60)
+        _add(f"store_read_{side}_block", lambda s, d, row=row, first=first, n=n: _shown(_stored(s, lambda: unary.arithmetic(C(s, d), "add", _nations(s, d), by_row=True), (64, 4))[1].dense(row, first, n)), f"WITH {N_SQL} SELECT {t} AS i, {joined.format(v='v + w', o=o)} AS x FROM n WHERE {o} >= {first} AND {o} < {first + n} GROUP BY 1")
+    _add("store_between", lambda s, d: sources.entries_between(s, _stored(s, lambda: S(s, d), (512, 16))[0], 60.0, 90.0), f"WITH {S_SQL} SELECT r, c, v FROM s WHERE v BETWEEN 60 AND 90")
+    _add("store_stats", lambda s, d: sources.tile_stats(s, _stored(s, lambda: S(s, d), (512, 16))[0]), f"WITH {S_SQL} SELECT r // 512 AS tr, c // 16 AS tc, count(*) AS n, min(v) AS least, max(v) AS most, CAST(0 AS BIGINT) AS nans, CAST(0 AS BIGINT) AS zeros FROM s GROUP BY 1, 2")
+
+    def listed(s: SparkSession, d: str) -> DataFrame:
+        m = S(s, d)
+        return _shown(m.sparse_row(at=range(0, m.nrow, max(1, m.nrow // 5000))))
+
+    _add("listed_rows", listed, f"WITH {S_SQL}, e AS (SELECT greatest(1, (SELECT count(*) FROM orders) // 5000) AS n), q AS (SELECT r AS i, count(*) AS number, {joined.format(v='c', o='c')} AS \"index\", {joined.format(v='v', o='c')} AS \"value\" FROM s GROUP BY 1) SELECT a.i, coalesce(number, 0) AS number, coalesce(\"index\", '') AS \"index\", coalesce(\"value\", '') AS \"value\" FROM (SELECT unnest(range(0, (SELECT count(*) FROM orders), (SELECT n FROM e))) AS i) a LEFT JOIN q ON a.i = q.i")
+
+    def middle(s: SparkSession, d: str) -> DataFrame:
+        m = S(s, d)
+        return _shown(reshape.bind([m, unary.arithmetic(m, "multiply", 2.0), m], True).sparse_row(at=(2 * m.nrow - 5, 10)))
+
+    _add("bind_rows_block", middle, f"WITH {S_SQL}, n AS (SELECT count(*) AS n FROM orders), b AS (SELECT r + n AS r, c, v * 2 AS v FROM s, n UNION ALL SELECT r + 2 * n, c, v FROM s, n), q AS (SELECT r AS i, count(*) AS number, {joined.format(v='c', o='c')} AS \"index\", {joined.format(v='v', o='c')} AS \"value\" FROM b GROUP BY 1) SELECT a.i, coalesce(number, 0) AS number, coalesce(\"index\", '') AS \"index\", coalesce(\"value\", '') AS \"value\" FROM (SELECT unnest(range(2 * n - 5, 2 * n + 5)) AS i FROM n) a LEFT JOIN q ON a.i = q.i")
+    for op, sql in WHOLE_SQL.items():
+        _add(f"exact_long_scalar_{op}", lambda s, d, op=op: unary.arithmetic(Long(s, d), op, 7).cells(), f"WITH {LONG_SQL} SELECT r, c, CAST({sql.format(a='v', b='7')} AS BIGINT) AS v FROM l")
+        _add(f"exact_int_row_vector_{op}", lambda s, d, op=op: unary.arithmetic(reshape.cast(C(s, d), "int"), op, _nations(s, d).select("i", F.when(F.col("w") == 0, 9).otherwise(F.col("w")).cast("int").alias("w")), by_row=True).cells(), f"WITH {N_SQL}, x AS (SELECT r, c, CAST(v AS INTEGER) AS v, CAST(CASE WHEN w = 0 THEN 9 ELSE w END AS INTEGER) AS w FROM n) SELECT r, c, CAST({sql.format(a='v', b='w')} AS INTEGER) AS v FROM x")
+        if op in ("add", "subtract", "multiply"):
+            _add(f"exact_long_binary_{op}", lambda s, d, op=op: binary.arithmetic(Long(s, d), reshape.cast(C(s, d), "int"), op).cells(), f"WITH {G_SQL}, {LONG_SQL[len(CELLS_SQL) + 2 :]} SELECT l.r, l.c, CAST({sql.format(a='l.v', b='CAST(g.v AS BIGINT)')} AS BIGINT) AS v FROM l JOIN g ON g.r = l.r AND g.c = l.c")
+
+
+for _group in (_arithmetic, _comparisons, _functions, _shapes, _reads, _more, _layout):
     _group()
 
 

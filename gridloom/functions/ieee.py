@@ -81,6 +81,13 @@ def asinh(x: Column) -> Column:
     return F.when(F.isnan(x) | (x == 0), x).otherwise(F.signum(x) * F.when(a < 2.0**28, small).otherwise(F.ln(a) + math.log(2.0)))
 
 
+def acosh(x: Column) -> Column:
+    """By log1p of the distance from one, so that arguments near one keep their digits; NaN below one."""
+    t = x - 1.0
+    near = F.log1p(t + F.sqrt(t * (t + 2.0)))
+    return F.when(F.isnan(x), x).when(x < 1.0, F.lit(math.nan)).when(x < 2.0**28, near).otherwise(F.ln(x) + math.log(2.0))
+
+
 def _guarded(x: Column, pole: float, value: Column) -> Column:
     return F.when(F.isnan(x), x).when(x > pole, value).when(x == pole, F.lit(-INF)).otherwise(F.lit(math.nan))
 
@@ -208,7 +215,7 @@ MATH = {
     "exp": (F.exp, False),
     "expm1": (F.expm1, True),
     "acos": (F.acos, False),
-    "acosh": (F.acosh, False),
+    "acosh": (acosh, False),
     "asin": (F.asin, True),
     "asinh": (asinh, True),
     "atan": (F.atan, True),

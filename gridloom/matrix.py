@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from .plans.selection import Selection
+
 #: Driver-side position lists up to this length may be broadcast or turned into literals.
 LISTED = 1_000_000
 
@@ -44,6 +49,8 @@ class Matrix:
     p_sparse: float = 1.0
     p_rows: float = 1.0
     dtype: str = "double"
+    #: How entries of selected rows and columns are read without the others; None: by their positions.
+    reader: Callable[[Selection, Selection], DataFrame] | None = field(default=None, compare=False)
 
     def is_sparse(self) -> bool:
         return self.sparse
@@ -66,7 +73,14 @@ class Matrix:
         return self.full or self.fill is None
 
     def with_(self, **changes) -> Matrix:
-        return replace(self, **changes)
+        """Changed; entries that are replaced have another reader, or none."""
+        return replace(self, **({"reader": None} if "entries" in changes else {}) | changes)
+
+    def narrowed(self, rows: Selection, columns: Selection) -> DataFrame:
+        """The entries of selected rows and columns, at their positions in the whole matrix."""
+        if self.reader is not None:
+            return self.reader(rows, columns)
+        return columns.keep(rows.keep(self.entries, "r", self.nrow), "c", self.ncol)
 
     def _extract(self, target: str, form: str, args: tuple, options: dict) -> DataFrame:
         from .plans.extract import extract

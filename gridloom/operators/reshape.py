@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import LISTED, Matrix, Vector
+from ..plans.selection import Selection, every
 
 
 def _position(by_row: bool) -> str:
@@ -28,8 +29,14 @@ def subset_block(m: Matrix, start: int, length: int, by_row: bool) -> Matrix:
     def cut(df: DataFrame, name: str) -> DataFrame:
         return df.where((F.col(name) >= start) & (F.col(name) < start + length)).withColumn(name, F.col(name) - F.lit(start).cast("long"))
 
+    def reader(rows: Selection, columns: Selection) -> DataFrame:
+        there = m.narrowed(rows.moved(start), columns) if by_row else m.narrowed(rows, columns.moved(start))
+        return there.withColumn(p, F.col(p) - F.lit(start).cast("long")).select("r", "c", "v")
+
     vectors = tuple(Vector(v.name, cut(v.rows, "i"), v.by_row, v.small) if v.by_row == by_row else v for v in m.vectors)
-    return _resized(m, by_row, length, entries=cut(m.entries, p).select("r", "c", "v"), vectors=vectors)
+    part = Selection(start, length)
+    own = m.narrowed(*((part, every(m.ncol)) if by_row else (every(m.nrow), part)))
+    return _resized(m, by_row, length, entries=own.withColumn(p, F.col(p) - F.lit(start).cast("long")).select("r", "c", "v"), vectors=vectors, reader=reader)
 
 
 def subset(m: Matrix, positions: Sequence[int] | DataFrame, by_row: bool, length: int | None = None) -> Matrix:
@@ -42,6 +49,7 @@ def subset(m: Matrix, positions: Sequence[int] | DataFrame, by_row: bool, length
     if isinstance(positions, DataFrame):
         if length is None:
             raise ValueError("a table of positions needs its length")
+        held = None
         mapping, n = positions.select(F.col("new").cast("long").alias("new"), F.col("old").cast("long").alias("old")), length
         small = False
     else:
@@ -51,6 +59,7 @@ def subset(m: Matrix, positions: Sequence[int] | DataFrame, by_row: bool, length
         if listed and listed == list(range(listed[0], listed[0] + len(listed))):
             return subset_block(m, listed[0], len(listed), by_row)
         n, small = len(listed), len(listed) <= LISTED
+        held = listed if small else None
         mapping = m.entries.sparkSession.createDataFrame(list(enumerate(listed)), "new long, old long")
     p, o = _position(by_row), _position(not by_row)
 
@@ -58,32 +67,43 @@ def subset(m: Matrix, positions: Sequence[int] | DataFrame, by_row: bool, length
         to = mapping.withColumnRenamed("old", name)
         return df.join(F.broadcast(to) if small else to, name).select(F.col("new").alias(name), *rest)
 
+    def reader(rows: Selection, columns: Selection) -> DataFrame:
+        chosen = rows if by_row else columns
+        ks = chosen.listed if chosen.listed is not None else range(chosen.start, chosen.start + chosen.length)
+        olds = Selection.listing(tuple(sorted({held[k] for k in ks})))
+        there = m.narrowed(olds, columns) if by_row else m.narrowed(rows, olds)
+        return chosen.keep(moved(there, p, [o, "v"]), p, n).select("r", "c", "v")
+
     entries = moved(m.entries, p, [o, "v"]).select("r", "c", "v")
     vectors = tuple(Vector(v.name, moved(v.rows, "i", v.name.split(",")), v.by_row, v.small and small) if v.by_row == by_row else v for v in m.vectors)
-    return _resized(m, by_row, n, entries=entries, vectors=vectors)
+    return _resized(m, by_row, n, entries=entries, vectors=vectors, reader=None if held is None else reader)
 
 
 def subset_sorted(m: Matrix, positions: Sequence[int], by_row: bool) -> Matrix:
     if any(b < a for a, b in zip(positions, positions[1:], strict=False)):
-        raise ValueError("subset should be sorted")
+        raise ValueError(f"subset should be in order, but its positions decrease after place {next(k for k, (a, b) in enumerate(zip(positions, positions[1:], strict=False)) if b < a)}")
     return subset(m, positions, by_row)
 
 
 def subset_unique(m: Matrix, positions: Sequence[int], by_row: bool) -> Matrix:
     if len(set(positions)) != len(positions):
-        raise ValueError("subset should be unique")
+        raise ValueError(f"subset should be of distinct positions; {len(positions)} of them have {len(set(positions))} values")
     return subset(m, positions, by_row)
 
 
 def subset_sorted_unique(m: Matrix, positions: Sequence[int], by_row: bool) -> Matrix:
     if any(b <= a for a, b in zip(positions, positions[1:], strict=False)):
-        raise ValueError("subset should be unique and sorted")
+        raise ValueError(f"subset should be increasing, but its positions don't increase after place {next(k for k, (a, b) in enumerate(zip(positions, positions[1:], strict=False)) if b <= a)}")
     return subset(m, positions, by_row)
 
 
 def transpose(m: Matrix) -> Matrix:
     vectors = tuple(Vector(v.name, v.rows, not v.by_row, v.small) for v in m.vectors)
-    return m.with_(entries=m.entries.select(F.col("c").alias("r"), F.col("r").alias("c"), "v"), nrow=m.ncol, ncol=m.nrow, vectors=vectors, p_rows=1.0 - m.p_rows)
+
+    def turned(df: DataFrame) -> DataFrame:
+        return df.select(F.col("c").alias("r"), F.col("r").alias("c"), "v")
+
+    return m.with_(entries=turned(m.entries), nrow=m.ncol, ncol=m.nrow, vectors=vectors, p_rows=1.0 - m.p_rows, reader=lambda rows, columns: turned(m.narrowed(columns, rows)))
 
 
 def transpose_buffer(df: DataFrame, nrow: int, ncol: int, stride: int | None = None, to_stride: int | None = None) -> DataFrame:
@@ -103,7 +123,7 @@ def bind(matrices: Sequence[Matrix], by_row: bool, spark=None) -> Matrix:
         return constant(spark, 0, 0, 0.0).with_(sparse=False, p_sparse=0.0, p_rows=0.0)
     other = {m.ncol if by_row else m.nrow for m in matrices}
     if len(other) > 1:
-        raise ValueError(f"all 'matrices' should have the same number of {'columns' if by_row else 'rows'}")
+        raise ValueError(f"what is bound should have the same number of {'columns' if by_row else 'rows'}; found {sorted(other)}")
     extents = [m.nrow if by_row else m.ncol for m in matrices]
     total = sum(extents)
     kept = [(m, n, sum(extents[:k])) for k, (m, n) in enumerate(zip(matrices, extents, strict=True)) if n] or [(matrices[0], extents[0], 0)]
@@ -111,15 +131,25 @@ def bind(matrices: Sequence[Matrix], by_row: bool, spark=None) -> Matrix:
         return kept[0][0]
     p = _position(by_row)
     dtype = kept[0][0].dtype if len({m.dtype for m, *_ in kept}) == 1 else "double"
-    out = None
-    for m, _, start in kept:
-        own = (m.entries if m.structural() else m.cells()).select("r", "c", F.col("v").cast(dtype).alias("v"))
-        own = own.withColumn(p, F.col(p) + F.lit(start).cast("long"))
-        out = own if out is None else out.unionByName(own)
+    spark = kept[0][0].entries.sparkSession
+
+    def reader(rows: Selection, columns: Selection) -> DataFrame:
+        """The union of what the matrices that hold selected positions have there, asked by their own positions."""
+        out = None
+        for m, n, start in kept:
+            part = (rows if by_row else columns).within(start, n)
+            if part.length == 0:
+                continue
+            where = (part, columns) if by_row else (rows, part)
+            own = (m.narrowed(*where) if m.structural() else m.cells(*where)).select("r", "c", F.col("v").cast(dtype).alias("v"))
+            own = own.withColumn(p, F.col(p) + F.lit(start).cast("long"))
+            out = own if out is None else out.unionByName(own)
+        none = spark.range(0).select(F.col("id").alias("r"), F.col("id").alias("c"), F.lit(None).cast(dtype).alias("v"))
+        return none if out is None else out.select("r", "c", "v")
     share = lambda of: sum(getattr(m, of) * n for m, n, _ in kept) / total
     sparse = share("p_sparse")
     nrow, ncol = (total, other.pop()) if by_row else (other.pop(), total)
-    return Matrix(out.select("r", "c", "v"), nrow, ncol, sparse=sparse > 0.5, full=all(m.full or not m.structural() for m, *_ in kept), p_sparse=sparse, p_rows=share("p_rows"), dtype=dtype)
+    return Matrix(reader(every(nrow), every(ncol)), nrow, ncol, reader=reader, sparse=sparse > 0.5, full=all(m.full or not m.structural() for m, *_ in kept), p_sparse=sparse, p_rows=share("p_rows"), dtype=dtype)
 
 
 def cast(m: Matrix, dtype: str, index: str | None = None) -> Matrix:
@@ -129,7 +159,11 @@ def cast(m: Matrix, dtype: str, index: str | None = None) -> Matrix:
         if max(m.nrow, m.ncol) > most:
             raise OverflowError("the extent doesn't fit the index type")
     fill = None if m.fill is None else m.fill.cast(dtype)
-    return m.with_(entries=m.entries.select("r", "c", F.col("v").cast(dtype).alias("v")), fill=fill, dtype=dtype)
+
+    def made(df: DataFrame) -> DataFrame:
+        return df.select("r", "c", F.col("v").cast(dtype).alias("v"))
+
+    return m.with_(entries=made(m.entries), fill=fill, dtype=dtype, reader=lambda rows, columns: made(m.narrowed(rows, columns)))
 
 
 def forced_dense(m: Matrix) -> Matrix:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ieee
+from ..functions import ieee, whole
 from ..functions.ieee import d
 from ..matrix import LISTED, Matrix, Vector
 
@@ -34,47 +34,66 @@ _NUMBERS = {
 _COMPARED = {"equal": np.equal, "greater": np.greater, "less": np.less, "greater_or_equal": np.greater_equal, "less_or_equal": np.less_equal, "not_equal": np.not_equal}
 
 
-def _mapped(m: Matrix, made: Callable[[Column], Column], keeps_zero: bool, dtype: str = "double", vector: Vector | None = None) -> Matrix:
-    cells = m.entries if vector is None else vector.join(m.entries)
-    out = cells.select("r", "c", made(d(F.col("v"))).cast(dtype).alias("v"))
+def _mapped(m: Matrix, made: Callable[[Column], Column], keeps_zero: bool, dtype: str = "double", vector: Vector | None = None, number: Callable[[Column], Column] = d) -> Matrix:
+    def applied(df: DataFrame) -> DataFrame:
+        cells = df if vector is None else vector.join(df)
+        return cells.select("r", "c", made(number(F.col("v"))).cast(dtype).alias("v"))
+
+    out = applied(m.entries)
+    reader = lambda rows, columns: applied(m.narrowed(rows, columns))
     if m.full or (keeps_zero and m.fill is None):
-        return m.with_(entries=out, dtype=dtype, sparse=m.sparse and keeps_zero, p_sparse=m.p_sparse if keeps_zero else 0.0)
-    fill = made(F.lit(0.0) if m.fill is None else d(m.fill))
-    return m.with_(entries=out, dtype=dtype, fill=fill, vectors=m.vectors if vector is None else (*m.vectors, vector), sparse=m.sparse and keeps_zero, p_sparse=m.p_sparse if keeps_zero else 0.0)
+        return m.with_(entries=out, reader=reader, dtype=dtype, sparse=m.sparse and keeps_zero, p_sparse=m.p_sparse if keeps_zero else 0.0)
+    fill = made(number(F.lit(0) if m.fill is None else m.fill))
+    return m.with_(entries=out, reader=reader, dtype=dtype, fill=fill, vectors=m.vectors if vector is None else (*m.vectors, vector), sparse=m.sparse and keeps_zero, p_sparse=m.p_sparse if keeps_zero else 0.0)
 
 
-def _one_each(rows: DataFrame, extent: int) -> None:
-    """Fails unless positions 0 to extent - 1 are there once each; one small job."""
-    n, least, most, positions, nulls = rows.agg(F.count("*"), F.min("i"), F.max("i"), F.countDistinct("i"), F.count_if(F.greatest(*[F.col(c).isNull() for c in rows.columns]))).first()
+def _one_each(rows: DataFrame, extent: int, holds: Column, check: bool) -> bool:
+    """Whether a condition holds for all rows; fails unless positions 0 to extent - 1 are there once each. One small job."""
+    kept = F.coalesce(F.bool_and(holds), F.lit(True))
+    if not check:
+        return rows.select(kept).first()[0]
+    n, least, most, positions, nulls, all_ = rows.agg(F.count("*"), F.min("i"), F.max("i"), F.countDistinct("i"), F.count_if(F.greatest(*[F.col(c).isNull() for c in rows.columns])), kept).first()
     if nulls:
         raise ValueError(f"{nulls} rows of the vector's table have a null position or value")
     if n != extent or (n and (positions, least, most) != (extent, 0, extent - 1)):
         raise ValueError(f"the vector's table should have each position from 0 to {extent - 1} once; it has {n} rows, {positions} positions from {least} to {most}")
+    return all_
+
 
+def _as_vector(
+    m: Matrix, values: Sequence[float] | DataFrame, by_row: bool, on_driver: Callable[[np.ndarray], np.ndarray], holds: Callable[..., Column],
+    *, columns: Sequence[str] = ("w",), check: bool = True, dtype: str = "double",
+) -> tuple[Vector, list[str], bool]:
+    """Values on the driver, or rows (i, w), one for each row or column, and whether a condition holds for all of them.
 
-def _as_vector(m: Matrix, values: Sequence[float] | DataFrame, by_row: bool, columns: Sequence[str] = ("w",), check: bool = True) -> tuple[Vector, list[str]]:
-    """Values on the driver, or rows (i, w), one for each row or column; a table is validated unless `check` is false."""
+    A table is validated unless `check` is false, by the same job that works the condition out.
+    """
     names = [f"_{c}{next(_names)}" for c in columns]
     extent = m.nrow if by_row else m.ncol
     if isinstance(values, DataFrame):
-        rows = values.select(F.col("i").cast("long").alias("i"), *[d(F.col(c)).alias(n) for c, n in zip(columns, names, strict=True)])
-        if check:
-            _one_each(rows, extent)
-        return Vector(",".join(names), rows, by_row, False), names  # Catalyst decides by the table's size
-    rows = [tuple(map(float, x)) if len(columns) > 1 else (float(x),) for x in values]
+        rows = values.select(F.col("i").cast("long").alias("i"), *[F.col(c).cast(dtype).alias(n) for c, n in zip(columns, names, strict=True)])
+        return Vector(",".join(names), rows, by_row, False), names, _one_each(rows, extent, holds(*map(F.col, names)), check)  # Catalyst decides by the table's size
+    number = float if dtype == "double" else int
+    rows = [tuple(map(number, x)) if len(columns) > 1 else (number(x),) for x in values]
     if len(rows) != extent:
-        raise ValueError("length of the vector should be equal to the number of rows or columns")
-    schema = "i long, " + ", ".join(f"{n} double" for n in names)
+        raise ValueError(f"a vector of {len(rows)} values meets {extent} {'rows' if by_row else 'columns'}")
+    schema = "i long, " + ", ".join(f"{n} {dtype}" for n in names)
     df = m.entries.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(rows)], schema)
-    return Vector(",".join(names), df, by_row, len(rows) <= LISTED), names
+    with np.errstate(all="ignore"):
+        kept = bool(np.all(on_driver(np.asarray(values, float))))
+    return Vector(",".join(names), df, by_row, len(rows) <= LISTED), names, kept
 
 
-def _all(values: Sequence[float] | DataFrame, on_driver: Callable[[np.ndarray], np.ndarray], column: Callable[[], Column]) -> bool:
-    """Whether a condition holds for every value; for a table this takes one small job."""
-    if isinstance(values, DataFrame):
-        return values.select(F.coalesce(F.bool_and(column()), F.lit(True))).first()[0]
-    with np.errstate(all="ignore"):
-        return bool(np.all(on_driver(np.asarray(values, float))))
+def _whole_type(m: Matrix, op: str, value: float | Sequence[float] | DataFrame, by_row: bool | None) -> str | None:
+    """The type that an operation on whole numbers works in; None if it works in double."""
+    own = whole.type_of(m.dtype)
+    if own is None or op not in whole.EXACT:
+        return None
+    if by_row is None:
+        return whole.promoted(own, whole.literal_type(value))
+    if isinstance(value, DataFrame):
+        return whole.promoted(own, whole.type_of(dict(value.dtypes)["w"]))
+    return whole.promoted(own, *map(whole.literal_type, value))
 
 
 def arithmetic(m: Matrix, op: str, value: float | Sequence[float] | DataFrame, *, right: bool = True, by_row: bool | None = None, check: bool = True) -> Matrix:
@@ -83,7 +102,12 @@ def arithmetic(m: Matrix, op: str, value: float | Sequence[float] | DataFrame, *
     A vector may be a table (i, w); one that lacks or repeats positions, or has nulls, is an error. With `check` false it is trusted.
 
     Zero is kept if every value makes zero of zero; so not by multiplication with infinity, or division by zero.
+
+    Whole numbers with whole numbers make whole numbers, exactly (see functions/whole.py), but for divide and power; all else is double.
     """
+    kind = _whole_type(m, op, value, by_row)
+    if kind is not None:
+        return _exact(m, op, value, kind, right, by_row, check)
     f, on_driver = ieee.ARITHMETIC[op], _NUMBERS[op]
     sided = (lambda a, b: f(a, b)) if right else (lambda a, b: f(b, a))
     zero = lambda w: (on_driver(0.0, w) if right else on_driver(w, 0.0)) == 0
@@ -91,18 +115,33 @@ def arithmetic(m: Matrix, op: str, value: float | Sequence[float] | DataFrame, *
         with np.errstate(all="ignore"):
             keeps = bool(zero(np.float64(value)))
         return _mapped(m, lambda v: sided(v, d(value)), keeps)
-    vector, (name,) = _as_vector(m, value, by_row, check=check)
-    keeps = _all(value, zero, lambda: sided(F.lit(0.0), d(F.col("w"))) == 0)
+    vector, (name,), keeps = _as_vector(m, value, by_row, zero, lambda w: sided(F.lit(0.0), w) == 0, check=check)
     return _mapped(m, lambda v: sided(v, F.col(name)), keeps, vector=vector)
 
 
+def _exact(m: Matrix, op: str, value: int | Sequence[int] | DataFrame, kind: str, right: bool, by_row: bool | None, check: bool) -> Matrix:
+    """arithmetic() of whole numbers in one type."""
+    f = whole.EXACT[op]
+    sided = (lambda a, b: f(a, b)) if right else (lambda a, b: f(b, a))
+    number = lambda x: x.cast(kind)
+    if op == "multiply":
+        zero = lambda w: w == w
+    elif op in ("add", "subtract"):
+        zero = lambda w: w == 0
+    else:
+        zero = lambda w: w != 0 if right else w != w
+    if by_row is None:
+        return _mapped(m, lambda v: sided(v, F.lit(value).cast(kind)), bool(zero(value)), kind, number=number)
+    vector, (name,), keeps = _as_vector(m, value, by_row, zero, zero, check=check, dtype=kind)
+    return _mapped(m, lambda v: sided(v, F.col(name)), keeps, kind, vector, number)
+
+
 def compare(m: Matrix, op: str, value: float | Sequence[float] | DataFrame, *, by_row: bool | None = None, dtype: str = "double", check: bool = True) -> Matrix:
     """1 where the comparison holds, else 0; NaN equals nothing. Zero is kept if the comparison fails for it."""
     f, on_driver = ieee.COMPARE[op], _COMPARED[op]
     if by_row is None:
         return _mapped(m, lambda v: f(v, d(value)).cast("double"), not on_driver(0.0, value), dtype)
-    vector, (name,) = _as_vector(m, value, by_row, check=check)
-    keeps = _all(value, lambda w: ~on_driver(0.0, w), lambda: ~f(F.lit(0.0), d(F.col("w"))))
+    vector, (name,), keeps = _as_vector(m, value, by_row, lambda w: ~on_driver(0.0, w), lambda w: ~f(F.lit(0.0), w), check=check)
     return _mapped(m, lambda v: f(v, F.col(name)).cast("double"), keeps, dtype, vector)
 
 
@@ -119,9 +158,8 @@ def boolean(m: Matrix, op: str, value: bool | Sequence[bool] | DataFrame, *, by_
     if by_row is None:
         b = bool(value) or value != value
         return _mapped(m, lambda v: f(v, d(float(b))).cast("double"), bool(keeps_for(np.bool_(b))), dtype)
-    vector, (name,) = _as_vector(m, value, by_row, check=check)
-    keeps = op == "and" or _all(value, lambda w: keeps_for((w != 0)), lambda: ieee.truth(d(F.col("w"))) if op == "equal" else ~ieee.truth(d(F.col("w"))))
-    return _mapped(m, lambda v: f(v, F.col(name)).cast("double"), keeps, dtype, vector)
+    vector, (name,), keeps = _as_vector(m, value, by_row, lambda w: keeps_for((w != 0)), lambda w: ieee.truth(w) if op == "equal" else ~ieee.truth(w), check=check)
+    return _mapped(m, lambda v: f(v, F.col(name)).cast("double"), keeps or op == "and", dtype, vector)
 
 
 def boolean_not(m: Matrix, dtype: str = "double") -> Matrix:
@@ -156,8 +194,8 @@ def substitute(m: Matrix, op: str, compared, substitute_=None, *, by_row: bool |
         if len(compared) != len(substitute_):
             raise ValueError("lengths of the compared and substitute vectors should be the same")
         pairs = np.column_stack([np.asarray(compared, float), np.asarray(substitute_, float)])
-    vector, (with_, to) = _as_vector(m, pairs, by_row, ("compared", "substitute"), check)
-    keeps = _all(pairs, lambda w: ~on_driver(0.0, w[:, 0]) | (w[:, 1] == 0) if len(w) else np.ones(0, bool), lambda: ~f(F.lit(0.0), d(F.col("compared"))) | (d(F.col("substitute")) == 0))
+    sound = lambda w: ~on_driver(0.0, w[:, 0]) | (w[:, 1] == 0) if len(w) else np.ones(0, bool)
+    vector, (with_, to), keeps = _as_vector(m, pairs, by_row, sound, lambda a, b: ~f(F.lit(0.0), a) | (b == 0), columns=("compared", "substitute"), check=check)
     return _mapped(m, lambda v: F.when(f(v, F.col(with_)), F.col(to)).otherwise(v), keeps, vector=vector)
 
 

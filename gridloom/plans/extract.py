@@ -2,58 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import LISTED, Matrix
-
-
-@dataclass(frozen=True)
-class Selection:
-    """Positions of one dimension: start and length, or a strictly increasing list."""
-
-    start: int
-    length: int
-    listed: tuple[int, ...] | None = None
-
-    @staticmethod
-    def of(given, extent: int) -> Selection:
-        if given is None:
-            return Selection(0, extent)
-        if isinstance(given, Selection):
-            return given
-        if isinstance(given, tuple):
-            start, length = given
-            if start < 0 or length < 0 or start + length > extent:
-                raise IndexError("the block goes beyond the extent")
-            return Selection(start, length)
-        listed = tuple(int(x) for x in given)
-        if any(b <= a for a, b in zip(listed, listed[1:], strict=False)):
-            raise ValueError("the positions should be unique and sorted")
-        if listed and (listed[0] < 0 or listed[-1] >= extent):
-            raise IndexError("a position goes beyond the extent")
-        if len(listed) > LISTED:
-            raise ValueError(f"more than {LISTED} listed positions; use subset() with a table of them")
-        if listed and listed[-1] - listed[0] == len(listed) - 1:
-            return Selection(listed[0], len(listed))
-        return Selection(0, len(listed), listed)
-
-    def position(self, k: Column) -> Column:
-        """The k-th position selected."""
-        if self.listed is None:
-            return k + F.lit(self.start).cast("long")
-        return F.element_at(F.expr(f"cast(split('{','.join(map(str, self.listed))}', ',') as array<bigint>)"), (k + 1).cast("int"))
-
-    def keep(self, df: DataFrame, name: str, extent: int) -> DataFrame:
-        if self.listed is None:
-            return df if (self.start, self.length) == (0, extent) else df.where((F.col(name) >= self.start) & (F.col(name) < self.start + self.length))
-        if len(self.listed) <= 1000:
-            return df.where(F.col(name).isin(list(self.listed)))
-        spark = df.sparkSession  # of bounded length, see LISTED
-        return df.join(F.broadcast(spark.range(len(self.listed)).select(self.position(F.col("id")).alias(name))), name, "left_semi")
+from ..matrix import Matrix
+from .selection import Selection, consecutive_runs
 
 
 #: Positions of a line that one row of arrays holds at most.
@@ -67,14 +23,16 @@ def stretches(m: Matrix, own: DataFrame, by_row: bool, lines: Selection, block:
     """
     o, i = ("r", "c") if by_row else ("c", "r")
     at = F.col(i) - F.lit(block.start).cast("long")
-    packed = own.select(F.col(o).alias("p"), F.floor(at / STRETCH).alias("b"), F.struct((at % STRETCH).cast("int").alias("s"), "v").alias("e")).groupBy("p", "b").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    b = F.expr(f"({i} - {block.start}L) div {STRETCH}L")
+    packed = own.select(F.col(o).alias("p"), b.alias("b"), F.struct((at % STRETCH).cast("int").alias("s"), "v").alias("e")).groupBy("p", "b").agg(F.array_sort(F.collect_list("e")).alias("e"))
     parts = max(1, -(-block.length // STRETCH))
     every = own.sparkSession.range(lines.length * parts if block.length else 0).select(lines.position(F.expr(f"id div {parts}L")).alias("p"), F.expr(f"id % {parts}L").alias("b"))
     none = F.lit(None).cast(m.dtype)
     size = F.least(F.lit(STRETCH), F.lit(block.length).cast("long") - F.col("b") * STRETCH).cast("int")
     before = F.concat(F.array(F.lit(-1)), F.col("e.s"))
     filled = F.flatten(F.zip_with("e", F.slice(before, F.lit(1), F.size("e")), lambda e, last: F.concat(F.array_repeat(none, e["s"] - last - 1), F.array(e["v"]))))
-    x = F.when(F.col("e").isNull(), F.array_repeat(none, size)).otherwise(F.concat(filled, F.array_repeat(none, size - F.size(filled))))
+    rest = size - F.element_at("e", -1)["s"] - 1
+    x = F.when(F.col("e").isNull(), F.array_repeat(none, size)).otherwise(F.concat(filled, F.array_repeat(none, rest)))
     return every.join(packed, ["p", "b"], "left").select("p", "b", x.alias("x"))
 
 
@@ -89,7 +47,7 @@ def cells(m: Matrix, rows=None, columns=None) -> DataFrame:
     Of two lists the grid is made from one range and meets the entries in an aggregation; its size is that of the selection.
     """
     rows, columns = Selection.of(rows, m.nrow), Selection.of(columns, m.ncol)
-    own = columns.keep(rows.keep(m.entries, "r", m.nrow), "c", m.ncol).select("r", "c", "v")
+    own = m.narrowed(rows, columns).select("r", "c", "v")
     if m.full:
         return own
     if rows.listed is not None and columns.listed is not None:
@@ -99,7 +57,8 @@ def cells(m: Matrix, rows=None, columns=None) -> DataFrame:
     else:
         by_row = columns.listed is None and (rows.listed is not None or columns.length <= rows.length)
         lines, block = (rows, columns) if by_row else (columns, rows)
-        met = stretches(m, own, by_row, lines, block).select("p", "b", F.posexplode("x").alias("s", "v"))
+        # the outer form, as the inner one has the arrays worked out once more to leave empty ones out
+        met = stretches(m, own, by_row, lines, block).select("p", "b", F.posexplode_outer("x").alias("s", "v")).where("s is not null")
         at = F.col("b") * STRETCH + F.col("s") + F.lit(block.start).cast("long")
         met = met.select(*([F.col("p").alias("r"), at.alias("c")] if by_row else [at.alias("r"), F.col("p").alias("c")]), "v")
     for vector in m.vectors:
@@ -116,7 +75,7 @@ def entries(m: Matrix, rows=None, columns=None) -> DataFrame:
     """(r, c, v) for the structural entries selected; of a matrix with filled cells every cell is structural."""
     if not m.structural():
         return cells(m, rows, columns)
-    return Selection.of(columns, m.ncol).keep(Selection.of(rows, m.nrow).keep(m.entries, "r", m.nrow), "c", m.ncol).select("r", "c", "v")
+    return m.narrowed(Selection.of(rows, m.nrow), Selection.of(columns, m.ncol)).select("r", "c", "v")
 
 
 @dataclass(frozen=True)
@@ -186,7 +145,7 @@ def extract(
     every = spark.range(at.length).select(at.position(F.col("id")).alias("i"))
     typed = f"array<{m.dtype}>"
     if inside:  # absent cells are filled where the arrays are made
-        own = columns.keep(rows.keep(m.entries, "r", m.nrow), "c", m.ncol).select("r", "c", "v")
+        own = m.narrowed(rows, columns).select("r", "c", "v")
         lines = stretches(m, own, target == "row", at, chosen).select(F.col("p").alias(t), "x")
         for vector in m.vectors:
             lines = vector.join(lines)
@@ -224,19 +183,6 @@ def process_consecutive_indices(indices: Sequence[int], fun: Callable[[int, int]
         fun(start, length)
 
 
-def consecutive_runs(indices: Sequence[int]) -> Iterator[tuple[int, int]]:
-    start = length = 0
-    for x in indices:
-        if length and x == start + length:
-            length += 1
-            continue
-        if length:
-            yield start, length
-        start, length = x, 1
-    if length:
-        yield start, length
-
-
 def fetch(m: Matrix, row: bool, i: int, form: str = "dense", selection=None, **options) -> DataFrame:
     """One row or column."""
     return extract(m, "row" if row else "column", form, selection, at=i, **options)

@@ -91,7 +91,7 @@ def fill_compressed(m: Matrix, row: bool = True) -> DataFrame:
     An entry's place is the number of entries of earlier rows (or columns), of earlier stretches of its own, and
     before it in its stretch, so no row is gathered and none is sorted as a whole.
     """
-    stored = _stored(m, row).withColumn("b", F.floor(F.col("s") / STRETCH))
+    stored = _stored(m, row).withColumn("b", F.expr(f"s div {STRETCH}L"))
     sizes = stored.groupBy("p", "b").agg(F.count("*").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = _every(m, row)[0].join(sizes.groupBy(F.col("p").alias("i")).agg(F.sum("n").alias("n")), "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"))

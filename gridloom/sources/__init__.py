@@ -13,4 +13,6 @@ from .leaves import (
     from_triplets,
 )
 
-__all__ = ["compress_triplets", "constant", "from_compressed", "from_compressed_tables", "from_coo", "from_custom", "from_flat", "from_fragmented", "from_rows", "from_triplets"]
+from .store import count_stored, entries_between, open_tiles, tile_stats, write_tiles
+
+__all__ = ["count_stored", "entries_between", "open_tiles", "tile_stats", "write_tiles", "compress_triplets", "constant", "from_compressed", "from_compressed_tables", "from_coo", "from_custom", "from_flat", "from_fragmented", "from_rows", "from_triplets"]
