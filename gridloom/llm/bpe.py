@@ -475,7 +475,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, path: str, pattern: str) ->
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document, repeated ones too: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """One row a document, repeated ones too: doc_id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no tokens; ids don't matter; see encode()."""
     import public_tokenizers
 
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")

@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import heapq
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -216,7 +218,8 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     component that is null, not finite or beyond WIDEST take no part; shorter vectors are filled with zeros; of several
     query rows with one id the one with the least vector counts; repeated rows of `vectors` are rows. Ranks follow the
     exact scores, and one beyond a long is shown as the nearest long. All queries meet all shards, a
-    block of queries at a time, so that what is sent to the tasks is bounded. No rows give no rows.
+    block of queries at a time, so that what is sent to the tasks is bounded; what a block finds is written before the next
+    one is sent, so that neither the plan nor what is held grows with the queries. No rows give no rows.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & sound("embedding"))
     queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & sound("embedding"))
@@ -225,19 +228,30 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     width = max(width or 0, queries.agg(F.max(F.size("embedding"))).first()[0] or 0)
     points = _routing(vectors, rows, width, shard_count(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     trees = _trees(spark, vectors, width, points)
-    found = None
+    folder = f"{tables.shared_folder(spark)}/top-k-{uuid.uuid4().hex}"
+    rounds = 0
     for ids, asked in _blocks(queries, width):
         home = (asked @ points.T).argmax(axis=1) if len(points) else np.zeros(len(ids), int)
-        first = tables.checkpoint(_ask(spark, trees, ids, asked, k, home, np.full(len(ids), -np.inf), True))
+        first, sent = _ask(spark, trees, ids, asked, k, home, np.full(len(ids), -np.inf), True)
+        first = tables.checkpoint(first)
+        sent.destroy()
         worst = _best(first, k).where(F.col("rank") == k).select("query_id", "score").collect() if len(points) > 1 else []
         at = np.searchsorted(ids, [r[0] for r in worst])
         floors = np.full(len(ids), -np.inf)
         floors[at] = [2.0**62 if r[1] == 2**63 - 1 else -np.inf if r[1] == -(2**63) else r[1] for r in worst]  # not above the exact score, also where that is beyond a long
-        part = first.union(_ask(spark, trees, ids, asked, k, home, floors, False)) if len(points) > 1 else first
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], FOUND)
-    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+        part = first
+        if len(points) > 1:
+            rest, sent = _ask(spark, trees, ids, asked, k, home, floors, False)
+            part = first.union(rest)
+        _best(part, k).select("query_id", "rank", "vec_id", "score").write.parquet(f"{folder}/round={rounds}")
+        if len(points) > 1:
+            sent.destroy()
+        rounds += 1
+    if rounds == 0:
+        return _best(spark.createDataFrame([], FOUND), k).select("query_id", "rank", "vec_id", "score")
+    found = tables.checkpoint(spark.read.parquet(folder).select("query_id", "rank", "vec_id", "score"))
+    tables.remove(spark, folder)
+    return found
 
 
 FOUND = "query_id long, vec_id long, score long, place binary"
@@ -285,8 +299,8 @@ def _trees(spark: SparkSession, vectors: DataFrame, width: int, points: np.ndarr
     return tables.checkpoint(dealt.withColumn("shard", shard).drop("dealt").groupBy("cell", "shard").applyInArrow(build, "cell long, tree binary"))
 
 
-def _ask(spark: SparkSession, trees: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, home: np.ndarray, floors: np.ndarray, at_home: bool) -> DataFrame:
-    """What the trees of each query's home cell, or those of all other cells, find for it from its floor on."""
+def _ask(spark: SparkSession, trees: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, home: np.ndarray, floors: np.ndarray, at_home: bool) -> tuple[DataFrame, Broadcast]:
+    """What the trees of each query's home cell, or those of all other cells, find for it from its floor on; and what was sent for that."""
     shared = spark.sparkContext.broadcast((ids, asked, home, floors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +315,7 @@ def _ask(spark: SparkSession, trees: DataFrame, ids: np.ndarray, asked: np.ndarr
                     out += [(ids[i], other, s) for s, other in tree.top(int(ids[i]), asked[i], k, floors[i])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([_shown(r[2]) for r in out], pa.int64()), pa.array([order_of(r[2]) for r in out], pa.binary())], ["query_id", "vec_id", "score", "place"])
 
-    return trees.mapInArrow(run, FOUND)
+    return trees.mapInArrow(run, FOUND), shared
 
 
 def _blocks(queries: DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -323,7 +337,7 @@ def _block(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 best of each query: query_id, rank, vec_id, score."""
+    """The 10 best of each query: query_id, rank, vec_id, score. Vectors that are null or have null or non-finite components take no part, nor do null ids; no vectors give no rows."""
     vectors = tables.read(spark, sf_dir, "embeddings")
     return search(spark, vectors, vectors.where(F.col("vec_id") % 100 == 0))
 

@@ -389,7 +389,7 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document, repeated ones too: doc_id, n_words, n_removed, kept_sha256."""
+    """One row a document, repeated ones too: doc_id, n_words, n_removed, kept_sha256. Null and empty texts have no words; a null id comes after all others; see dedup()."""
     out = dedup(spark, tables.read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

@@ -47,7 +47,8 @@ START = "DATE'2024-01-01'"
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a page: page_id, host, fetched, matched_entry, blocked.
+    """One row a page, repeated ones too: page_id, host, fetched, matched_entry, blocked. A null or malformed url has a null host and is
+    not blocked, nor is a page without an id, which has no day; an empty table gives no rows.
 
     `pages` has neither fetch days nor lists, so both are derived: a page is fetched page_id mod 365 days
     after the start of 2024; each host, and each name without its first label, is added, removed

@@ -133,3 +133,18 @@ def test_cells_split_and_hot_vectors(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in M.search(spark, df, df.where("vec_id % 100 = 0")).collect())
     assert got == brute(rows, {i for i, _ in rows if i % 100 == 0}, 10)
+
+
+def test_many_blocks_of_queries_leave_the_plan_as_it_is(spark, monkeypatch):
+    import os
+
+    rng = np.random.default_rng(11)
+    vectors = spark.createDataFrame([(k, rng.normal(size=6).tolist()) for k in range(120)], "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 5 = 0")
+    whole = M.search(spark, vectors, asked, 4)
+    monkeypatch.setattr(M, "QUERY_BYTES", 8 * 6 * 7)  # seven queries at a time, four rounds
+    parts = M.search(spark, vectors, asked, 4)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 96
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert plan(parts) == plan(whole)
+    assert not [f for f in os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if f.startswith("top-k-")]
