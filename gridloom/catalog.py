@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binary, reshape, sinks, sources, unary
+from .functions.arrays import of_cells, of_pairs
 from .matrix import Matrix
 from .operators import blocks
 from .plans.extract import ConsecutiveOracle, FixedOracle, consecutive, fetch
@@ -446,7 +447,43 @@ def _layout() -> None:
             _add(f"exact_long_binary_{op}", lambda s, d, op=op: binary.arithmetic(Long(s, d), reshape.cast(C(s, d), "int"), op).cells(), f"WITH {G_SQL}, {LONG_SQL[len(CELLS_SQL) + 2 :]} SELECT l.r, l.c, CAST({sql.format(a='l.v', b='CAST(g.v AS BIGINT)')} AS BIGINT) AS v FROM l JOIN g ON g.r = l.r AND g.c = l.c")
 
 
-for _group in (_arithmetic, _comparisons, _functions, _shapes, _reads, _more, _layout):
+def _custom() -> None:
+    """Functions of NumPy arrays, compressed storage in two passes, triplets of any length."""
+
+    def scaled(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return v * (c % 7 + 1)
+
+    def lifted(v: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return v * 2 + r % 5
+
+    def apart(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.maximum(a, b) * 3 - c
+
+    _add("custom_arrays_sparse", lambda s, d: unary.custom(S(s, d), unary.Helper(of_cells(scaled, column=True), keeps_zero=True)).entries, f"WITH {S_SQL} SELECT r, c, CAST(v * (c % 7 + 1) AS DOUBLE) AS v FROM s")
+    _add("custom_arrays_by_row", lambda s, d: _cells(unary.custom(C(s, d), unary.Helper(of_cells(lifted, row=True), depends_on_row=True))), f"WITH {G_SQL} SELECT r, c, CAST(v * 2 + r % 5 AS DOUBLE) AS v FROM g")
+    _add("custom_arrays_row_sums", lambda s, d: sinks.sums(unary.custom(C(s, d), unary.Helper(of_cells(lifted, row=True), depends_on_row=True))), f"WITH {G_SQL} SELECT r AS i, CAST(sum(v * 2 + r % 5) AS DOUBLE) AS total FROM g GROUP BY 1")
+    _add("custom_arrays_binary", lambda s, d: _cells(binary.combine(C(s, d), C2(s, d), binary.BinaryHelper(of_pairs(apart, column=True)))), f"WITH {G2_SQL} SELECT r, c, CAST(greatest(a, b) * 3 - c AS DOUBLE) AS v FROM g2")
+
+    def written(s: SparkSession, d: str, row: bool) -> str:
+        path = f"{shared_folder(s)}/compressed-{uuid.uuid4().hex}"
+        sources.write_compressed(S(s, d), path, row)
+        return path
+
+    for row, name in ((True, "csr"), (False, "csc")):
+        t, o = ("r", "c") if row else ("c", "r")
+        _add(f"stored_{name}_entries", lambda s, d, row=row: sources.open_compressed(s, written(s, d, row)).entries, f"WITH {S_SQL} SELECT r, c, v FROM s")
+        _add(f"stored_{name}_contents", lambda s, d, row=row: sources.stored_contents(s, written(s, d, row))[0], f"WITH {S_SQL} SELECT row_number() OVER (ORDER BY {t}, {o}) - 1 AS k, {o} AS \"index\", v FROM s")
+    _add("stored_csr_pointers", lambda s, d: sources.stored_contents(s, written(s, d, True))[1], f"WITH {S_SQL}, n AS (SELECT r, count(*) AS n FROM s GROUP BY 1) SELECT a.i, CAST(coalesce(sum(n.n) OVER (ORDER BY a.i), 0) AS BIGINT) AS pointer FROM (SELECT unnest(range((SELECT count(*) FROM orders) + 1)) AS i) a LEFT JOIN n ON n.r = a.i - 1")
+    triplets = "SELECT CAST(c_nationkey AS BIGINT) AS p, o_custkey % 7 AS s, CAST(c_nationkey + o_custkey % 5 AS DOUBLE) AS v FROM orders JOIN customer ON o_custkey = c_custkey"
+
+    def triple(s: SparkSession, d: str) -> DataFrame:
+        met = _read(s, d, "orders").join(_read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        return met.select(F.col("c_nationkey").cast("long").alias("primary"), (F.col("o_custkey") % 7).alias("secondary"), (F.col("c_nationkey") + F.col("o_custkey") % 5).cast("double").alias("v"))
+
+    _add("sorted_triplets", lambda s, d: sources.sorted_triplets(triple(s, d), 25)[0], f"SELECT row_number() OVER (ORDER BY p, s, v) - 1 AS k, p AS \"primary\", s AS \"index\", v FROM ({triplets})")
+
+
+for _group in (_arithmetic, _comparisons, _functions, _shapes, _reads, _more, _layout, _custom):
     _group()
 
 

@@ -208,9 +208,11 @@ def substitute_special(m: Matrix, test: str, substitute_: float, *, passes: bool
 
 @dataclass(frozen=True)
 class Helper:
-    """A custom operation: `expr(v, r, c)` is a column. Set `nrow` or `ncol` where it fits only such matrices.
+    """A custom operation: `expr(v, r, c)` is a column; functions/arrays.py makes one of a function of NumPy arrays.
+    Set `nrow` or `ncol` where it fits only such matrices.
 
-    An operation that doesn't keep zero and depends on positions is applied to all cells.
+    `depends_on_row` and `depends_on_column` tell what it makes of zero; of other cells it may always use the position.
+    If it depends on one of them, absent cells stay absent and get a fill for each row or column; if on both, it is applied to all cells.
     """
 
     expr: Callable[[Column, Column, Column], Column]
@@ -224,6 +226,28 @@ class Helper:
 def custom(m: Matrix, helper: Helper, dtype: str = "double") -> Matrix:
     if helper.nrow not in (None, m.nrow) or helper.ncol not in (None, m.ncol):
         raise ValueError("dimensions of the matrix and the helper should be the same")
+    depends = {b for b, on in ((True, helper.depends_on_row), (False, helper.depends_on_column)) if on} | {v.by_row for v in m.vectors}
     if not helper.keeps_zero and not m.full and (helper.depends_on_row or helper.depends_on_column):
-        m = m.with_(entries=m.cells(), full=True, fill=None, vectors=(), sparse=False, p_sparse=0.0)
+        if len(depends) > 1:
+            m = m.with_(entries=m.cells(), full=True, fill=None, vectors=(), sparse=False, p_sparse=0.0)
+        else:
+            return _filled_by_line(m, helper, helper.depends_on_row, dtype)
     return _mapped(m, lambda v: helper.expr(v, F.col("r"), F.col("c")), helper.keeps_zero, dtype)
+
+
+def _filled_by_line(m: Matrix, helper: Helper, by_row: bool, dtype: str) -> Matrix:
+    """custom() whose result for absent cells differs by row, or by column, alone: one value for each."""
+    name, p = f"_custom{next(_names)}", "r" if by_row else "c"
+    lines = m.entries.sparkSession.range(m.nrow if by_row else m.ncol).select(F.col("id").alias(p))
+    for vector in m.vectors:
+        lines = vector.join(lines)
+    none = F.lit(0).cast("long")  # whatever it is there, it makes no difference
+    zero = d(F.lit(0.0) if m.fill is None else m.fill)
+    value = helper.expr(zero, F.col(p) if by_row else none, none if by_row else F.col(p))
+    lines = lines.select(F.col(p).alias("i"), value.cast(dtype).alias(name))
+
+    def applied(df: DataFrame) -> DataFrame:
+        return df.select("r", "c", helper.expr(d(F.col("v")), F.col("r"), F.col("c")).cast(dtype).alias("v"))
+
+    reader = lambda rows, columns: applied(m.narrowed(rows, columns))
+    return m.with_(entries=applied(m.entries), reader=reader, dtype=dtype, fill=F.col(name), vectors=(Vector(name, lines, by_row, False),), sparse=False, p_sparse=0.0)

@@ -11,8 +11,9 @@ from .leaves import (
     from_fragmented,
     from_rows,
     from_triplets,
+    sorted_triplets,
 )
 
-from .store import count_stored, entries_between, open_tiles, tile_stats, write_tiles
+from .store import count_stored, entries_between, open_compressed, open_tiles, stored_contents, tile_stats, write_compressed, write_tiles
 
-__all__ = ["count_stored", "entries_between", "open_tiles", "tile_stats", "write_tiles", "compress_triplets", "constant", "from_compressed", "from_compressed_tables", "from_coo", "from_custom", "from_flat", "from_fragmented", "from_rows", "from_triplets"]
+__all__ = ["count_stored", "entries_between", "open_compressed", "open_tiles", "sorted_triplets", "stored_contents", "tile_stats", "write_compressed", "write_tiles", "compress_triplets", "constant", "from_compressed", "from_compressed_tables", "from_coo", "from_custom", "from_flat", "from_fragmented", "from_rows", "from_triplets"]

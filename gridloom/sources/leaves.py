@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import Matrix
 from ..plans.prefix import running_total
+from ..scratch import shared_folder
 
 
 def _fail_if(rows: DataFrame, message: str) -> None:
@@ -138,18 +139,45 @@ def constant(spark: SparkSession, nrow: int, ncol: int, value: float) -> Matrix:
     return Matrix(none, nrow, ncol, sparse=zero, fill=None if zero else F.lit(float(value)), p_sparse=float(zero))
 
 
+def sorted_triplets(df: DataFrame, num_primary: int) -> tuple[DataFrame, DataFrame]:
+    """Triplets (primary, secondary, v) as flat arrays: (k, primary, index, v), k being the place, and pointers (i, pointer).
+
+    Entries are by primary and secondary position, then value; repeated positions stay. They are sorted over ranges of all three, and each
+    range begins where the counts of those before it end, so no element, however long, is gathered in one task. Equal triplets
+    are sorted as one with a count.
+    """
+    spark = df.sparkSession
+    order = ["primary", "secondary", "v"]
+    kinds = df.groupBy(*order).agg(F.count("*").alias("n"))
+    shared_folder(spark)
+    # kept, so that counting and numbering see the same ranges
+    ranged = kinds.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    heads = ranged.groupBy("range").agg(F.sum("n").alias("size")).select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("head"))
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("head") + F.coalesce(F.col("earlier"), F.lit(0))
+    placed = ranged.withColumn("earlier", F.sum("n").over(within)).join(F.broadcast(heads), "range")
+    flat = placed.select(F.explode(F.sequence(first, first + F.col("n") - 1)).alias("k"), "primary", F.col("secondary").alias("index"), "v")
+    return flat, _pointers(spark, ranged.select("primary", "n"), num_primary)
+
+
+def _pointers(spark: SparkSession, sizes: DataFrame, num_primary: int) -> DataFrame:
+    counts = sizes.groupBy((F.col("primary") + 1).alias("i")).agg(F.sum("n").alias("n"))
+    every = spark.range(num_primary + 1).select(F.col("id").alias("i")).join(counts, "i", "left").select("i", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return running_total(every, "n").select("i", F.col("total").alias("pointer"))
+
+
 def compress_triplets(df: DataFrame, num_primary: int) -> tuple[DataFrame, DataFrame]:
     """Triplets (primary, secondary, v) as (i, index, value) for each primary element, and pointers (i, pointer).
 
-    Entries are by secondary position, then value; repeated positions stay. `pointers` has num_primary + 1 rows.
+    Entries are by secondary position, then value; repeated positions stay. `pointers` has num_primary + 1 rows. An element's arrays
+    are one row here; sorted_triplets() gives elements of any length.
     """
     spark = df.sparkSession
     grouped = df.groupBy(F.col("primary").alias("i")).agg(F.array_sort(F.collect_list(F.struct(F.col("secondary").alias("s"), F.col("v").alias("v")))).alias("e"))
     every = spark.range(num_primary).withColumnRenamed("id", "i").join(grouped, "i", "left")
     arrays = every.select("i", F.coalesce("e.s", F.array().cast("array<bigint>")).alias("index"), F.coalesce("e.v", F.array().cast("array<double>")).alias("value"))
-    counts = spark.range(1, num_primary + 1).select(F.col("id").alias("i")).join(df.groupBy((F.col("primary") + 1).alias("i")).agg(F.count("*").alias("n")), "i", "left").select("i", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    first = spark.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("n"))
-    return arrays, running_total(first.union(counts), "n").withColumnRenamed("total", "pointer").select("i", "pointer")
+    return arrays, _pointers(spark, df.groupBy("primary").agg(F.count("*").alias("n")), num_primary)
 
 
 def from_triplets(df: DataFrame, nrow: int, ncol: int, *, csr: bool = True, combine: str | None = None, check: bool = True) -> Matrix:

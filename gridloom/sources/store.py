@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..matrix import Matrix, Vector
 from ..plans.extract import by_line, fill_of
+from ..plans.prefix import running_total
 from ..plans.selection import Selection
+from ..plans.sinks import count_non_zeros, fill_compressed
 
 #: Rows and columns of a tile, if not told otherwise: some 16 million cells at most.
 TILE = (4096, 4096)
@@ -96,3 +98,59 @@ def entries_between(spark: SparkSession, path: str, least: float, most: float) -
 def count_stored(spark: SparkSession, path: str) -> int:
     """The number of stored entries, from the statistics alone."""
     return tile_stats(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+#: Places of the flat arrays that one row of a stored compressed matrix holds.
+CHUNK = 65_536
+
+
+def write_compressed(m: Matrix, path: str, row: bool = True, mode: str = "errorifexists") -> None:
+    """Stores a sparse matrix's flat arrays in two passes: the counts of rows (or columns) fix the pointers, then entries are written at their places.
+
+    A folder has `pointers` (i, pointer) and `chunks`: each CHUNK places of the arrays as one row, with the runs of its rows (or columns). No pass
+    holds more than a chunk, however long a row is. A matrix whose absent cells aren't zero is stored by its cells that aren't.
+    """
+    flat = fill_compressed(m, row).select("k", "p", "s", "v", F.expr(f"k div {CHUNK}L").alias("chunk"))
+    spark = m.entries.sparkSession
+    extent = m.nrow if row else m.ncol
+    counts = count_non_zeros(m, row).select((F.col("i") + 1).alias("i"), "n").unionByName(spark.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("n")))
+    running_total(counts, "n").select("i", F.col("total").alias("pointer")).write.mode(mode).parquet(f"{path}/pointers")
+    sorted_ = flat.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("k", "p", "s", "v"))).alias("e"))
+    first, size = F.element_at("e", 1), F.size("e")
+    heads = F.filter(F.sequence(F.lit(1), size), lambda j: (j == 1) | (F.element_at("e", j)["p"] != F.element_at("e", F.greatest(j - 1, F.lit(1)))["p"]))
+    shown = sorted_.select("chunk", first["p"].alias("least"), F.element_at("e", -1)["p"].alias("most"), heads.alias("heads"), "e")
+    ends = F.concat(F.slice("heads", F.lit(2), F.size("heads")), F.array(size + 1))
+    runs = F.zip_with("heads", ends, lambda a, b: F.struct(F.element_at("e", a)["p"].alias("p"), (b - a).alias("n")))
+    shown = shown.select("chunk", "least", "most", runs.alias("runs"), F.col("e.s").alias("index"), F.col("e.v").alias("value"))
+    shown.repartitionByRange("chunk").sortWithinPartitions("chunk").write.mode(mode).parquet(f"{path}/chunks")
+    told = {"nrow": m.nrow, "ncol": m.ncol, "dtype": m.dtype, "row": row, "extent": extent}
+    spark.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.mode(mode).text(f"{path}/shape")
+
+
+def open_compressed(spark: SparkSession, path: str) -> Matrix:
+    """A matrix stored by write_compressed(). Chunks are taken apart by their runs, without a sort, a window or a shuffle; selected rows (or columns) become ranges on the chunks' first and last ones."""
+    told = json.loads(spark.read.text(f"{path}/shape").first()[0])
+    nrow, ncol, row, dtype = told["nrow"], told["ncol"], told["row"], told["dtype"]
+    chunks = spark.read.schema(f"chunk long, least long, most long, runs array<struct<p:long,n:int>>, index array<long>, value array<{dtype}>").parquet(f"{path}/chunks")
+
+    def apart(some: DataFrame) -> DataFrame:
+        lines = F.flatten(F.transform("runs", lambda r: F.array_repeat(r["p"], r["n"])))
+        long = some.select(F.inline(F.arrays_zip(lines.alias("p"), F.col("index").alias("s"), F.col("value").alias("v"))))
+        r, c = ("p", "s") if row else ("s", "p")
+        return long.select(F.col(r).alias("r"), F.col(c).alias("c"), "v")
+
+    def reader(rows: Selection, columns: Selection) -> DataFrame:
+        main = rows if row else columns
+        some = chunks
+        if main.length and (runs := main.runs()):
+            some = some.where((F.col("most") >= runs[0][0]) & (F.col("least") < runs[-1][0] + runs[-1][1]))
+        return columns.keep(rows.keep(apart(some), "r", nrow), "c", ncol)
+
+    return Matrix(apart(chunks), nrow, ncol, p_rows=1.0 if row else 0.0, dtype=dtype, reader=reader)
+
+
+def stored_contents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The flat arrays (k, index, v) and the pointers (i, pointer) of a stored compressed matrix, as from_compressed_tables() takes them."""
+    chunks = spark.read.parquet(f"{path}/chunks")
+    flat = chunks.select("chunk", F.posexplode(F.arrays_zip(F.col("index").alias("index"), F.col("value").alias("v"))).alias("at", "e"))
+    return flat.select((F.col("chunk") * CHUNK + F.col("at")).alias("k"), "e.index", "e.v"), spark.read.parquet(f"{path}/pointers")

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from gridloom import binary, blocks, reshape, sinks, sources, unary
 from gridloom.functions import whole
+from gridloom.functions.arrays import of_cells, of_pairs
 from gridloom.plans.selection import RANGES, Selection
+from gridloom.sources import store
 from pyspark.sql import functions as F
 
 
@@ -226,3 +228,76 @@ def test_the_fill_is_worked_out_once(spark):
     plan = m.cells().where("v > 0")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_repeat") <= 3
     assert sinks.sums(m).count() == 20 and m.cells().agg(F.count("*")).first()[0] == 600
+
+
+def test_functions_of_arrays(spark):
+    a, b = simulate(10, 12, 9, 0.4), simulate(11, 12, 9, 0.4)
+    r, c = np.mgrid[:12, :9]
+    m = coo(spark, a)
+
+    def cell(v):
+        return np.where(v > 2, np.nan, v * 3)
+
+    def placed(v, r, c):
+        return v * (r + 1) + c
+
+    def by_row(v, r):
+        return v + r
+
+    def pair(x, y, c):
+        return x * y + c
+
+    kept = unary.custom(m, unary.Helper(of_cells(cell), keeps_zero=True))
+    np.testing.assert_array_equal(array(kept).astype(float), cell(a))
+    assert kept.is_sparse() and kept.entries.count() == np.count_nonzero(a)
+    got = unary.custom(m, unary.Helper(of_cells(placed, row=True, column=True), depends_on_column=True))
+    assert len(got.vectors) == 1 and got.entries.count() == np.count_nonzero(a)
+    np.testing.assert_allclose(array(got).astype(float), placed(a, r, c))
+    twice = unary.custom(unary.arithmetic(m, "add", np.arange(12.0), by_row=True), unary.Helper(of_cells(by_row, row=True), depends_on_row=True))
+    np.testing.assert_allclose(array(twice).astype(float), a + 2 * r)
+    mixed = unary.custom(unary.arithmetic(m, "add", np.arange(9.0), by_row=False), unary.Helper(of_cells(by_row, row=True), depends_on_row=True))
+    assert mixed.full
+    np.testing.assert_allclose(array(mixed).astype(float), a + c + r)
+    two = binary.combine(m, coo(spark, b), binary.BinaryHelper(of_pairs(pair, column=True)))
+    np.testing.assert_allclose(array(two).astype(float), a * b + c)
+    few = lines(got.dense_row(2, 4, at=(3, 2)))
+    np.testing.assert_allclose(np.array([few[3], few[4]]), placed(a, r, c)[3:5, 2:6])
+
+
+@pytest.mark.parametrize("row", [True, False])
+def test_compressed_storage(spark, tmp_path, monkeypatch, row):
+    monkeypatch.setattr(store, "CHUNK", 16)
+    a = simulate(12, 30, 25, 0.3)
+    a[7], a[9:14] = np.arange(1, 26), 0
+    m = coo(spark, a)
+    path = f"{tmp_path}/c"
+    sources.write_compressed(m, path, row)
+    got = sources.open_compressed(spark, path)
+    np.testing.assert_array_equal(array(got).astype(float), a)
+    plan = plan_of(got.entries)
+    assert not any(x in plan for x in ("Exchange", "Window", "Sort"))
+    part = got.narrowed(Selection(6, 3), Selection(0, 25)) if row else got.narrowed(Selection(0, 30), Selection(6, 3))
+    assert "GreaterThanOrEqual(most,6)" in plan_of(part)
+    want = a[6:9] if row else a[:, 6:9]
+    assert part.count() == np.count_nonzero(want) and part.agg(F.sum("v")).first()[0] == pytest.approx(want.sum())
+    contents, pointers = sources.stored_contents(spark, path)
+    again = sources.from_compressed_tables(contents, pointers, 30, 25, csr=row)
+    np.testing.assert_array_equal(array(again).astype(float), a)
+    sources.write_compressed(unary.arithmetic(m, "add", 1.0), f"{tmp_path}/d", row)
+    np.testing.assert_array_equal(array(sources.open_compressed(spark, f"{tmp_path}/d")).astype(float), a + 1)
+    sources.write_compressed(sources.constant(spark, 3, 2, 0.0), f"{tmp_path}/e", row)
+    assert array(sources.open_compressed(spark, f"{tmp_path}/e")).astype(float).sum() == 0
+
+
+def test_sorted_triplets_of_one_long_element(spark):
+    rng = np.random.default_rng(13)
+    rows = [(2, int(s), float(v)) for s, v in zip(rng.integers(0, 40, 3000), rng.integers(0, 3, 3000), strict=True)] + [(0, 5, 1.0), (4, 0, -1.0), (4, 0, -2.0)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that small ranges stay apart
+    flat, pointers = sources.sorted_triplets(spark.createDataFrame(rows, "primary long, secondary long, v double").repartition(5), 6)
+    got = sorted((r.k, r.primary, r["index"], r.v) for r in flat.collect())
+    assert got == [(k, *t) for k, t in enumerate(sorted(rows))]
+    assert [r.pointer for r in pointers.orderBy("i").collect()] == [0, 1, 1, 3001, 3001, 3003, 3003]
+    assert flat.select(F.spark_partition_id().alias("x")).distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    flat, pointers = sources.sorted_triplets(spark.createDataFrame([], "primary long, secondary long, v double"), 2)
+    assert flat.count() == 0 and pointers.count() == 3
