@@ -63,12 +63,22 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
         m = rng.choice([-1.0, 1.0], size=(n, bits))
         if (np.abs(m.sum(axis=0)) == n).any():
             continue
-        gap = (bits - (m @ m.T - np.eye(n) * 3 * bits).max()) / 2
+        gap = (bits - _closest(m)) / 2
         if gap > far:
             best, far = m, gap
     return best
 
 
+def _closest(m: np.ndarray) -> float:
+    """The largest product of two different rows, some rows at a time, so that no square of all rows is held."""
+    most = -np.inf
+    for a in range(0, len(m), 512):
+        products = m[a : a + 512] @ m.T
+        products[np.arange(len(products)), a + np.arange(len(products))] = -np.inf
+        most = max(most, float(products.max()))
+    return most
+
+
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 150) -> dict:
     """Codewords, weights (DIM + 1 x bits) and bit weights by accelerated gradient descent."""
     code = codewords(len(names))

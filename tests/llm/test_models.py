@@ -130,3 +130,13 @@ def test_stage_passes_other_columns_through(spark, tmp_path):
     assert out.columns == docs.columns
     assert sorted(r.quality_score for r in out.where("doc_id is not null").collect()) == [f"q{i}" for i in range(8)]
     assert quality.keep_good(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_closest_codewords_by_blocks():
+    import numpy as np
+    from gridloom.llm import language
+
+    m = np.random.default_rng(2).choice([-1.0, 1.0], size=(1300, 40))
+    products = m @ m.T
+    np.fill_diagonal(products, -np.inf)
+    assert language._closest(m) == products.max() and language.codewords(9).shape[0] == 9
