@@ -474,6 +474,21 @@ def _custom() -> None:
         _add(f"stored_{name}_entries", lambda s, d, row=row: sources.open_compressed(s, written(s, d, row)).entries, f"WITH {S_SQL} SELECT r, c, v FROM s")
         _add(f"stored_{name}_contents", lambda s, d, row=row: sources.stored_contents(s, written(s, d, row))[0], f"WITH {S_SQL} SELECT row_number() OVER (ORDER BY {t}, {o}) - 1 AS k, {o} AS \"index\", v FROM s")
     _add("stored_csr_pointers", lambda s, d: sources.stored_contents(s, written(s, d, True))[1], f"WITH {S_SQL}, n AS (SELECT r, count(*) AS n FROM s GROUP BY 1) SELECT a.i, CAST(coalesce(sum(n.n) OVER (ORDER BY a.i), 0) AS BIGINT) AS pointer FROM (SELECT unnest(range((SELECT count(*) FROM orders) + 1)) AS i) a LEFT JOIN n ON n.r = a.i - 1")
+
+    def packed(s: SparkSession, d: str, make: Callable[[SparkSession, str], Matrix]) -> str:
+        path = f"{shared_folder(s)}/packed-{uuid.uuid4().hex}"
+        sources.write_packed(make(s, d), path, (512, 256))
+        return path
+
+    _add("packed_whole_numbers", lambda s, d: sources.open_packed(s, packed(s, d, S)).entries, f"WITH {S_SQL} SELECT r, c, v FROM s")
+    _add("packed_floats", lambda s, d: sources.open_packed(s, packed(s, d, E)).cells(), f"WITH {E_SQL} SELECT r, c, v FROM e")
+    _add("packed_long_numbers", lambda s, d: sources.open_packed(s, packed(s, d, Long)).cells(), f"WITH {LONG_SQL} SELECT r, c, CAST(v AS BIGINT) AS v FROM l")
+    for name, make, cte, table, kinds in (
+        ("whole_numbers", S, S_SQL, "s", "CASE WHEN max(v) <= 127 THEN 'int8' ELSE 'int16' END"),
+        ("floats", E, E_SQL, "e", "'float32'"),
+    ):
+        size = {"s": "CASE WHEN max(v) <= 127 THEN 1 ELSE 2 END", "e": "4"}[table]
+        _add(f"packed_{name}_bytes", lambda s, d, make=make: sources.packed_tiles(s, packed(s, d, make)).select("tr", "tc", "n", "value_kind", F.octet_length("values").cast("long").alias("value_bytes")), f"WITH {cte} SELECT r // 512 AS tr, c // 256 AS tc, count(*) AS n, {kinds} AS value_kind, CAST(count(*) * {size} AS BIGINT) AS value_bytes FROM {table} GROUP BY 1, 2")
     triplets = "SELECT CAST(c_nationkey AS BIGINT) AS p, o_custkey % 7 AS s, CAST(c_nationkey + o_custkey % 5 AS DOUBLE) AS v FROM orders JOIN customer ON o_custkey = c_custkey"
 
     def triple(s: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from gridloom.functions import whole
 from gridloom.functions.arrays import of_cells, of_pairs
 from gridloom.plans.selection import RANGES, Selection
 from gridloom.sources import store
+from gridloom.sources.packed import narrowest
 from pyspark.sql import functions as F
 
 
@@ -289,6 +290,31 @@ def test_compressed_storage(spark, tmp_path, monkeypatch, row):
     assert array(sources.open_compressed(spark, f"{tmp_path}/e")).astype(float).sum() == 0
 
 
+@pytest.mark.parametrize("dtype", ["double", "bigint"])
+def test_packed_storage(spark, tmp_path, dtype):
+    a = simulate(14, 40, 33, 0.3)
+    a = (a * 2**41).astype(np.int64) if dtype == "bigint" else a
+    sources.write_packed(coo(spark, a, dtype), f"{tmp_path}/a", (8, 16))
+    got = sources.open_packed(spark, f"{tmp_path}/a")
+    assert got.dtype == dtype and (array(got) == a).all()
+    part = got.narrowed(Selection(9, 5), Selection(0, 33))
+    assert "GreaterThanOrEqual(tr,1)" in plan_of(part) and part.count() == np.count_nonzero(a[9:14])
+    kinds = {r.value_kind for r in sources.packed_tiles(spark, f"{tmp_path}/a").collect()}
+    assert kinds == ({"int64"} if dtype == "bigint" else {"float64"})
+    sources.write_packed(unary.arithmetic(coo(spark, np.round(a / 2**41)), "add", 1.0), f"{tmp_path}/b", (8, 16))
+    assert {r.value_kind for r in sources.packed_tiles(spark, f"{tmp_path}/b").collect()} == {"int8"}
+    assert (array(sources.open_packed(spark, f"{tmp_path}/b")).astype(float) == np.round(a / 2**41) + 1).all()
+
+
+def test_narrowest_types():
+    cases = {"int8": [[], [0.0, -128.0], [5]], "int16": [[200.0]], "int32": [[-40000.0]], "int64": [[2.0**40]], "float32": [[0.5, math.nan, math.inf], [-0.0]], "float64": [[0.1], [1e300]]}
+    for kind, values in cases.items():
+        for v in values:
+            x = np.array(v, np.int64 if v == [5] else float)
+            assert narrowest(x) == kind
+            np.testing.assert_array_equal(x.astype(kind).astype(float), x.astype(float))
+
+
 def test_sorted_triplets_of_one_long_element(spark):
     rng = np.random.default_rng(13)
     rows = [(2, int(s), float(v)) for s, v in zip(rng.integers(0, 40, 3000), rng.integers(0, 3, 3000), strict=True)] + [(0, 5, 1.0), (4, 0, -1.0), (4, 0, -2.0)]
