@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..matrix import Matrix
@@ -186,3 +186,15 @@ def process_consecutive_indices(indices: Sequence[int], fun: Callable[[int, int]
 def fetch(m: Matrix, row: bool, i: int, form: str = "dense", selection=None, **options) -> DataFrame:
     """One row or column."""
     return extract(m, "row" if row else "column", form, selection, at=i, **options)
+
+
+def deliver(m: Matrix, row: bool, oracle, form: str = "dense", selection=None, *, ahead: int = 1024, **options) -> Iterator[Row]:
+    """The reads of an oracle, or of a table (step, index), one after another in the order of their steps.
+
+    The client holds the reads of about 2 * `ahead` steps at most: steps are put into ranges of that many, one of which is
+    read while the next one is fetched. Steps of a table should be distinct; those whose position doesn't exist are left out.
+    """
+    found = extract(m, "row" if row else "column", form, selection, oracle=oracle, **options)
+    total = oracle.count() if isinstance(oracle, DataFrame) else oracle.total()
+    ranged = found.repartitionByRange(max(1, -(-total // max(1, ahead))), "step").sortWithinPartitions("step")
+    return ranged.toLocalIterator(prefetchPartitions=True)

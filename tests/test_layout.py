@@ -5,6 +5,7 @@ import pytest
 from gridloom import binary, blocks, reshape, sinks, sources, unary
 from gridloom.functions import whole
 from gridloom.functions.arrays import of_cells, of_pairs
+from gridloom.plans.extract import ConsecutiveOracle, FixedOracle, deliver
 from gridloom.plans.selection import RANGES, Selection
 from gridloom.sources import store
 from gridloom.sources.packed import narrowest
@@ -315,6 +316,17 @@ def test_narrowest_types():
             np.testing.assert_array_equal(x.astype(kind).astype(float), x.astype(float))
 
 
+def test_an_oracles_reads_come_in_order(spark):
+    a = simulate(15, 40, 6, 0.5)
+    wanted = np.random.default_rng(16).integers(0, 40, 700).tolist()
+    m = coo(spark, a)
+    got = [(r.step, r.i, list(r.x)) for r in deliver(m, True, FixedOracle(wanted), ahead=100)]
+    assert got == [(k, i, a[i].tolist()) for k, i in enumerate(wanted)]
+    steps = spark.range(500).select(F.col("id").alias("step"), (F.col("id") * 7 % 6).alias("index"))
+    assert [(r.step, r.number) for r in deliver(m, False, steps, "sparse", (3, 20), ahead=90)] == [(k, np.count_nonzero(a[3:23, k * 7 % 6])) for k in range(500)]
+    assert [r.step for r in deliver(m, True, ConsecutiveOracle(5, 30), ahead=7)] == list(range(30))
+
+
 def test_sorted_triplets_of_one_long_element(spark):
     rng = np.random.default_rng(13)
     rows = [(2, int(s), float(v)) for s, v in zip(rng.integers(0, 40, 3000), rng.integers(0, 3, 3000), strict=True)] + [(0, 5, 1.0), (4, 0, -1.0), (4, 0, -2.0)]
