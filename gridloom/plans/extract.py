@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..matrix import Matrix
+from ..matrix import LISTED, Matrix
 from .selection import Selection, consecutive_runs
 
 
@@ -36,6 +36,29 @@ def stretches(m: Matrix, own: DataFrame, by_row: bool, lines: Selection, block:
     return every.join(packed, ["p", "b"], "left").select("p", "b", x.alias("x"))
 
 
+def filled_stretches(m: Matrix, own: DataFrame, by_row: bool, lines: Selection, block: Selection) -> DataFrame:
+    """stretches() with the absent cells filled where the fill depends on the lines alone, or on the positions along them alone.
+
+    It is then joined by line, or zipped as arrays by stretch, and never by cell.
+    """
+    found = stretches(m, own, by_row, lines, block)
+    o, i = ("r", "c") if by_row else ("c", "r")
+    if by_line(m, by_row):
+        found = found.withColumnRenamed("p", o)
+        for vector in m.vectors:
+            found = vector.join(found)
+        found = found.select(F.col(o).alias("p"), "b", "x", fill_of(m).alias("fill"))
+        return found.select("p", "b", F.transform("x", lambda v: F.coalesce(v, F.col("fill"))).alias("x"))
+    places = own.sparkSession.range(block.length).select(block.position(F.col("id")).alias(i))
+    for vector in m.vectors:
+        places = vector.join(places)
+    places = places.select((F.col(i) - F.lit(block.start).cast("long")).alias("s"), fill_of(m).alias("v"))
+    packed = places.groupBy(F.expr(f"s div {STRETCH}L").alias("b")).agg(F.array_sort(F.collect_list(F.struct("s", "v"))).alias("f"))
+    packed = packed.select("b", F.col("f.v").alias("f"))
+    found = found.join(F.broadcast(packed) if block.length <= LISTED else packed, "b")
+    return found.select("p", "b", F.zip_with("x", "f", lambda v, f: F.coalesce(v, f)).alias("x"))
+
+
 def fill_of(m: Matrix) -> Column:
     return (F.lit(0.0) if m.fill is None else m.fill).cast(m.dtype)
 
@@ -57,10 +80,13 @@ def cells(m: Matrix, rows=None, columns=None) -> DataFrame:
     else:
         by_row = columns.listed is None and (rows.listed is not None or columns.length <= rows.length)
         lines, block = (rows, columns) if by_row else (columns, rows)
+        apart = by_line(m, True) or by_line(m, False)
         # the outer form, as the inner one has the arrays worked out once more to leave empty ones out
-        met = stretches(m, own, by_row, lines, block).select("p", "b", F.posexplode_outer("x").alias("s", "v")).where("s is not null")
+        met = (filled_stretches if apart else stretches)(m, own, by_row, lines, block).select("p", "b", F.posexplode_outer("x").alias("s", "v")).where("s is not null")
         at = F.col("b") * STRETCH + F.col("s") + F.lit(block.start).cast("long")
         met = met.select(*([F.col("p").alias("r"), at.alias("c")] if by_row else [at.alias("r"), F.col("p").alias("c")]), "v")
+        if apart:
+            return met.select("r", "c", "v")
     for vector in m.vectors:
         met = vector.join(met)
     return met.select("r", "c", F.coalesce("v", fill_of(m)).alias("v"))
@@ -140,18 +166,15 @@ def extract(
     at, chosen = Selection.of(at, extent), Selection.of(selection, other)
     rows, columns = (at, chosen) if target == "row" else (chosen, at)
     spark = m.entries.sparkSession
-    inside = form == "dense" and not m.full and chosen.listed is None and chosen.length <= STRETCH and by_line(m, target == "row")
+    inside = form == "dense" and not m.full and chosen.listed is None and chosen.length <= STRETCH and (by_line(m, True) or by_line(m, False))
     found = None if inside else cells(m, rows, columns) if form == "dense" else entries(m, rows, columns)
     every = spark.range(at.length).select(at.position(F.col("id")).alias("i"))
     typed = f"array<{m.dtype}>"
     if inside:  # absent cells are filled where the arrays are made
         own = m.narrowed(rows, columns).select("r", "c", "v")
-        lines = stretches(m, own, target == "row", at, chosen).select(F.col("p").alias(t), "x")
-        for vector in m.vectors:
-            lines = vector.join(lines)
-        lines = lines.select(F.col(t).alias("i"), F.col("x").alias("y"), fill_of(m).alias("fill"))
+        lines = filled_stretches(m, own, target == "row", at, chosen).select(F.col("p").alias("i"), F.col("x").alias("y"))
         out = every.join(lines, "i", "left") if chosen.length == 0 else lines
-        out = out.select("i", F.coalesce(F.transform("y", lambda v: F.coalesce(v, F.col("fill"))), F.array().cast(typed)).alias("x"))
+        out = out.select("i", F.coalesce("y", F.array().cast(typed)).alias("x"))
     elif form == "dense":
         packed = found.groupBy(F.col(t).alias("i")).agg(F.array_sort(F.collect_list(F.struct(F.col(o).alias("s"), "v"))).alias("e"))
         out = every.join(packed, "i", "left").select("i", F.coalesce("e.v", F.array().cast(typed)).alias("x"))

@@ -5,6 +5,7 @@ import pytest
 from gridloom import binary, blocks, reshape, sinks, sources, unary
 from gridloom.functions import whole
 from gridloom.functions.arrays import of_cells, of_pairs
+from gridloom.plans import extract as extract_module
 from gridloom.plans.extract import ConsecutiveOracle, FixedOracle, deliver
 from gridloom.plans.selection import RANGES, Selection
 from gridloom.sources import store
@@ -316,6 +317,21 @@ def test_narrowest_types():
             np.testing.assert_array_equal(x.astype(kind).astype(float), x.astype(float))
 
 
+def test_a_fill_across_the_lines_is_not_joined_by_cell(spark, monkeypatch):
+    a = simulate(17, 9, 40, 0.2)
+    w = np.arange(40.0)
+    m = unary.arithmetic(coo(spark, a), "subtract", w, by_row=False)
+    for stretch in (65_536, 7):
+        monkeypatch.setattr(extract_module, "STRETCH", stretch)
+        np.testing.assert_array_equal(array(m).astype(float), a - w)
+        assert lines(m.dense_row(5, 20, at=(2, 4))) == {i: (a - w)[i, 5:25].tolist() for i in range(2, 6)}
+        assert lines(m.dense_column(2, 5)) == {j: (a - w)[2:7, j].tolist() for j in range(40)}
+    monkeypatch.undo()
+    plan = plan_of(m.dense_row())
+    assert "zip_with" in plan and "posexplode" not in plan
+    assert m.dense_row(3, 0).count() == 9 and reshape.subset_block(m, 0, 0, True).dense_row().count() == 0
+
+
 def test_an_oracles_reads_come_in_order(spark):
     a = simulate(15, 40, 6, 0.5)
     wanted = np.random.default_rng(16).integers(0, 40, 700).tolist()
