@@ -448,7 +448,8 @@ def _layout() -> None:
 
 
 def _custom() -> None:
-    """Functions of NumPy arrays, compressed storage in two passes, triplets of any length."""
+    """Functions of NumPy arrays, compressed storage in two passes, triplets of any length, a source that is told what is wanted."""
+    joined = "string_agg(CAST(CAST({v} AS BIGINT) AS VARCHAR), ',' ORDER BY {o})"
 
     def scaled(v: np.ndarray, c: np.ndarray) -> np.ndarray:
         return v * (c % 7 + 1)
@@ -464,6 +465,20 @@ def _custom() -> None:
     _add("custom_arrays_row_sums", lambda s, d: sinks.sums(unary.custom(C(s, d), unary.Helper(of_cells(lifted, row=True), depends_on_row=True))), f"WITH {G_SQL} SELECT r AS i, CAST(sum(v * 2 + r % 5) AS DOUBLE) AS total FROM g GROUP BY 1")
     _add("custom_arrays_binary", lambda s, d: _cells(binary.combine(C(s, d), C2(s, d), binary.BinaryHelper(of_pairs(apart, column=True)))), f"WITH {G2_SQL} SELECT r, c, CAST(greatest(a, b) * 3 - c AS DOUBLE) AS v FROM g2")
 
+    def striped(s: SparkSession, d: str) -> Matrix:
+        """Entries where row + column is divisible by three, with their product and one; as many rows as customers."""
+
+        def read(rows: tuple[int, int], columns: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            r, c = (x.ravel() for x in np.meshgrid(rows[0] + np.arange(rows[1]), columns[0] + np.arange(columns[1]), indexing="ij"))
+            own = (r + c) % 3 == 0
+            return r[own], c[own], (r * c + 1.0)[own]
+
+        return sources.from_blocks(s, read, _read(s, d, "customer").count(), 12)
+
+    stripes = "x AS (SELECT r, c, CAST(r * c + 1 AS DOUBLE) AS v FROM k WHERE (r + c) % 3 = 0)"
+    _add("custom_source", lambda s, d: striped(s, d).entries, f"WITH {CELLS_SQL}, {stripes} SELECT r, c, v FROM x")
+    _add("custom_source_block", lambda s, d: _shown(striped(s, d).sparse_row(3, 5, at=(10, 90))), f"WITH {CELLS_SQL}, {stripes}, q AS (SELECT r AS i, count(*) AS number, {joined.format(v='c', o='c')} AS \"index\", {joined.format(v='v', o='c')} AS \"value\" FROM x WHERE c >= 3 AND c < 8 GROUP BY 1) SELECT a.i, coalesce(number, 0) AS number, coalesce(\"index\", '') AS \"index\", coalesce(\"value\", '') AS \"value\" FROM (SELECT unnest(range(10, 100)) AS i) a LEFT JOIN q ON a.i = q.i")
+
     def written(s: SparkSession, d: str, row: bool) -> str:
         path = f"{shared_folder(s)}/compressed-{uuid.uuid4().hex}"
         sources.write_compressed(S(s, d), path, row)

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -332,6 +333,39 @@ def test_a_fill_across_the_lines_is_not_joined_by_cell(spark, monkeypatch):
     assert m.dense_row(3, 0).count() == 9 and reshape.subset_block(m, 0, 0, True).dense_row().count() == 0
 
 
+def test_a_custom_source_is_asked_for_what_is_selected(spark, tmp_path):
+    a = simulate(18, 50, 30, 0.4)
+    log = str(tmp_path)
+
+    def maker():
+        def read(rows, columns):
+            import uuid
+
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as out:
+                out.write(f"{rows[0]} {rows[1]} {columns[0]} {columns[1]}")
+            part = a[rows[0] : rows[0] + rows[1], columns[0] : columns[0] + columns[1]]
+            r, c = np.nonzero(part)
+            return r + rows[0], c + columns[0], part[r, c]
+
+        return read
+
+    def asked():
+        found = sorted(tuple(map(int, (tmp_path / f).read_text().split())) for f in os.listdir(log))
+        for f in os.listdir(log):
+            (tmp_path / f).unlink()
+        return found
+
+    m = sources.from_blocks(spark, maker(), 50, 30, block=20)
+    np.testing.assert_array_equal(array(m).astype(float), a)
+    assert asked() == [(0, 20, 0, 30), (20, 20, 0, 30), (40, 10, 0, 30)]
+    assert lines(m.dense_row(4, 10, at=(25, 5))) == {i: a[i, 4:14].tolist() for i in range(25, 30)}
+    assert asked() == [(25, 5, 4, 10)]
+    both = reshape.bind([unary.arithmetic(m, "multiply", 2.0), m], True)
+    assert lines(both.dense_row(at=[3, 4, 60])) == {3: (2 * a[3]).tolist(), 4: (2 * a[4]).tolist(), 60: a[10].tolist()}
+    assert asked() == [(3, 2, 0, 30), (10, 1, 0, 30)]
+    assert sources.from_blocks(spark, maker(), 0, 5).entries.count() == 0 and asked() == []
+
+
 def test_an_oracles_reads_come_in_order(spark):
     a = simulate(15, 40, 6, 0.5)
     wanted = np.random.default_rng(16).integers(0, 40, 700).tolist()
