@@ -29,6 +29,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import tables
 
 PAGE, FAN = 512, 32
+#: Queries that enter a page together at most.
+TOGETHER = 64
 #: Vectors of a shard aimed at; bytes of queries sent to the tasks at once; bytes of routing vectors at most, and sampled vectors for each.
 SHARD_ROWS, QUERY_BYTES, ROUTE_BYTES, SAMPLED = 8192, 8 << 20, 1 << 20, 8
 #: Components beyond it, which only a double can hold, keep a vector out.
@@ -105,56 +107,90 @@ class MTree:
     def _slack(self, length: np.ndarray | float) -> np.ndarray | float:
         return 1e-7 * (1 + np.sqrt(length) + np.sqrt(self.limit))
 
-    def scores(self, rows: np.ndarray, query: np.ndarray) -> list[int]:
-        self.computed += len(rows)
+    def scores(self, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Exact scores, a row for each of `rows`, a column for each query; as Python integers where doubles can't hold them."""
+        self.computed += len(rows) * len(queries)
         found = self.vectors[rows]
-        if self.widest * float(np.abs(query).max(initial=0)) * max(1, len(query)) < 2**53:
-            return (found @ query).astype(np.int64).tolist()
-        whole = list(map(int, query.tolist()))
-        return [sum(int(a) * b for a, b in zip(v, whole, strict=True)) for v in found.tolist()]
+        if self.widest * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) < 2**53:
+            return found @ queries.T
+        whole = np.array([list(map(int, v)) for v in found.tolist()], object)
+        return whole @ np.array([list(map(int, q)) for q in queries.tolist()], object).T
 
     def top(self, query_id: int, query: np.ndarray, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
         """(score, id) of the k best ids other than `query_id`, ties to smaller ids; what is below `floor` may be left out."""
+        return self.tops(np.array([query_id]), np.asarray(query, float)[None], k, np.array([floor], float))[0]
+
+    def tops(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[list[tuple[int, int]]]:
+        """What top() says of each query.
+
+        Each walks pages best first by a queue of its own; those that stand before the same page enter it together, TOGETHER of
+        them at a time in the order of their distances to it, so that scores are products of matrices.
+        """
+        best: list[list[tuple[int, int]]] = [[] for _ in queries]  # least first, as (score, -id)
         if not len(self.vectors):
-            return []
-        query = query.astype(float)
-        q = np.append(query, 0.0)
-        length = float(q @ q)
+            return best
+        queries = queries.astype(float)
+        full = np.column_stack([queries, np.zeros(len(queries))])
+        length = (queries**2).sum(axis=1)
         slack = self._slack(length)
-        best: list[tuple[int, int]] = []  # least first, as (score, -id)
-        bound = float(np.sqrt(max(0.0, length + self.limit - 2.0 * floor)))
-        tick = 0
-        queue = [(0.0, 0, float(np.sqrt(((q - self.root_point) ** 2).sum())), self.root)]
-        while queue:
-            low, _, there, node = heapq.heappop(queue)
-            if low > bound + slack:
-                break
-            least = np.abs(there - node.parent) - (0 if node.radii is None else node.radii)
-            live = np.flatnonzero(least <= bound + slack)  # others are too far by the triangle inequality
-            if node.children is not None:
-                self.computed += len(live)
-                d = np.sqrt(((node.points[live] - q) ** 2).sum(axis=1))
-                for i, x in zip(live, d, strict=True):
-                    if x - node.radii[i] <= bound + slack:
+        bound = np.sqrt(np.maximum(0.0, length + self.limit - 2.0 * floors))
+        there = np.sqrt(((full - self.root_point) ** 2).sum(axis=1))
+        queues = [[(0.0, 0, x, self.root)] for x in there.tolist()]
+        active, tick = range(len(queries)), 0
+        while active:
+            pages: dict[int, tuple[Node, list[tuple[float, int]]]] = {}
+            for i in active:
+                low, _, x, node = heapq.heappop(queues[i])
+                if low <= bound[i] + slack[i]:
+                    pages.setdefault(id(node), (node, []))[1].append((x, i))
+                else:
+                    queues[i] = []  # it and all after it are too far
+            for node, before in pages.values():
+                before.sort()
+                for at in range(0, len(before), TOGETHER):
+                    there = np.array([x for x, _ in before[at : at + TOGETHER]])
+                    those = np.array([i for _, i in before[at : at + TOGETHER]])
+                    reach = bound[those] + slack[those]
+                    least = np.abs(there[:, None] - node.parent) - (0 if node.radii is None else node.radii)
+                    live = least <= reach[:, None]  # others are too far by the triangle inequality
+                    if node.children is None:
+                        rows = node.rows[live.any(axis=0)]
+                        self._improve(rows, those, query_ids, queries, k, best)
+                        for i in those.tolist():
+                            if len(best[i]) == k:
+                                bound[i] = min(bound[i], float(np.sqrt(max(0.0, length[i] + self.limit - 2.0 * best[i][0][0]))))
+                        continue
+                    self.computed += int(live.sum())
+                    asked, child = np.nonzero(live)
+                    far = np.sqrt(((node.points[child] - full[those[asked]]) ** 2).sum(axis=1))
+                    near = np.maximum(0.0, far - node.radii[child])
+                    for j in np.flatnonzero(near <= reach[asked]).tolist():
                         tick += 1
-                        heapq.heappush(queue, (max(0.0, x - node.radii[i]), tick, float(x), node.children[i]))
-                continue
-            rows = node.rows[live]
-            for row, s in zip(rows.tolist(), self.scores(rows, query), strict=True):
-                if len(best) == k and s < best[0][0]:
+                        heapq.heappush(queues[those[asked[j]]], (float(near[j]), tick, float(far[j]), node.children[child[j]]))
+            active = [i for i in active if queues[i]]
+        return [[(s, -i) for s, i in b] for b in best]
+
+    def _improve(self, rows: np.ndarray, those: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, best: list[list[tuple[int, int]]]) -> None:
+        """Puts into `best` of those queries what the entries `rows` better."""
+        if not len(rows):
+            return
+        exact = self.scores(rows, queries[those])
+        scores = exact.astype(float, copy=False)  # rounding keeps their order
+        worst = np.array([float(best[i][0][0]) if len(best[i]) == k else -np.inf for i in those.tolist()])
+        if len(rows) > k + 1:  # the query itself may be one of the entries
+            worst = np.maximum(worst, np.partition(scores, -k - 1, axis=0)[-k - 1])
+        for column, row in zip(*(x.tolist() for x in np.nonzero(scores.T >= worst[:, None])), strict=True):
+            i, s = int(those[column]), int(exact[row, column])
+            mine, own = best[i], int(query_ids[i])
+            for other in self.ids[rows[row]][: k + 1].tolist():
+                if other == own:
                     continue
-                for other in self.ids[row][: k + 1].tolist():
-                    if other == query_id:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -other))
-                    elif (s, -other) > best[0]:
-                        heapq.heapreplace(best, (s, -other))
-                    else:
-                        break
-            if len(best) == k:
-                bound = min(bound, float(np.sqrt(max(0.0, length + self.limit - 2.0 * best[0][0]))))
-        return [(s, -i) for s, i in best]
+                if len(mine) < k:
+                    heapq.heappush(mine, (s, -other))
+                elif (s, -other) > mine[0]:
+                    heapq.heapreplace(mine, (s, -other))
+                else:
+                    break
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -310,9 +346,10 @@ def _ask(spark: SparkSession, trees: DataFrame, ids: np.ndarray, asked: np.ndarr
                 mine = np.flatnonzero((home == cell) == at_home)
                 if len(mine) == 0:
                     continue
-                tree, out = pickle.loads(raw.as_py()), []
-                for i in mine[tree.near(asked[mine], floors[mine])].tolist():
-                    out += [(ids[i], other, s) for s, other in tree.top(int(ids[i]), asked[i], k, floors[i])]
+                tree = pickle.loads(raw.as_py())
+                mine = mine[tree.near(asked[mine], floors[mine])]
+                found = zip(ids[mine].tolist(), tree.tops(ids[mine], asked[mine], k, floors[mine]), strict=True)
+                out = [(i, other, s) for i, best in found for s, other in best]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([_shown(r[2]) for r in out], pa.int64()), pa.array([order_of(r[2]) for r in out], pa.binary())], ["query_id", "vec_id", "score", "place"])
 
     return trees.mapInArrow(run, FOUND), shared

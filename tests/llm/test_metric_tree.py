@@ -148,3 +148,25 @@ def test_many_blocks_of_queries_leave_the_plan_as_it_is(spark, monkeypatch):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
     assert plan(parts) == plan(whole)
     assert not [f for f in os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if f.startswith("top-k-")]
+
+
+def test_queries_enter_pages_together(monkeypatch):
+    rng = np.random.default_rng(12)
+    v = np.concatenate([rng.integers(-9, 9, (300, 4)) + c for c in rng.integers(-500, 500, (10, 4))]).astype(float)
+    v[::7] = v[0]  # equal vectors, ties at every rank
+    ids = rng.permutation(len(v))
+    tree = M.MTree(ids, v)
+    calls = []
+    monkeypatch.setattr(M.MTree, "scores", lambda self, rows, queries, f=M.MTree.scores: calls.append(len(queries)) or f(self, rows, queries))
+    asked = np.concatenate([v[:200], rng.integers(-500, 500, (50, 4)), v[:1] * 2.0**60])
+    names = np.concatenate([ids[:200], [-1] * 51])
+    got = tree.tops(names, asked, 10, np.full(len(asked), -np.inf))
+    assert max(calls) == M.TOGETHER and len(calls) < len(asked)
+    for name, q, found in zip(names.tolist(), asked.tolist(), got, strict=True):
+        exact = sorted(((-sum(int(a) * int(b) for a, b in zip(q, x, strict=True)), i) for i, x in zip(ids.tolist(), v.tolist(), strict=True) if i != name))[:10]
+        assert sorted(((-s, i) for s, i in found)) == exact
+        assert sorted(tree.top(name, q, 10)) == sorted(found)
+    assert tree.tops(names[:0], asked[:0], 10, np.zeros(0)) == [] and M.MTree(ids[:0], v[:0]).tops(names[:2], asked[:2], 3, np.zeros(2)) == [[], []]
+    few = tree.tops(names, asked, 10, np.array([np.sort(v @ q)[-3] for q in asked]))
+    for a, b in zip(got, few, strict=True):
+        assert sorted(a, reverse=True)[:3] == sorted(b, reverse=True)[:3]
