@@ -85,17 +85,30 @@ def count_non_zeros(m: Matrix, row: bool = True) -> DataFrame:
     return _every(m, row)[0].join(counts, "i", "left").select("i", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def fill_compressed(m: Matrix, row: bool = True) -> DataFrame:
+def stretch_counts(m: Matrix, row: bool = True) -> DataFrame:
+    """(p, b, n): how many entries a sparse form stores of row (or column) p in its b-th stretch."""
+    return _stored(m, row).groupBy("p", F.expr(f"s div {STRETCH}L").alias("b")).agg(F.count("*").alias("n"))
+
+
+def pointers_of(sizes: DataFrame, extent: int) -> DataFrame:
+    """(i, n, total) of every row (or column) from its stretch_counts(): its entries, and those up to its end."""
+    every = sizes.sparkSession.range(extent).withColumnRenamed("id", "i")
+    counts = every.join(sizes.groupBy(F.col("p").alias("i")).agg(F.sum("n").alias("n")), "i", "left").select("i", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return running_total(counts, "n")
+
+
+def fill_compressed(m: Matrix, row: bool = True, sizes: DataFrame | None = None) -> DataFrame:
     """(p, s, v, k): the stored entries with their place in the flat arrays.
 
     An entry's place is the number of entries of earlier rows (or columns), of earlier stretches of its own, and
-    before it in its stretch, so no row is gathered and none is sorted as a whole.
+    before it in its stretch, so no row is gathered and none is sorted as a whole. `sizes` are the stretch_counts()
+    if an earlier pass has written them; else they are counted here.
     """
     stored = _stored(m, row).withColumn("b", F.expr(f"s div {STRETCH}L"))
-    sizes = stored.groupBy("p", "b").agg(F.count("*").alias("n"))
+    if sizes is None:
+        sizes = stretch_counts(m, row)
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = _every(m, row)[0].join(sizes.groupBy(F.col("p").alias("i")).agg(F.sum("n").alias("n")), "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"))
-    firsts = running_total(counts, "n").select(F.col("i").alias("p"), (F.col("total") - F.col("n")).alias("first"))
+    firsts = pointers_of(sizes, m.nrow if row else m.ncol).select(F.col("i").alias("p"), (F.col("total") - F.col("n")).alias("first"))
     heads = sizes.withColumn("earlier", earlier).join(firsts, "p").select("p", "b", (F.col("first") + F.col("earlier")).alias("head"))
     place = F.row_number().over(Window.partitionBy("p", "b").orderBy("s")) - 1
     return stored.withColumn("place", place).join(heads, ["p", "b"]).select("p", "s", "v", (F.col("head") + F.col("place")).alias("k"))

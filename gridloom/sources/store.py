@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from ..matrix import Matrix, Vector
 from ..plans.extract import by_line, fill_of
-from ..plans.prefix import running_total
 from ..plans.selection import Selection
-from ..plans.sinks import count_non_zeros, fill_compressed
+from ..plans.sinks import fill_compressed, pointers_of, stretch_counts
 
 #: Rows and columns of a tile, if not told otherwise: some 16 million cells at most.
 TILE = (4096, 4096)
@@ -105,24 +104,28 @@ CHUNK = 65_536
 
 
 def write_compressed(m: Matrix, path: str, row: bool = True, mode: str = "errorifexists") -> None:
-    """Stores a sparse matrix's flat arrays in two passes: the counts of rows (or columns) fix the pointers, then entries are written at their places.
+    """Stores a sparse matrix's flat arrays in two passes: entries are counted by row (or column) and stretch, which fixes the pointers, then written at their places.
 
-    A folder has `pointers` (i, pointer) and `chunks`: each CHUNK places of the arrays as one row, with the runs of its rows (or columns). No pass
-    holds more than a chunk, however long a row is. A matrix whose absent cells aren't zero is stored by its cells that aren't.
+    A folder has `counts` (p, b, n), the first pass's, `pointers` (i, pointer) and `chunks`: each CHUNK places of the arrays as one row, with the
+    runs of its rows (or columns). The matrix is worked out once a pass; no pass holds more than a chunk, however long a row is. A matrix whose
+    absent cells aren't zero is stored by its cells that aren't.
     """
-    flat = fill_compressed(m, row).select("k", "p", "s", "v", F.expr(f"k div {CHUNK}L").alias("chunk"))
     spark = m.entries.sparkSession
     extent = m.nrow if row else m.ncol
-    counts = count_non_zeros(m, row).select((F.col("i") + 1).alias("i"), "n").unionByName(spark.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("n")))
-    running_total(counts, "n").select("i", F.col("total").alias("pointer")).write.mode(mode).parquet(f"{path}/pointers")
-    sorted_ = flat.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("k", "p", "s", "v"))).alias("e"))
+    stretch_counts(m, row).write.mode(mode).parquet(f"{path}/counts")
+    sizes = spark.read.schema("p long, b long, n long").parquet(f"{path}/counts")
+    start = spark.range(1).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("pointer"))
+    pointers_of(sizes, extent).select((F.col("i") + 1).alias("i"), F.col("total").alias("pointer")).unionByName(start).write.mode(mode).parquet(f"{path}/pointers")
+    flat = fill_compressed(m, row, sizes).select("k", "p", "s", "v", F.expr(f"k div {CHUNK}L").alias("chunk"))
+    # ranges of chunks are what the aggregation needs, so entries move once for both
+    sorted_ = flat.repartitionByRange("chunk").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("k", "p", "s", "v"))).alias("e"))
     first, size = F.element_at("e", 1), F.size("e")
     heads = F.filter(F.sequence(F.lit(1), size), lambda j: (j == 1) | (F.element_at("e", j)["p"] != F.element_at("e", F.greatest(j - 1, F.lit(1)))["p"]))
     shown = sorted_.select("chunk", first["p"].alias("least"), F.element_at("e", -1)["p"].alias("most"), heads.alias("heads"), "e")
     ends = F.concat(F.slice("heads", F.lit(2), F.size("heads")), F.array(size + 1))
     runs = F.zip_with("heads", ends, lambda a, b: F.struct(F.element_at("e", a)["p"].alias("p"), (b - a).alias("n")))
     shown = shown.select("chunk", "least", "most", runs.alias("runs"), F.col("e.s").alias("index"), F.col("e.v").alias("value"))
-    shown.repartitionByRange("chunk").sortWithinPartitions("chunk").write.mode(mode).parquet(f"{path}/chunks")
+    shown.sortWithinPartitions("chunk").write.mode(mode).parquet(f"{path}/chunks")
     told = {"nrow": m.nrow, "ncol": m.ncol, "dtype": m.dtype, "row": row, "extent": extent}
     spark.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.mode(mode).text(f"{path}/shape")
 
