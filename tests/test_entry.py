@@ -34,6 +34,25 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(map(repr, (tuple(r) for r in df.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
+@pytest.mark.parametrize("suppliers", [2, 10, 42, 43, 60])
+def test_dense_slice_has_all_of_its_columns(spark, tmp_path, suppliers):
+    import duckdb
+
+    items = [(k * 11 % 45, (k * 7 + k // 45) % suppliers, float(1 + k % 9)) for k in range(900)]
+    tables = {"orders": ([(k,) for k in range(45)], "o_orderkey long"), "supplier": ([(k,) for k in range(suppliers)], "s_suppkey long"), "lineitem": (items, "l_orderkey long, l_suppkey long, l_quantity double")}
+    db = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    totals = {}
+    for r, c, v in items:
+        totals[r, c] = totals.get((r, c), 0.0) + v
+    want = [(r, r, k, totals.get((r, k + 3), 0.0) + 2) for r in range(40) for k in range(min(40, suppliers - 3))]
+    found = catalog.QUERIES["dense_slice_of_sum"](spark, str(tmp_path)).select("step", "i", "k", "v")
+    assert sorted(map(tuple, found.collect())) == want
+    assert sorted(db.sql(f"SELECT step, i, k, v FROM ({catalog.SQL['dense_slice_of_sum']})").fetchall()) == want
+
+
 def test_works_without_the_llm_folders(tmp_path):
     kept = tmp_path / "repo"
     kept.mkdir()
