@@ -65,19 +65,31 @@ def from_flat(df: DataFrame, nrow: int, ncol: int, *, row_major: bool = True, ch
 def from_fragmented(df: DataFrame, nrow: int, ncol: int, *, row: bool = True, check: bool = True, dtype: str = "double") -> Matrix:
     """A sparse matrix from (i, index, value): two arrays for each row or column; elements without entries may be absent."""
     if check:
-        most, width = (nrow, ncol) if row else (ncol, nrow)
-        _fail_if(df.where(F.col("i").isNull() | ~F.col("i").between(0, most - 1)), "an element should lie within the primary extent")
-        _fail_if(df.groupBy("i").count().where("count > 1"), "an element of the primary extent should come once")
-        _fail_if(df.where(F.size("index") != F.size("value")), "an element should have the same number of indices and values")
-        _fail_if(df.where(F.exists("index", lambda x: x.isNull() | (x < 0) | (x >= width))), "an index should not be negative and be less than the extent")
-        falls = F.exists(F.sequence(F.lit(1), F.size("index") - 1), lambda k: F.element_at("index", k) >= F.element_at("index", k + 1))
-        _fail_if(df.where((F.size("index") > 1) & falls), "the indices of an element should be strictly increasing")
+        _check_fragments(df, *((nrow, ncol) if row else (ncol, nrow)))
     long = df.select(F.col("i").cast("long").alias("p"), F.explode(F.arrays_zip("index", "value")).alias("e"))
     r, c = ("p", "s") if row else ("s", "p")
     long = long.select("p", F.col("e.index").cast("long").alias("s"), _typed(F.col("e.value"), dtype).alias("v"))
     return Matrix(long.select(F.col(r).alias("r"), F.col(c).alias("c"), "v"), nrow, ncol, p_rows=1.0 if row else 0.0, dtype=dtype)
 
 
+def _check_fragments(df: DataFrame, most: int, width: int) -> None:
+    """One job looks at each element once; only if something is wrong do others look for the first offending one."""
+    # neighbours are paired as arrays: element_at() of a column that is worked out would work it out for every index
+    falls = F.exists(F.zip_with("index", F.slice("index", 2, F.size("index")), lambda a, b: a >= b), lambda x: x)
+    wrong = {
+        "an element should lie within the primary extent": F.col("i").isNull() | ~F.col("i").between(0, most - 1),
+        "an element of the primary extent should come once": None,
+        "an element should have the same number of indices and values": F.size("index") != F.size("value"),
+        "an index should not be negative and be less than the extent": F.exists("index", lambda x: x.isNull() | (x < 0) | (x >= width)),
+        "the indices of an element should be strictly increasing": falls,
+    }
+    flags = df.select("i", *[F.lit(False).alias(f"x{k}") if x is None else x.alias(f"x{k}") for k, x in enumerate(wrong.values())])
+    once = flags.groupBy("i").agg(F.count("*").alias("count"), *[F.bool_or(f"x{k}").alias(f"x{k}") for k in range(len(wrong))])
+    found = once.agg(F.bool_or((F.col("count") > 1) | F.greatest(*[F.coalesce(f"x{k}", F.lit(False)) for k in range(len(wrong))]))).first()[0]
+    for message, x in wrong.items() if found else ():
+        _fail_if(df.groupBy("i").count().where("count > 1") if x is None else df.where(x), message)
+
+
 #: Places of the flat arrays that are sorted together.
 SPAN = 65_536
 
