@@ -1,13 +1,15 @@
 """A stored matrix: tiles of entries as partitioned Parquet, a table of their statistics, and what the plan has to know.
 
-A folder has `tiles` (partitioned by tile row and tile column), `stats` (one row a tile: its entries, least and
-greatest value) and `shape` (extents, type, preferences, fill), and, where the fill differs by row or by column,
-`fills`. Reads name the tiles that they need, so no other file is opened.
+A folder has `tiles` (partitioned by tile row and tile column, or by square groups of tiles where there may be more than
+FOLDERS tiles), `stats` (one row a tile: its entries, least and greatest value) and `shape` (extents, type, preferences,
+fill), and, where the fill differs by row or by column, `fills`. Reads name the tiles, or groups, that they need, so no
+other file is opened; within a file, entries are sorted by tile, so row groups of others are left out by their statistics.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +21,26 @@ from ..plans.sinks import fill_compressed, pointers_of, stretch_counts
 
 #: Rows and columns of a tile, if not told otherwise: some 16 million cells at most.
 TILE = (4096, 4096)
+#: Folders that the tiles are dealt to at most.
+FOLDERS = 256
 
 
 def write_tiles(m: Matrix, path: str, tile: tuple[int, int] = TILE, mode: str = "errorifexists") -> None:
-    """Stores a matrix in a folder. One pass writes the tiles, each by one task (a tile has at most as many entries as cells), another one
-    reads what Parquet's own statistics can't give by tile. A fill that depends on rows and columns at once is stored as entries."""
+    """Stores a matrix in a folder. One pass writes the tiles, over ranges of them and each by one task (a tile has at most as many entries as
+    cells), another one reads what Parquet's own statistics can't give by tile. A fill that depends on rows and columns at once is stored as entries."""
     if m.fill is not None and not (by_line(m, True) or by_line(m, False)):
         m = m.with_(entries=m.cells(), full=True, fill=None, vectors=())
     high, wide = tile
     spark = m.entries.sparkSession
+    group = _group(-(-m.nrow // high), -(-m.ncol // wide))
     placed = m.entries.select("r", "c", "v", F.expr(f"r div {high}L").alias("tr"), F.expr(f"c div {wide}L").alias("tc"))
-    placed.repartition("tr", "tc").sortWithinPartitions("tr", "tc", "r", "c").write.mode(mode).partitionBy("tr", "tc").parquet(f"{path}/tiles")
-    written = spark.read.schema(f"r long, c long, v {m.dtype}, tr long, tc long").parquet(f"{path}/tiles")
+    folder = ["tr", "tc"]
+    if group > 1:
+        folder = ["gr", "gc"]
+        placed = placed.select("*", F.expr(f"tr div {group}L").alias("gr"), F.expr(f"tc div {group}L").alias("gc"))
+    by_tile = list(dict.fromkeys([*folder, "tr", "tc"]))
+    placed.repartitionByRange(*by_tile).sortWithinPartitions(*by_tile, "r", "c").write.mode(mode).partitionBy(*folder).parquet(f"{path}/tiles")
+    written = _tiles(spark, path, m.dtype, group)
     v = F.col("v").cast("double")
     stats = written.groupBy("tr", "tc").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.count_if(F.isnan(v)).alias("nans"), F.count_if(v == 0).alias("zeros"))
     stats.coalesce(1).write.mode(mode).parquet(f"{path}/stats")
@@ -45,7 +55,7 @@ def write_tiles(m: Matrix, path: str, tile: tuple[int, int] = TILE, mode: str =
             fill = "rows" if by_row else "columns"
         else:
             fill = spark.range(1).select(fill_of(m).cast("string")).first()[0]
-    told = {"nrow": m.nrow, "ncol": m.ncol, "dtype": m.dtype, "sparse": m.sparse, "full": m.full, "p_sparse": m.p_sparse, "p_rows": m.p_rows, "tile": [high, wide], "vectors": bool(m.vectors) and fill is not None, "fill": fill}
+    told = {"nrow": m.nrow, "ncol": m.ncol, "dtype": m.dtype, "sparse": m.sparse, "full": m.full, "p_sparse": m.p_sparse, "p_rows": m.p_rows, "tile": [high, wide], "group": group, "vectors": bool(m.vectors) and fill is not None, "fill": fill}
     spark.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.mode(mode).text(f"{path}/shape")
 
 
@@ -53,11 +63,14 @@ def open_tiles(spark: SparkSession, path: str) -> Matrix:
     """A stored matrix. Selected rows and columns become partition filters on the tiles that hold them, and ranges within."""
     told = json.loads(spark.read.text(f"{path}/shape").first()[0])
     nrow, ncol, (high, wide) = told["nrow"], told["ncol"], told["tile"]
-    tiles = _tiles(spark, path, told["dtype"])
+    group = told.get("group", 1)
+    tiles = _tiles(spark, path, told["dtype"], group)
 
     def reader(rows: Selection, columns: Selection) -> DataFrame:
-        some = rows.grouped(high).keep(tiles, "tr", -(-nrow // high))
-        some = columns.grouped(wide).keep(some, "tc", -(-ncol // wide))
+        some = tiles
+        for name, each in (("g", group), ("t", 1))[group == 1 :]:
+            some = rows.grouped(high * each).keep(some, f"{name}r", -(-nrow // (high * each)))
+            some = columns.grouped(wide * each).keep(some, f"{name}c", -(-ncol // (wide * each)))
         return columns.keep(rows.keep(some, "r", nrow), "c", ncol).select("r", "c", "v")
 
     fill: Column | None = None
@@ -72,8 +85,16 @@ def open_tiles(spark: SparkSession, path: str) -> Matrix:
     return Matrix(tiles.select("r", "c", "v"), nrow, ncol, sparse=told["sparse"], full=told["full"], fill=fill, vectors=vectors, p_sparse=told["p_sparse"], p_rows=told["p_rows"], dtype=told["dtype"], reader=reader)
 
 
-def _tiles(spark: SparkSession, path: str, dtype: str) -> DataFrame:
-    return spark.read.schema(f"r long, c long, v {dtype}, tr long, tc long").parquet(f"{path}/tiles")
+def _group(high: int, wide: int) -> int:
+    """Tile rows and tile columns of a folder: the least number that makes FOLDERS folders at most."""
+    group = max(1, math.isqrt(high * wide // FOLDERS))
+    while -(-high // group) * -(-wide // group) > FOLDERS:
+        group += 1
+    return group
+
+
+def _tiles(spark: SparkSession, path: str, dtype: str, group: int) -> DataFrame:
+    return spark.read.schema(f"r long, c long, v {dtype}, tr long, tc long{', gr long, gc long' * (group > 1)}").parquet(f"{path}/tiles")
 
 
 def tile_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -89,8 +110,12 @@ def entries_between(spark: SparkSession, path: str, least: float, most: float) -
     told = json.loads(spark.read.text(f"{path}/shape").first()[0])
     # NaN counts as the greatest value there
     near = tile_stats(spark, path).where((F.col("least") <= least) & (F.col("most") >= least) | F.col("least").between(least, most)).select("tr", "tc")
-    tiles = _tiles(spark, path, told["dtype"])
-    found = tiles.join(F.broadcast(near), ["tr", "tc"]) if near.count() <= 1_000_000 else tiles.join(near, ["tr", "tc"])
+    group, keys = told.get("group", 1), ["tr", "tc"]
+    tiles = _tiles(spark, path, told["dtype"], group)
+    if group > 1:  # folders are chosen, and then tiles
+        keys = ["gr", "gc", "tr", "tc"]
+        near = near.select(F.expr(f"tr div {group}L").alias("gr"), F.expr(f"tc div {group}L").alias("gc"), "tr", "tc")
+    found = tiles.join(F.broadcast(near), keys) if near.count() <= 1_000_000 else tiles.join(near, keys)
     return found.where(F.col("v").between(least, most) & ~F.isnan(F.col("v").cast("double"))).select("r", "c", "v")
 
 

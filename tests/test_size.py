@@ -1,10 +1,15 @@
 """Work that has to grow with the entries, not with their square or with the number of tiles."""
 
 import time
+from pathlib import Path
 
+import numpy as np
 import pytest
-from gridloom import sinks, sources
+from gridloom import sinks, sources, unary
+from gridloom.plans.selection import Selection
+from gridloom.sources import store
 from pyspark.sql import functions as F
+from test_layout import array, coo, files_read, simulate
 
 
 def test_long_fragments_are_checked_in_linear_time(spark):
@@ -34,3 +39,23 @@ def test_wrong_fragments(spark, rows, message):
     df = spark.createDataFrame(rows, "i long, index array<long>, value array<double>")
     with pytest.raises(ValueError, match=message):
         sources.from_fragmented(df, 2, 9)
+
+
+@pytest.mark.parametrize("fill", [False, True])
+def test_many_tiles_share_files(spark, tmp_path, fill):
+    a = simulate(8, 90, 70, 0.3)
+    m, want = (unary.arithmetic(coo(spark, a), "add", np.arange(90.0), by_row=True), a + np.arange(90.0)[:, None]) if fill else (coo(spark, a), a)
+    path = f"{tmp_path}/tiles"
+    sources.write_tiles(m, path, (2, 1))
+    assert len(list(Path(path, "tiles").rglob("*.parquet"))) <= store.FOLDERS + 4  # of 3,150 tiles
+    got = sources.open_tiles(spark, path)
+    np.testing.assert_allclose(array(got).astype(float), want)
+    assert files_read(got.narrowed(Selection(0, 90), Selection(0, 70))) == files_read(got.entries) > files_read(got.narrowed(Selection(5, 3), Selection(7, 3)))
+    some = got.dense_row(20, 10, at=[3, 50, 51]).collect()
+    np.testing.assert_allclose([list(r.x) for r in sorted(some, key=lambda r: r.i)], want[[3, 50, 51], 20:30])
+    far = got.dense_row(at=range(0, 90, 1)).collect()
+    np.testing.assert_allclose([list(r.x) for r in sorted(far, key=lambda r: r.i)], want)
+    own = sorted(map(tuple, m.entries.where("v between 1 and 2").collect()))
+    assert sorted(map(tuple, sources.entries_between(spark, path, 1.0, 2.0).collect())) == own
+    stats = sources.tile_stats(spark, path).collect()
+    assert {(r.tr, r.tc): r.n for r in stats} == {(i // 2, j): int(np.count_nonzero(a[i : i + 2, j])) for i in range(0, 90, 2) for j in range(70) if a[i : i + 2, j].any()}
