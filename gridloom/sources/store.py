@@ -43,7 +43,7 @@ def write_tiles(m: Matrix, path: str, tile: tuple[int, int] = TILE, mode: str =
     written = _tiles(spark, path, m.dtype, group)
     v = F.col("v").cast("double")
     stats = written.groupBy("tr", "tc").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.count_if(F.isnan(v)).alias("nans"), F.count_if(v == 0).alias("zeros"))
-    stats.coalesce(1).write.mode(mode).parquet(f"{path}/stats")
+    stats.write.mode(mode).parquet(f"{path}/stats")
     fill = None
     if m.fill is not None and not m.full:
         if m.vectors:

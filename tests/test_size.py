@@ -59,3 +59,14 @@ def test_many_tiles_share_files(spark, tmp_path, fill):
     assert sorted(map(tuple, sources.entries_between(spark, path, 1.0, 2.0).collect())) == own
     stats = sources.tile_stats(spark, path).collect()
     assert {(r.tr, r.tc): r.n for r in stats} == {(i // 2, j): int(np.count_nonzero(a[i : i + 2, j])) for i in range(0, 90, 2) for j in range(70) if a[i : i + 2, j].any()}
+
+
+def test_statistics_are_written_by_several_tasks(spark, tmp_path):
+    m = sources.from_coo(spark.range(4000).select((F.col("id") % 80).alias("r"), F.expr("id div 80").alias("c"), F.lit(1.0).alias("v")), 80, 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sources.write_tiles(m, f"{tmp_path}/tiles", (1, 1))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(Path(tmp_path, "tiles/stats").glob("*.parquet"))) > 1
+    assert sources.count_stored(spark, f"{tmp_path}/tiles") == 4000
