@@ -34,25 +34,72 @@ def narrowest(values: np.ndarray) -> str:
     return "float32" if np.array_equal(short, values, equal_nan=True) else "float64"
 
 
+def _kinds(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """narrowest() of each stretch of values; whole numbers by their extremes, which are found for all stretches at once."""
+    if values.dtype.kind not in "iu":
+        with np.errstate(invalid="ignore"):
+            odd = ~(np.isfinite(values) & (values == np.rint(values)) & (np.abs(values) < 2.0**62)) | ((values == 0) & np.signbit(values))
+        odd = np.logical_or.reduceat(odd, starts)
+        out = [narrowest(values[a:b]) if x else "" for a, b, x in zip(starts.tolist(), ends.tolist(), odd.tolist(), strict=True)]
+    else:
+        out = [""] * len(starts)
+    least, most = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+    if values.dtype.kind == "f":  # no limit but int64's is rounded in a double
+        least, most = least.astype(float), most.astype(float)
+    for kind in reversed(KINDS[:4]):
+        # limits of int64 as doubles are one too high, but whole doubles are below 2 ** 62 here
+        for k in np.flatnonzero((least >= np.iinfo(kind).min) & (most <= np.iinfo(kind).max)):
+            if out[k] not in KINDS[4:]:
+                out[k] = kind
+    return out
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tr, tc, n, kinds, binaries) of entries that are sorted by tile; a batch's last tile waits for the next batch."""
+    names = _PACKED.replace(",", "").split()[::2]
+    rest: list[pa.RecordBatch] = []
+
+    def packed(t: pa.Table) -> pa.RecordBatch:
+        tr, tc, r, c, v = (t.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in ("tr", "tc", "r", "c", "v"))
+        starts = _starts(tr, tc)
+        ends = np.append(starts[1:], len(tr))
+        out = {"tr": pa.array(tr[starts]), "tc": pa.array(tc[starts]), "n": pa.array(ends - starts)}
+        for name, one, x in (("rows", "row_kind", r), ("columns", "column_kind", c), ("values", "value_kind", v)):
+            kinds = _kinds(x, starts, ends)
+            as_kind = {k: x.astype(np.dtype(k).newbyteorder("<")) if len(set(kinds)) == 1 else None for k in set(kinds)}
+            out[one] = pa.array(kinds)
+            out[name] = pa.array([(x[a:b].astype(np.dtype(k).newbyteorder("<")) if as_kind[k] is None else as_kind[k][a:b]).tobytes() for k, a, b in zip(kinds, starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([out[x] for x in names], names)
+
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        last = int(_starts(*(b.column(x).to_numpy(zero_copy_only=False) for x in ("tr", "tc")))[-1])
+        if rest and (rest[-1].column("tr")[-1], rest[-1].column("tc")[-1]) != (b.column("tr")[0], b.column("tc")[0]):
+            yield packed(pa.Table.from_batches(rest))
+            rest = []
+        if last:
+            yield packed(pa.Table.from_batches([*rest, b.slice(0, last)]))
+            rest = []
+        rest.append(b.slice(last))
+    if rest:
+        yield packed(pa.Table.from_batches(rest))
+
+
+def _starts(tr: np.ndarray, tc: np.ndarray) -> np.ndarray:
+    """Where a tile's entries begin."""
+    return np.flatnonzero(np.append(True, (tr[1:] != tr[:-1]) | (tc[1:] != tc[:-1])))
+
+
 def write_packed(m: Matrix, path: str, tile: tuple[int, int] = TILE, mode: str = "errorifexists") -> None:
     """Stores the entries of a matrix whose absent cells are zero; others are stored by all their cells."""
     if not m.structural():
         m = m.with_(entries=m.cells(), full=True, fill=None, vectors=())
     high, wide = tile
     own = m.entries.select(F.expr(f"r div {high}L").alias("tr"), F.expr(f"c div {wide}L").alias("tc"), F.expr(f"r % {high}L").alias("r"), F.expr(f"c % {wide}L").alias("c"), "v")
-
-    def pack(t: pa.Table) -> pa.Table:
-        r, c, v = (t.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in ("r", "c", "v"))
-        order = np.lexsort((c, r))
-        out = {"tr": t.column("tr")[:1], "tc": t.column("tc")[:1], "n": pa.array([len(v)])}
-        kinds = {}
-        for name, one, x in (("rows", "row_kind", r), ("columns", "column_kind", c), ("values", "value_kind", v)):
-            kinds[one] = pa.array([narrowest(x)])
-            out[name] = pa.array([x[order].astype(np.dtype(kinds[one][0].as_py()).newbyteorder("<")).tobytes()], pa.binary())
-        return pa.table(out | kinds).select([x.split()[0] for x in _PACKED.split(", ")])
-
-    packed = own.groupBy("tr", "tc").applyInArrow(pack, _PACKED)
-    packed.repartitionByRange("tr", "tc").sortWithinPartitions("tr", "tc").write.mode(mode).parquet(f"{path}/packed")
+    # entries move once, by ranges of tiles, so a tile's entries follow each other in one task
+    sorted_ = own.repartitionByRange("tr", "tc").sortWithinPartitions("tr", "tc", "r", "c")
+    sorted_.mapInArrow(_pack, _PACKED).write.mode(mode).parquet(f"{path}/packed")
     told = {"nrow": m.nrow, "ncol": m.ncol, "dtype": m.dtype, "sparse": m.sparse, "full": m.full, "p_sparse": m.p_sparse, "p_rows": m.p_rows, "tile": [high, wide]}
     m.entries.sparkSession.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.mode(mode).text(f"{path}/shape")
 

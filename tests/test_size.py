@@ -1,5 +1,6 @@
 """Work that has to grow with the entries, not with their square or with the number of tiles."""
 
+import math
 import time
 from pathlib import Path
 
@@ -8,6 +9,7 @@ import pytest
 from gridloom import sinks, sources, unary
 from gridloom.plans.selection import Selection
 from gridloom.sources import store
+from gridloom.sources.packed import _kinds, narrowest
 from pyspark.sql import functions as F
 from test_layout import array, coo, files_read, simulate
 
@@ -70,3 +72,46 @@ def test_statistics_are_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list(Path(tmp_path, "tiles/stats").glob("*.parquet"))) > 1
     assert sources.count_stored(spark, f"{tmp_path}/tiles") == 4000
+
+
+def single(spark, n=60_000):
+    """Tiles of 2 by 2 with an entry each."""
+    return sources.from_coo(spark.range(n).select((F.col("id") * 2).alias("r"), (F.col("id") * 2).alias("c"), (F.col("id") % 300).cast("double").alias("v")), 2 * n, 2 * n)
+
+
+def test_many_small_tiles_are_packed_together(spark, tmp_path):
+    sources.write_packed(coo(spark, np.ones((4, 4))), f"{tmp_path}/first", (2, 2))
+    began = time.monotonic()
+    sources.write_packed(single(spark), f"{tmp_path}/packed", (2, 2))
+    assert time.monotonic() - began < 40
+    kinds = {r.value_kind: r["count"] for r in sources.packed_tiles(spark, f"{tmp_path}/packed").groupBy("value_kind").count().collect()}
+    assert kinds == {"int8": 200 * 128, "int16": 200 * 172}
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+@pytest.mark.parametrize("dtype", ["double", "float", "bigint", "tinyint"])
+def test_packed_tiles_across_batches(spark, tmp_path, batch, dtype):
+    a = np.round(simulate(9, 40, 30, 0.5) * 10) if dtype in ("bigint", "tinyint") else simulate(9, 40, 30, 0.5)
+    if dtype == "float":
+        a = a.astype(np.float32)
+    whole = a.astype(np.int64) if dtype in ("bigint", "tinyint") else a
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        sources.write_packed(coo(spark, whole, dtype), f"{tmp_path}/packed", (8, 16))
+        np.testing.assert_array_equal(array(sources.open_packed(spark, f"{tmp_path}/packed")).astype(a.dtype), whole)
+        tiles = sources.packed_tiles(spark, f"{tmp_path}/packed").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len({(t.tr, t.tc) for t in tiles}) == len(tiles) == 10
+    for t in tiles:
+        part = whole[t.tr * 8 : t.tr * 8 + 8, t.tc * 16 : t.tc * 16 + 16]
+        assert (t.n, t.value_kind) == (np.count_nonzero(part), narrowest(part[part != 0]))
+
+
+def test_kinds_of_stretches():
+    parts = [[0.0, 127.0], [-0.0, 1.0], [math.nan, 1.0], [0.5], [0.1], [2.0**61], [2.0**62], [2.0**31], [-(2.0**31)], [40_000.0, -1.0]]
+    for kind in (float, np.float32):
+        v = np.concatenate(parts).astype(kind)
+        starts = np.cumsum([0, *map(len, parts[:-1])])
+        ends = np.append(starts[1:], len(v))
+        assert _kinds(v, starts, ends) == [narrowest(v[a:b]) for a, b in zip(starts, ends, strict=True)]
