@@ -15,6 +15,8 @@ from ..plans.selection import Selection
 
 #: Rows and columns of a tile, which is packed by one call; it has a million cells at most.
 TILE = (1024, 1024)
+#: Entries of small tiles that are handed to Spark together, at least.
+TOGETHER = 65_536
 #: From narrow to wide.
 KINDS = ("int8", "int16", "int32", "int64", "float32", "float64")
 _PACKED = "tr long, tc long, n long, row_kind string, column_kind string, value_kind string, rows binary, columns binary, values binary"
@@ -117,10 +119,22 @@ def open_packed(spark: SparkSession, path: str) -> Matrix:
     kind = np.dtype(_DTYPES.get(dtype, "float64"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def shown() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["r", "c", "v"])
+
         for b in batches:
-            for t in b.to_pylist():
+            for t in (row for k in range(0, b.num_rows, 64) for row in b.slice(k, 64).to_pylist()):
                 r, c, v = (np.frombuffer(t[x], np.dtype(t[k]).newbyteorder("<")) for x, k in (("rows", "row_kind"), ("columns", "column_kind"), ("values", "value_kind")))
-                yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64) + t["tr"] * high), pa.array(c.astype(np.int64) + t["tc"] * wide), pa.array(v.astype(kind))], ["r", "c", "v"])
+                held.append((r.astype(np.int64) + t["tr"] * high, c.astype(np.int64) + t["tc"] * wide, v.astype(kind)))
+                size += len(r)
+                if size >= TOGETHER:
+                    yield shown()
+                    held, size = [], 0
+        if held:
+            yield shown()
 
     def decoded(some: DataFrame) -> DataFrame:
         return some.drop("n").mapInArrow(unpack, f"r long, c long, v {dtype}")

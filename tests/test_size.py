@@ -86,6 +86,10 @@ def test_many_small_tiles_are_packed_together(spark, tmp_path):
     assert time.monotonic() - began < 40
     kinds = {r.value_kind: r["count"] for r in sources.packed_tiles(spark, f"{tmp_path}/packed").groupBy("value_kind").count().collect()}
     assert kinds == {"int8": 200 * 128, "int16": 200 * 172}
+    began = time.monotonic()
+    got = sources.open_packed(spark, f"{tmp_path}/packed").entries
+    assert got.where("r = c and v = (r div 2) % 300").count() == 60_000
+    assert time.monotonic() - began < 40
 
 
 @pytest.mark.parametrize("batch", [1, 7, 10_000])
